@@ -228,8 +228,8 @@ def alert_details(df):
 
 def alert_texts(df):
     kinds = df.filter("anomaly_detected").groupBy("anomaly_type").agg(F.count("*").alias("n"))
-    return kinds.select("anomaly_type", "n", fs.alert_explanation(F.col("anomaly_type")).alias("explanation"),
-                        fs.alert_action(F.col("anomaly_type")).alias("action"))
+    return kinds.select("anomaly_type", "n", fs.alert_explanation().alias("explanation"),
+                        fs.alert_action().alias("action"))
 
 
 # ---- windows ---------------------------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ def exact_round(value, digits):
 def _rounded(value, power):
     scale = F.when(F.abs(value) < float(_FINE), F.lit(_FINE)).otherwise(F.lit(1))
     whole = F.floor(value * scale)
-    exact = whole.cast("decimal(18,0)") + (value * scale - whole).cast("decimal(17,17)")
+    exact = whole.cast("decimal(14,0)") + (value * scale - whole).cast("decimal(17,17)")
     candidate = F.floor(value * float(power))
     rest = exact * F.lit(power).cast("decimal(5,0)") - (candidate * scale).cast("decimal(18,0)")
     side = rest + rest - scale.cast("decimal(7,0)")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plantwatch import rules
 from plantwatch.functions.numbers import exact_round
-from plantwatch.functions.text import first_match, title_words
+from plantwatch.functions.text import first_match, quoted
 
 
 def _first(*names):
@@ -79,15 +79,18 @@ def gauge_band(value, limits):
     return F.when(outside("critical"), "critical").when(outside("warning"), "warning").otherwise("healthy")
 
 
-def alert_explanation(anomaly_type):
-    words = F.lower(F.replace(anomaly_type, F.lit("_"), F.lit(" ")))
-    return first_match(words, [(w, F.lit(e)) for w, e, _ in rules.ALERT_TEXTS],
-                       F.format_string(rules.ALERT_DEFAULT_EXPLANATION, anomaly_type))
+_ALERT_WORDS = "lower(replace(anomaly_type, '_', ' '))"
 
 
-def alert_action(anomaly_type):
-    words = F.lower(F.replace(anomaly_type, F.lit("_"), F.lit(" ")))
-    return first_match(words, [(w, F.lit(a)) for w, _, a in rules.ALERT_TEXTS], F.lit(rules.ALERT_DEFAULT_ACTION))
+def alert_explanation():
+    """Explanation by the words in the row's anomaly type."""
+    rest = f"format_string({quoted(rules.ALERT_DEFAULT_EXPLANATION)}, anomaly_type)"
+    return F.expr(first_match(_ALERT_WORDS, [(w, quoted(e)) for w, e, _ in rules.ALERT_TEXTS], rest))
+
+
+def alert_action():
+    return F.expr(first_match(_ALERT_WORDS, [(w, quoted(a)) for w, _, a in rules.ALERT_TEXTS],
+                              quoted(rules.ALERT_DEFAULT_ACTION)))
 
 
 def maintenance(degradation):
@@ -103,8 +106,3 @@ def maintenance(degradation):
          .alias("maintenance_recommendation"),
     ]
 
-
-__all__ = [
-    "health_parts", "health_score", "health_status", "derive_status", "severity_band", "evidence_band", "priority_band",
-    "gauge_band", "alert_explanation", "alert_action", "maintenance", "title_words",
-]

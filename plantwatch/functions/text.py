@@ -19,22 +19,34 @@ def split_list(column):
     return F.filter(parts, lambda p: p != "")
 
 
+def quoted(text):
+    """A string literal for a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values):
+    """An array literal; numbers stay numbers."""
+    return "array(" + ", ".join(quoted(v) if isinstance(v, str) else repr(v) for v in values) + ")"
+
+
 def first_match(column, cases, otherwise):
-    """First case whose words occur in the column; ``cases`` is a list of (words, value column)."""
-    chain = None
-    for words, value in cases:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | column.contains(word)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain.otherwise(otherwise)
+    """SQL for the first case whose words occur in the column; ``cases`` is a list of (words, SQL value)."""
+    branches = " ".join(
+        "WHEN " + " OR ".join(f"contains({column}, {quoted(w)})" for w in words) + f" THEN {value}" for words, value in cases)
+    return f"CASE {branches} ELSE {otherwise} END"
 
 
 def string_array(values):
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(sql_array(values) if values else "CAST(array() AS array<string>)")
+
+
+def sql_map(mapping):
+    """A map literal from names to texts, numbers or SQL values given as tuples of one."""
+    return "map(" + ", ".join(
+        f"{quoted(k)}, {v[0] if isinstance(v, tuple) else quoted(v) if isinstance(v, str) else repr(v)}"
+        for k, v in mapping.items()) + ")"
 
 
 def lookup(mapping, key):
     """Value of a literal map of strings; null for a missing or null key."""
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    return F.element_at(F.create_map(*pairs), key)
+    return F.element_at(F.expr(sql_map(mapping)), key)

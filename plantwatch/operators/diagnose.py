@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from plantwatch import rules
 from plantwatch.functions.numbers import fixed_text
 from plantwatch.functions.stages import staged
-from plantwatch.functions.text import first_match, lookup, missing_text, split_list, string_array, title_words
+from plantwatch.functions.text import (
+    first_match, lookup, missing_text, quoted, split_list, sql_array, sql_map, title_words,
+)
 from plantwatch.schema import DIAGNOSTIC_COLUMNS, SENSORS
 
 
@@ -23,78 +25,71 @@ class RuleSet:
         self.findings += [rules.HOT_AND_SHAKING, rules.HOT_AND_STARVED, rules.SLOW_AND_HUNGRY]
 
     def entry_number(self, kind):
-        """Number of the catalogue entry of an anomaly type; the default entry for an unknown one."""
-        pairs = [F.lit(x) for item in self.numbers.items() for x in item]
-        return F.coalesce(F.element_at(F.create_map(*pairs), kind), F.lit(len(self.entries)))
+        """SQL number of the catalogue entry of an anomaly type; the default entry for an unknown one."""
+        return f"coalesce(element_at({sql_map(self.numbers)}, {kind}), {len(self.entries)})"
 
-    def finding_number(self, kind, entry, zero_is_missing=True):
-        """Number of the first sensor-correlation rule that holds, else of the entry's own causes.
+    def finding_number(self, kind, zero_is_missing=True):
+        """SQL number of the first sensor-correlation rule that holds, else of the entry's own causes.
 
         With ``zero_is_missing`` a zero reading counts as absent, and an absent pressure reads as 0, so any hot
         machine without a pressure sensor matches the second rule; that is the rule set's own behaviour.
         """
         def sensor(default, *names):
-            values = [F.nullif(F.col(n), F.lit(0.0)) if zero_is_missing else F.col(n) for n in names]
-            return F.coalesce(*values, F.lit(float(default)))
+            given = [f"nullif({n}, 0D)" if zero_is_missing else n for n in names]
+            return f"coalesce({', '.join(given)}, {default}D)"
 
         first = len(self.entries) + 1
-        hot = sensor(0, "temperature", "motor_temperature") > 75.0
+        hot = sensor(0, "temperature", "motor_temperature") + " > 75"
         pressure = sensor(0, "pressure", "hydraulic_pressure")
-        starved = (pressure < 4.0) | (sensor(100, "coolant_flow_rate") < 15.0) | (
-            (kind == "pressure_drop") & (pressure < 1800.0))
-        slow = (sensor(5000, "rpm", "spindle_speed") < 900.0) & (sensor(0, "power_consumption", "energy_usage") > 120.0)
-        return (F.when(hot & (sensor(0, "vibration") > 15.0), first).when(hot & starved, first + 1)
-                .when(slow, first + 2).otherwise(entry))
+        return f"""CASE
+            WHEN {hot} AND {sensor(0, "vibration")} > 15 THEN {first}
+            WHEN {hot} AND ({pressure} < 4 OR {sensor(100, "coolant_flow_rate")} < 15
+                            OR ({kind} = 'pressure_drop' AND {pressure} < 1800)) THEN {first + 1}
+            WHEN {sensor(5000, "rpm", "spindle_speed")} < 900
+                 AND {sensor(0, "power_consumption", "energy_usage")} > 120 THEN {first + 2}
+            ELSE {self.entry_number(kind)} END"""
 
     def stage(self, df, active, zero_is_missing=True):
         """Add the two numbers, ``_entry`` and ``_finding``, null where ``active`` is false."""
-        active = F.coalesce(active, F.lit(False))
-        kind = F.coalesce(F.nullif(F.col("anomaly_type"), F.lit("")), F.lit("unknown"))
-        entry = self.entry_number(kind)
-        return staged(df, _entry=F.when(active, entry),
-                      _finding=F.when(active, self.finding_number(kind, entry, zero_is_missing)))
+        kind = "coalesce(nullif(anomaly_type, ''), 'unknown')"
+        return staged(df, _entry=F.when(active, F.expr(self.entry_number(kind))),
+                      _finding=F.when(active, F.expr(self.finding_number(kind, zero_is_missing))))
 
     def columns(self, sensor_order=None):
         """The seven diagnostic columns and the two clean lists, from the staged numbers."""
-        entry, finding = F.col("_entry"), F.col("_finding")
+        def entry(values):
+            return F.expr(f"get({sql_array(values)}, _entry - 1)")
 
-        def pick(values, number):
-            return F.get(F.array(*values), number - 1)
+        def finding(values):
+            return f"get(array({', '.join(values)}), _finding - 1)"
 
         metrics = [e[1] for e in self.entries]
-        configured = None
-        for metric in dict.fromkeys(metrics):
-            here = entry.isin([i for i, m in enumerate(metrics, 1) if m == metric])
-            configured = F.when(here, F.col(metric)) if configured is None else configured.when(here, F.col(metric))
-        absent = entry.isNotNull() & configured.isNull()
-        fallback = first_reading(sensor_order)
-        causes = lambda pairs: F.array(*[
-            F.struct(F.lit(n).alias("cause"), F.lit(p / 100.0).alias("prob")) for n, p in pairs])
+        configured = "CASE " + " ".join(f"WHEN _entry = {i} THEN {m}" for i, m in enumerate(metrics, 1)) + " END"
+        fallback = f"CASE WHEN _entry IS NOT NULL AND {configured} IS NULL THEN {first_reading(sensor_order)} END"
+        causes = ["array(" + ", ".join(f"struct({quoted(n)} AS cause, {p / 100.0}D AS prob)" for n, p in c) + ")"
+                  for _, c, _ in self.findings]
         return {
-            "anomaly_reason": pick([F.lit(e[0]) for e in self.entries], entry),
-            "trigger_metric": F.coalesce(F.when(absent, fallback["metric"]), pick([F.lit(m) for m in metrics], entry)),
-            "trigger_value": F.coalesce(configured, F.when(absent, fallback["value"])),
-            "expected_range": pick([F.lit(e[2]) for e in self.entries], entry),
-            "root_cause_candidates": pick([F.lit(rules.causes_text(c)) for _, c, _ in self.findings], finding),
-            "recommended_actions": pick([F.lit(rules.actions_text(a)) for _, _, a in self.findings], finding),
-            "diagnostic_confidence": pick([F.lit(float(c)) for c, _, _ in self.findings], finding),
-            "cause_list": pick([causes(c) for _, c, _ in self.findings], finding),
-            "action_list": pick([string_array(a) for _, _, a in self.findings], finding),
+            "anomaly_reason": entry([e[0] for e in self.entries]),
+            "trigger_metric": F.expr(f"coalesce(({fallback}).metric, get({sql_array(metrics)}, _entry - 1))"),
+            "trigger_value": F.expr(f"coalesce({configured}, ({fallback}).value)"),
+            "expected_range": entry([e[2] for e in self.entries]),
+            "root_cause_candidates": F.expr(finding([quoted(rules.causes_text(c)) for _, c, _ in self.findings])),
+            "recommended_actions": F.expr(finding([quoted(rules.actions_text(a)) for _, _, a in self.findings])),
+            "diagnostic_confidence": F.expr(finding([f"{float(c)}D" for c, _, _ in self.findings])),
+            "cause_list": F.expr(finding(causes)),
+            "action_list": F.expr(finding([sql_array(a) for _, _, a in self.findings])),
         }
 
 
-def _reading(name):
-    return F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")))
-
-
 def first_reading(sensor_order=None):
-    """First present sensor of a row: the machine type's own order, then the stored order."""
+    """SQL for the first present sensor of a row: the machine type's own order, then the stored order."""
+    def first(names):
+        given = [f"CASE WHEN {n} IS NOT NULL THEN struct('{n}' AS metric, {n} AS value) END" for n in names]
+        return f"coalesce({', '.join(given)})"
     if sensor_order is not None:
-        return F.coalesce(*[_reading(s) for s in sensor_order])
-    own = F.lit(None)
-    for machine, names in rules.REQUIRED_SENSORS.items():
-        own = F.when(F.col("machine_type") == machine, F.coalesce(*[_reading(s) for s in names])).otherwise(own)
-    return F.coalesce(own, *[_reading(s) for s in SENSORS])
+        return first(sensor_order)
+    own = " ".join(f"WHEN '{machine}' THEN {first(names)}" for machine, names in rules.REQUIRED_SENSORS.items())
+    return f"coalesce(CASE machine_type {own} END, {first(SENSORS)})"
 
 
 def diagnose(df, catalogue=None, default=None, zero_is_missing=True, lists=False):
@@ -193,21 +188,21 @@ def _ranked(item):
         F.coalesce(lookup(rules.CAUSE_EXPLANATIONS, name), F.lit(rules.EXPLANATION_WITH_CANDIDATES)).alias("explanation"))
 
 
-def typical_causes(machine_type):
+def typical_causes():
     """Causes assumed for a machine without candidates, by its type."""
     def listed(causes):
-        return F.array(*[F.struct(
-            F.lit(name).alias("cause"), F.lit(confidence).alias("confidence"),
-            F.lit(rules.CAUSE_EXPLANATIONS.get(name, rules.EXPLANATION_WITHOUT_CANDIDATES)).alias("explanation"))
-            for name, confidence in causes])
+        return "array(" + ", ".join(
+            f"struct({quoted(name)} AS cause, {confidence}D AS confidence, "
+            f"{quoted(rules.CAUSE_EXPLANATIONS.get(name, rules.EXPLANATION_WITHOUT_CANDIDATES))} AS explanation)"
+            for name, confidence in causes) + ")"
     *cases, (_, rest) = rules.TYPICAL_CAUSES
-    return first_match(F.coalesce(machine_type, F.lit("unknown")), [(w, listed(c)) for w, c in cases], listed(rest))
+    return F.expr(first_match("coalesce(machine_type, 'unknown')", [(w, listed(c)) for w, c in cases], listed(rest)))
 
 
 def cause_ranking():
     """Array of (cause, confidence, explanation): the parsed candidates, or the typical causes."""
     candidates = F.col("root_cause_candidates")
-    return F.when(missing_text(candidates), typical_causes(F.col("machine_type"))).otherwise(
+    return F.when(missing_text(candidates), typical_causes()).otherwise(
         F.transform(split_list(candidates), _ranked))
 
 
@@ -218,13 +213,13 @@ def ranked_causes(latest):
 
 
 def active_anomaly_struct():
-    kind = F.coalesce(F.nullif(F.col("anomaly_type"), F.lit("")), F.lit("unknown_sensor_anomaly"))
+    kind = "coalesce(nullif(anomaly_type, ''), 'unknown_sensor_anomaly')"
     *cases, (_, rest_causes, rest_impact) = rules.ACTIVE_ANOMALY_TEXTS
-    causes = first_match(kind, [([w], string_array(c)) for w, c, _ in cases], string_array(rest_causes))
-    impact = first_match(kind, [([w], F.lit(i)) for w, _, i in cases], F.lit(rest_impact))
+    causes = F.expr(first_match(kind, [([w], sql_array(c)) for w, c, _ in cases], sql_array(rest_causes)))
+    impact = F.expr(first_match(kind, [([w], quoted(i)) for w, _, i in cases], quoted(rest_impact)))
     candidates, actions = F.col("root_cause_candidates"), F.col("recommended_actions")
     return F.struct(
-        title_words(kind).alias("problem"),
+        title_words(F.expr(kind)).alias("problem"),
         F.coalesce("diagnostic_confidence", F.lit(0.85)).alias("confidence"),
         F.when(missing_text(candidates), causes).otherwise(split_list(candidates)).alias("possible_causes"),
         impact.alias("operational_impact"),

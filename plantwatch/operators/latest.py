@@ -48,8 +48,8 @@ def alert_details(alert_rows):
     """Alerts with severity band, explanation and action."""
     return alert_rows.withColumns({
         "severity_label": sensors.severity_band(F.col("severity")),
-        "explanation": sensors.alert_explanation(F.col("anomaly_type")),
-        "action": sensors.alert_action(F.col("anomaly_type"))})
+        "explanation": sensors.alert_explanation(),
+        "action": sensors.alert_action()})
 
 
 def _timeline_type(severity):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plantwatch import rules
 from plantwatch.functions.stages import staged
-from plantwatch.functions.text import lookup, string_array
+from plantwatch.functions.text import quoted, sql_array, sql_map
 from plantwatch.functions.times import event_time
 from plantwatch.schema import REQUIRED_ENVELOPE, SENSORS
 
@@ -37,101 +37,98 @@ def with_fields(rows, fields):
                   sensors=F.try_variant_get("record", "$.telemetry", _SENSORS))
 
 
-def _quoted(array):
-    return F.concat(F.lit("['"), F.array_join(F.array_sort(array), "', '"), F.lit("']"))
+def _failure(reason, detail):
+    return f"struct({quoted(reason)} AS reason, {detail} AS detail)"
 
 
-def _failure(condition, reason, detail):
-    return F.when(condition, F.struct(F.lit(reason).alias("reason"), detail.alias("detail")))
+def _text(name):
+    return f"try_variant_get(element_at(fields, '{name}'), '$', 'string')"
 
 
-def _as_text(variant):
-    return F.try_variant_get(variant, "$", "string")
+def _shown(name):
+    return f"coalesce({_text(name)}, 'None')"
 
 
-def _shown(name):
-    return F.coalesce(_as_text(F.element_at("fields", name)), F.lit("None"))
+def _kind(name):
+    return f"schema_of_variant(element_at(fields, '{name}'))"
 
 
-def _is_text(name):
-    return F.schema_of_variant(F.element_at("fields", name)) == "STRING"
+def _names(array):
+    return f"concat('[\\'', array_join(array_sort({array}), '\\', \\''), '\\']')"
 
 
 def envelope_failure():
-    """Presence is a matter of keys: a JSON null counts as present and fails a later check or none."""
-    missing = F.array_except(string_array(REQUIRED_ENVELOPE), F.map_keys("fields"))
-    text = lambda name: _as_text(F.element_at("fields", name))
-    holds = lambda condition: F.coalesce(condition, F.lit(False))
-    return F.coalesce(
-        _failure(F.size(missing) > 0, "missing_envelope_fields", F.concat(F.lit("Missing: "), _quoted(missing))),
-        _failure(~holds(text("timestamp").rlike(rules.TIMESTAMP_PREFIX)), "invalid_timestamp",
-                 F.concat(F.lit("Bad timestamp: "), _shown("timestamp"))),
-        _failure(~holds(_is_text("status") & text("status").isin(rules.STATUSES)), "invalid_status",
-                 F.concat(F.lit("Unknown status: "), _shown("status"))),
-        _failure(~holds(_is_text("machine_id") & (text("machine_id") != "")), "invalid_machine_id",
-                 F.lit("machine_id must be a non-empty string")))
+    """SQL for the first envelope failure.
+
+    Presence is a matter of keys: a JSON null counts as present and fails a later check or none.
+    """
+    missing = f"array_except({sql_array(REQUIRED_ENVELOPE)}, map_keys(fields))"
+    known = f"{_kind('status')} = 'STRING' AND {_text('status')} IN ({', '.join(map(quoted, rules.STATUSES))})"
+    named = f"{_kind('machine_id')} = 'STRING' AND {_text('machine_id')} <> ''"
+    return f"""CASE
+        WHEN size({missing}) > 0 THEN {_failure("missing_envelope_fields", f"concat('Missing: ', {_names(missing)})")}
+        WHEN NOT coalesce({_text("timestamp")} RLIKE {quoted(rules.TIMESTAMP_PREFIX)}, false)
+            THEN {_failure("invalid_timestamp", f"concat('Bad timestamp: ', {_shown('timestamp')})")}
+        WHEN NOT coalesce({known}, false) THEN {_failure("invalid_status", f"concat('Unknown status: ', {_shown('status')})")}
+        WHEN NOT coalesce({named}, false) THEN {_failure("invalid_machine_id", "'machine_id must be a non-empty string'")}
+        END"""
 
 
 def _required_by_type(required):
-    pairs = [x for t, s in required.items() for x in (F.lit(t), string_array(s))]
-    return F.element_at(F.create_map(*pairs), _as_text(F.element_at("fields", "machine_type")))
+    return f"element_at({sql_map({t: (sql_array(s),) for t, s in required.items()})}, {_text('machine_type')})"
 
 
 def machine_failure():
-    """Takes the staged ``_needs`` (sensors of the type) and ``_sensors`` (the payload as a map)."""
-    absent = ~F.map_contains_key("fields", "telemetry")
-    keys = F.when(absent, F.array().cast("array<string>")).otherwise(F.map_keys("_sensors"))
-    missing = F.array_except("_needs", keys)
-    return F.coalesce(
-        _failure(F.col("_needs").isNull(), "unknown_machine_type",
-                 F.concat(F.lit("Unrecognised machine_type: "), _shown("machine_type"))),
-        _failure(~absent & F.col("_sensors").isNull(), "missing_telemetry", F.lit("telemetry field must be a dict")),
-        _failure(F.size(missing) > 0, "missing_telemetry_fields",
-                 F.concat(_shown("machine_type"), F.lit(" missing: "), _quoted(missing))))
+    """SQL over the staged ``_needs`` (sensors of the type) and ``_sensors`` (the payload as a map)."""
+    absent = "NOT map_contains_key(fields, 'telemetry')"
+    keys = f"CASE WHEN {absent} THEN CAST(array() AS array<string>) ELSE map_keys(_sensors) END"
+    missing = f"array_except(_needs, {keys})"
+    unknown = f"concat('Unrecognised machine_type: ', {_shown('machine_type')})"
+    listed = f"concat({_shown('machine_type')}, ' missing: ', {_names(missing)})"
+    return f"""CASE
+        WHEN _needs IS NULL THEN {_failure("unknown_machine_type", unknown)}
+        WHEN NOT ({absent}) AND _sensors IS NULL THEN {_failure("missing_telemetry", "'telemetry field must be a dict'")}
+        WHEN size({missing}) > 0 THEN {_failure("missing_telemetry_fields", listed)} END"""
 
 
 def offending_sensor(limits):
-    """First sensor, in rule order, that is no number or lies outside its limits; booleans count as numbers."""
+    """SQL for the first sensor, in rule order, that is no number or lies outside its limits.
+
+    Booleans count as numbers.
+    """
     def bad(name, low, high):
-        reading = F.element_at("_sensors", name)
-        fine = F.try_variant_get(reading, "$", "double").between(low, high) & (F.schema_of_variant(reading) != "STRING")
-        return F.when(reading.isNotNull() & ~F.coalesce(fine, F.lit(False)), name)
-    return F.coalesce(*[bad(n, lo, hi) for n, (lo, hi) in limits.items()])
+        reading = f"element_at(_sensors, '{name}')"
+        fine = (f"try_variant_get({reading}, '$', 'double') BETWEEN {low}D AND {high}D "
+                f"AND schema_of_variant({reading}) <> 'STRING'")
+        return f"CASE WHEN {reading} IS NOT NULL AND NOT coalesce({fine}, false) THEN '{name}' END"
+    return "coalesce(" + ", ".join(bad(n, lo, hi) for n, (lo, hi) in limits.items()) + ")"
 
 
 def range_failure(limits):
-    """Takes the staged ``_offender``; only its reading is looked at again."""
-    name = F.col("_offender")
-    reading = F.element_at("_sensors", name)
-    kind = F.schema_of_variant(reading)
-    odd = kind.isin("VOID", "STRING") | kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    text = F.coalesce(_as_text(reading), F.to_json(reading))
-    shown = F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'"))).when(kind == "VOID", "None").otherwise(text)
-    bounds = lookup({n: f"[{lo}, {hi}]" for n, (lo, hi) in limits.items()}, name)
-    return F.coalesce(
-        _failure(odd, "non_numeric_field", F.concat(name, F.lit("="), shown, F.lit(" is not numeric"))),
-        _failure(name.isNotNull(), "out_of_range", F.concat(name, F.lit("="), shown, F.lit(" out of range "), bounds)))
+    """SQL over the staged ``_offender``; only its reading is looked at again."""
+    reading = "element_at(_sensors, _offender)"
+    kind = f"schema_of_variant({reading})"
+    text = f"coalesce(try_variant_get({reading}, '$', 'string'), to_json({reading}))"
+    shown = f"CASE {kind} WHEN 'STRING' THEN concat('\\'', {text}, '\\'') WHEN 'VOID' THEN 'None' ELSE {text} END"
+    bounds = f"element_at({sql_map({n: f'[{lo}, {hi}]' for n, (lo, hi) in limits.items()})}, _offender)"
+    return f"""CASE
+        WHEN {kind} RLIKE '^(VOID|STRING|OBJECT|ARRAY)'
+            THEN {_failure("non_numeric_field", f"concat(_offender, '=', {shown}, ' is not numeric')")}
+        ELSE {_failure("out_of_range", f"concat(_offender, '=', {shown}, ' out of range ', {bounds})")} END"""
 
 
 def plainly_valid(required, limits):
-    """True for a record whose typed form passes every check; the few others are looked at field by field."""
-    envelope = lambda name: F.col(f"envelope.{name}")
-    sensor = lambda name: F.col(f"sensors.{name}")
-    complete = F.lit(False)
-    for machine, names in required.items():
-        here = envelope("machine_type") == machine
-        for name in names:
-            here = here & sensor(name).isNotNull()
-        complete = complete | here
-    within = F.lit(True)
-    for name, (low, high) in limits.items():
-        within = within & F.coalesce(sensor(name).between(low, high), F.lit(True))
-    kinds = F.schema_of_variant(F.element_at("fields", "telemetry"))
-    named = F.schema_of_variant(F.element_at("fields", "machine_id")) == "STRING"
-    return F.coalesce(
-        envelope("factory_id").isNotNull() & envelope("timestamp").rlike(rules.TIMESTAMP_PREFIX)
-        & envelope("status").isin(rules.STATUSES) & (envelope("machine_id") != "") & complete & within & named
-        & ~kinds.rlike("STRING|VOID"), F.lit(False))
+    """SQL, true for a record whose typed form passes every check; the few others are looked at field by field."""
+    complete = " OR ".join(
+        f"(envelope.machine_type = {quoted(machine)} AND " + " AND ".join(f"sensors.{n} IS NOT NULL" for n in names) + ")"
+        for machine, names in required.items())
+    within = " AND ".join(
+        f"coalesce(sensors.{n} BETWEEN {lo}D AND {hi}D, true)" for n, (lo, hi) in limits.items())
+    return f"""coalesce(envelope.factory_id IS NOT NULL
+        AND envelope.timestamp RLIKE {quoted(rules.TIMESTAMP_PREFIX)}
+        AND envelope.status IN ({', '.join(map(quoted, rules.STATUSES))}) AND envelope.machine_id <> ''
+        AND ({complete}) AND {within} AND {_kind('machine_id')} = 'STRING'
+        AND NOT {_kind('telemetry')} RLIKE 'STRING|VOID', false)"""
 
 
 def route(parsed, required=None, limits=None):
@@ -141,14 +138,17 @@ def route(parsed, required=None, limits=None):
     ``_enqueue_epoch`` field is removed on every route.
     """
     required, limits = required or rules.REQUIRED_SENSORS, limits or rules.SENSOR_LIMITS
+    rows = staged(parsed, _odd=F.expr(f"fields IS NOT NULL AND NOT {plainly_valid(required, limits)}"))
+
+    def for_odd(sql, and_also="true"):
+        return F.expr(f"CASE WHEN _odd AND {and_also} THEN {sql} END")
+
+    payload = f"try_variant_get(element_at(fields, 'telemetry'), '$', '{_OBJECT}')"
+    rows = staged(rows, _needs=for_odd(_required_by_type(required)), _sensors=for_odd(payload))
+    rows = staged(rows, _early=for_odd(f"coalesce({envelope_failure()}, {machine_failure()})"))
+    rows = staged(rows, _offender=for_odd(offending_sensor(limits), "_early IS NULL"))
+    rows = staged(rows, _fail=F.expr(f"coalesce(_early, CASE WHEN _offender IS NOT NULL THEN {range_failure(limits)} END)"))
     unreadable = F.col("fields").isNull()
-    rows = staged(parsed, _odd=~unreadable & ~plainly_valid(required, limits))
-    odd = F.col("_odd")
-    rows = staged(rows, _needs=F.when(odd, _required_by_type(required)),
-                  _sensors=F.when(odd, F.try_variant_get(F.element_at("fields", "telemetry"), "$", _OBJECT)))
-    rows = staged(rows, _early=F.when(odd, F.coalesce(envelope_failure(), machine_failure())))
-    rows = staged(rows, _offender=F.when(odd & F.col("_early").isNull(), offending_sensor(limits)))
-    rows = staged(rows, _fail=F.coalesce("_early", F.when(F.col("_offender").isNotNull(), range_failure(limits))))
     kept = [c for c in parsed.columns if c != "fields"]
     return rows.select(
         *kept,
@@ -189,23 +189,20 @@ def typed_events(routed):
 
 # ---- checks of typed rows --------------------------------------------------------------------------------------
 
-def _errors(checks):
-    return F.filter(F.array(*checks), lambda e: e.isNotNull())
+def _error(condition, field, message):
+    return f"CASE WHEN {condition} THEN struct('{field}' AS field, {message} AS message) END"
 
 
-def _error(condition, field, message):
-    return F.when(condition, F.struct(F.lit(field).alias("field"), message.alias("message")))
+def _errors(checks):
+    return F.expr(f"array_compact(array({', '.join(checks)}))")
 
 
 def strict_range_errors(limits=None):
     """All sensors outside the limits of the row's machine type; absent sensors and unknown types pass."""
-    checks = []
-    for machine, ranges in (limits or rules.STRICT_LIMITS).items():
-        for name, (low, high) in ranges.items():
-            value = F.col(name)
-            checks.append(_error((F.col("machine_type") == machine) & ((value < low) | (value > high)), name,
-                                 F.concat(F.lit("Value "), value.cast("string"), F.lit(f" outside range [{low}, {high}]"))))
-    return _errors(checks)
+    return _errors([
+        _error(f"machine_type = {quoted(machine)} AND ({name} < {low} OR {name} > {high})", name,
+               f"concat('Value ', CAST({name} AS STRING), ' outside range [{low}, {high}]')")
+        for machine, ranges in (limits or rules.STRICT_LIMITS).items() for name, (low, high) in ranges.items()])
 
 
 def strict_range_check(df, limits=None):
@@ -214,16 +211,15 @@ def strict_range_check(df, limits=None):
 
 def schema_errors():
     """Ids must be there, names must be known, levels must lie in 0..1 (an absent level takes its default 0)."""
-    checks = [_error(F.coalesce(F.col(n), F.lit("")) == "", n, F.lit("must not be empty"))
-              for n in ("event_id", "machine_id", "factory_id")]
-    checks.append(_error(F.col("timestamp").isNull(), "timestamp", F.lit("is required")))
-    for name, known in (("machine_type", list(rules.REQUIRED_SENSORS)), ("status", rules.STATUSES)):
-        checks.append(_error(~F.coalesce(F.col(name).isin(known), F.lit(False)), name,
-                             F.concat(F.lit("unknown value: "), F.coalesce(name, F.lit("None")))))
-    checks.append(_error(~F.col("anomaly_type").isin(rules.ANOMALY_TYPES), "anomaly_type",
-                         F.concat(F.lit("unknown value: "), F.col("anomaly_type"))))
+    listed = lambda values: ", ".join(map(quoted, values))
+    unknown = lambda name: f"concat('unknown value: ', coalesce({name}, 'None'))"
+    checks = [_error(f"coalesce({n}, '') = ''", n, "'must not be empty'") for n in ("event_id", "machine_id", "factory_id")]
+    checks.append(_error("timestamp IS NULL", "timestamp", "'is required'"))
+    for name, known in (("machine_type", rules.REQUIRED_SENSORS), ("status", rules.STATUSES)):
+        checks.append(_error(f"NOT coalesce({name} IN ({listed(known)}), false)", name, unknown(name)))
+    checks.append(_error(f"anomaly_type NOT IN ({listed(rules.ANOMALY_TYPES)})", "anomaly_type", unknown("anomaly_type")))
     for name in ("anomaly_severity", "degradation_level"):
-        checks.append(_error(~F.col(name).between(0.0, 1.0), name, F.lit("must lie between 0 and 1")))
+        checks.append(_error(f"NOT {name} BETWEEN 0 AND 1", name, "'must lie between 0 and 1'"))
     return _errors(checks)
 
 

@@ -16,6 +16,7 @@ def local_session(cpus="8", app="plantwatch", **conf):
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
