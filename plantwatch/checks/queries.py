@@ -15,7 +15,7 @@ from plantwatch.operators import aggregates as ag
 from plantwatch.operators import correlate, curate, diagnose, features, latest, ordered, validate
 from plantwatch.plans import activity, kpis, machines
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, EVENTS, SENSORS
-from plantwatch.session import work_dir
+from plantwatch.session import stored, work_dir
 from plantwatch.sources import fixture, lake
 from plantwatch.streaming import ingest, windows
 
@@ -239,8 +239,8 @@ def latest_rows(df):
 
 
 def risk_timeline(df):
-    rows = _latest_with_health(df).select("machine_id", "health_status", "timestamp")
-    return latest.risk_timeline(df, rows)
+    counts = df.groupBy("machine_id").agg(ag.anomaly_count().alias("anomaly_events"))
+    return latest.risk_timeline(df, _latest_with_health(df).join(counts, "machine_id"))
 
 
 def recent_history(df):
@@ -294,11 +294,11 @@ def history(window):
 
 
 def business(df):
-    return kpis.business_kpis(machines.machines(df), ag.energy_profile(df))
+    return kpis.business_kpis(stored(machines.machines(df), "machines"), ag.energy_profile(df))
 
 
 def advice(limit):
-    return lambda df: _rounded(kpis.recommendations(machines.machines(df), limit), metric_value=AVERAGE)
+    return lambda df: _rounded(kpis.recommendations(stored(machines.machines(df), "machines"), limit), metric_value=AVERAGE)
 
 
 def fleet_listing(df):
@@ -319,7 +319,7 @@ def _activity(part):
     def make(window):
         def run(df):
             period = activity.activity_period(df, window)
-            return part(activity.activity_base(df, period), period)
+            return part(stored(activity.activity_base(df, period), "activity"), period)
         return run
     return make
 
@@ -331,7 +331,7 @@ breakdown = _activity(lambda base, period: activity.activity_breakdown(base))
 
 def insights(df):
     period = activity.activity_period(df, "7d")
-    base = activity.activity_base(df, period)
+    base = stored(activity.activity_base(df, period), "activity")
     rows = activity.activity_insights(activity.activity_kpis(base, period), activity.activity_breakdown(base))
     return rows.select(_listed("insights").alias("insights"))
 
@@ -346,7 +346,7 @@ def pipeline_health(spark, sf):
 
 
 def executive(df):
-    table = machines.machines(df)
+    table = stored(machines.machines(df), "machines")
     return kpis.executive_summary(kpis.business_kpis(table, ag.energy_profile(df)), kpis.recommendations(table))
 
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from plantwatch.functions.numbers import exact_round, percent_of
 from plantwatch.functions.times import BUCKET_WIDTH
 
-anomalies = F.count_if(F.coalesce(F.col("anomaly_detected"), F.lit(False)))
+def anomaly_count():
+    """Aggregate: anomalous rows; a missing flag counts as none."""
+    return F.count_if(F.coalesce(F.col("anomaly_detected"), F.lit(False)))
 
 
 def _energy(*names):
@@ -18,7 +20,7 @@ def _energy(*names):
 def _status_counts():
     return [
         F.count("*").alias("total_events"),
-        anomalies.alias("anomaly_count"),
+        anomaly_count().alias("anomaly_count"),
         F.count_if(F.col("status") == "healthy").alias("healthy_count"),
         F.count_if(F.col("status") == "warning").alias("warning_count"),
         F.count_if(F.col("status").isin("critical", "anomaly")).alias("critical_count"),
@@ -52,8 +54,8 @@ def avg_temp_by_type(df):
 def _rates():
     return [
         F.count("*").alias("total_events"),
-        anomalies.alias("anomaly_events"),
-        (anomalies.cast("double") / F.count("*") * 100.0).alias("anomaly_rate_percent"),
+        anomaly_count().alias("anomaly_events"),
+        (anomaly_count().cast("double") / F.count("*") * 100.0).alias("anomaly_rate_percent"),
     ]
 
 
@@ -87,7 +89,7 @@ def _factory_summary(df, *keys, approximate=False):
     machines = F.approx_count_distinct("machine_id") if approximate else F.count_distinct("machine_id")
     return df.groupBy(*keys).agg(
         F.count("*").alias("total_events"), machines.alias("active_machines"),
-        anomalies.alias("total_anomalies"), F.avg("degradation_level").alias("avg_degradation_level"))
+        anomaly_count().alias("total_anomalies"), F.avg("degradation_level").alias("avg_degradation_level"))
 
 
 def daily_summary_view(df, approximate=False):
@@ -103,7 +105,7 @@ def timeseries_view(df):
         F.count("*").alias("event_count"),
         *[F.avg(c).alias(f"avg_{c}") for c in
           ("temperature", "pressure", "power_consumption", "vibration", "degradation_level")],
-        anomalies.alias("anomaly_count"))
+        anomaly_count().alias("anomaly_count"))
 
 
 VIEWS = {

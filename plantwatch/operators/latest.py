@@ -59,7 +59,7 @@ def _timeline_type(severity):
 def risk_timeline(df, machines, n=10):
     """Last n anomalies of each machine; a machine without any that is not healthy gets one row for its state.
 
-    ``machines`` has machine_id, health_status and timestamp, one row per machine.
+    ``machines`` has machine_id, health_status, anomaly_events and timestamp, one row per machine.
     """
     severity = F.coalesce("anomaly_severity", F.lit(0.5))
     kind = F.coalesce(F.nullif(F.col("anomaly_type"), F.lit("")), F.lit("anomaly"))
@@ -70,8 +70,7 @@ def risk_timeline(df, machines, n=10):
         "machine_id", "rank", "timestamp", _timeline_type(severity).alias("event_type"),
         F.coalesce(reason, F.concat(F.lit("Detected "), kind, F.lit(" in operating parameters."))).alias("description"),
         severity.alias("severity"))
-    quiet = machines.filter("health_status <> 'healthy'").join(
-        df.filter("anomaly_detected").select("machine_id").distinct(), "machine_id", "left_anti")
+    quiet = machines.filter("health_status <> 'healthy' AND anomaly_events = 0")
     state = quiet.select(
         "machine_id", F.lit(1).alias("rank"), "timestamp", F.col("health_status").alias("event_type"),
         F.concat(F.lit("Machine transitioned to "), "health_status",

@@ -22,21 +22,25 @@ def decode_stream(df):
 
 
 def parse_records(df):
-    """JSON text ``value`` to ``record`` (variant), ``fields`` (its top level), ``envelope`` and ``sensors`` (typed).
+    """JSON text ``value`` to ``record`` (variant), ``envelope`` and ``sensors`` (typed).
 
-    All are null for text that is no JSON object. Bare NaN and Infinity, which some producers write, are read as an
-    infinite number, so such a record fails its range check rather than the parsing.
+    A record whose fields do not fit the types has a null struct. Bare NaN and Infinity, which some producers write,
+    are read as an infinite number, so such a record fails its range check rather than the parsing.
     """
     loose = F.try_parse_json(F.regexp_replace("value", r"([:,\[]\s*)-?(NaN|Infinity)", "$1" + "1e999"))
-    rows = staged(df, record=F.coalesce(F.try_parse_json("value"), loose))
-    return with_fields(rows, F.try_variant_get("record", "$", _OBJECT))
+    return with_typed(staged(df, record=F.coalesce(F.try_parse_json("value"), loose)))
 
 
-def with_fields(rows, fields):
-    return staged(rows, fields=fields, envelope=F.try_variant_get("record", "$", _ENVELOPE),
+def with_typed(rows):
+    return staged(rows, envelope=F.try_variant_get("record", "$", _ENVELOPE),
                   sensors=F.try_variant_get("record", "$.telemetry", _SENSORS))
 
 
+def top_level(record="record"):
+    """Top level of a record as a map of its fields; null when it is no object."""
+    return F.try_variant_get(record, "$", _OBJECT)
+
+
 def _failure(reason, detail):
     return f"struct({quoted(reason)} AS reason, {detail} AS detail)"
 
@@ -117,42 +121,46 @@ def range_failure(limits):
         ELSE {_failure("out_of_range", f"concat(_offender, '=', {shown}, ' out of range ', {bounds})")} END"""
 
 
-def plainly_valid(required, limits):
-    """SQL, true for a record whose typed form passes every check; the few others are looked at field by field."""
-    complete = " OR ".join(
-        f"(envelope.machine_type = {quoted(machine)} AND " + " AND ".join(f"sensors.{n} IS NOT NULL" for n in names) + ")"
-        for machine, names in required.items())
-    within = " AND ".join(
-        f"coalesce(sensors.{n} BETWEEN {lo}D AND {hi}D, true)" for n, (lo, hi) in limits.items())
-    return f"""coalesce(envelope.factory_id IS NOT NULL
-        AND envelope.timestamp RLIKE {quoted(rules.TIMESTAMP_PREFIX)}
+def _with_doubts(parsed, required, limits):
+    """Add ``_odd``: false for a record whose typed form passes every check, so that few are looked at field by field.
+
+    A sensor given as text or null would slip through the typed form, so the JSON text is searched for one. The
+    conditions are staged one by one: each then compiles to a method small enough to be optimised.
+    """
+    whens = " ".join(f"WHEN {quoted(machine)} THEN " + " AND ".join(f"sensors.{n} IS NOT NULL" for n in names)
+                     for machine, names in required.items())
+    within = " AND ".join(f"coalesce(sensors.{n} BETWEEN {lo}D AND {hi}D, true)" for n, (lo, hi) in limits.items())
+    not_a_number = '"(' + "|".join(limits) + r')"\s*:\s*["n\[{]|\\u'
+    named = f"""envelope.factory_id IS NOT NULL AND envelope.timestamp RLIKE {quoted(rules.TIMESTAMP_PREFIX)}
         AND envelope.status IN ({', '.join(map(quoted, rules.STATUSES))}) AND envelope.machine_id <> ''
-        AND ({complete}) AND {within} AND {_kind('machine_id')} = 'STRING'
-        AND NOT {_kind('telemetry')} RLIKE 'STRING|VOID', false)"""
+        AND schema_of_variant(try_variant_get(record, '$.machine_id', 'variant')) = 'STRING'"""
+    rows = staged(parsed, _complete=F.expr(f"CASE envelope.machine_type {whens} END"))
+    rows = staged(rows, _within=F.expr(within))
+    rows = staged(rows, _named=F.expr(named))
+    plain = f"_complete AND _within AND _named AND NOT value RLIKE {quoted(not_a_number)}"
+    return staged(rows, _odd=F.expr(f"record IS NOT NULL AND NOT coalesce({plain}, false)"))
 
 
 def route(parsed, required=None, limits=None):
     """Parsed records with ``route`` (valid, quarantine, decode_error), ``reason`` and ``detail``.
 
-    The first check that fails counts: envelope, machine type and its sensors, ranges. The internal
-    ``_enqueue_epoch`` field is removed on every route.
+    The first check that fails counts: envelope, machine type and its sensors, ranges.
     """
     required, limits = required or rules.REQUIRED_SENSORS, limits or rules.SENSOR_LIMITS
-    rows = staged(parsed, _odd=F.expr(f"fields IS NOT NULL AND NOT {plainly_valid(required, limits)}"))
+    rows = _with_doubts(parsed, required, limits)
 
     def for_odd(sql, and_also="true"):
         return F.expr(f"CASE WHEN _odd AND {and_also} THEN {sql} END")
 
+    rows = staged(rows, fields=F.when(F.col("_odd"), top_level()))
     payload = f"try_variant_get(element_at(fields, 'telemetry'), '$', '{_OBJECT}')"
     rows = staged(rows, _needs=for_odd(_required_by_type(required)), _sensors=for_odd(payload))
-    rows = staged(rows, _early=for_odd(f"coalesce({envelope_failure()}, {machine_failure()})"))
+    rows = staged(rows, _early=for_odd(f"coalesce({envelope_failure()}, {machine_failure()})", "fields IS NOT NULL"))
     rows = staged(rows, _offender=for_odd(offending_sensor(limits), "_early IS NULL"))
     rows = staged(rows, _fail=F.expr(f"coalesce(_early, CASE WHEN _offender IS NOT NULL THEN {range_failure(limits)} END)"))
-    unreadable = F.col("fields").isNull()
-    kept = [c for c in parsed.columns if c != "fields"]
+    unreadable = F.expr("record IS NULL OR (_odd AND fields IS NULL)")
     return rows.select(
-        *kept,
-        F.map_filter("fields", lambda k, _: k != "_enqueue_epoch").alias("fields"),
+        *parsed.columns,
         F.when(unreadable, "decode_error").when(F.col("_fail").isNotNull(), "quarantine").otherwise("valid").alias("route"),
         F.when(unreadable, "decode_failure").otherwise(F.col("_fail.reason")).alias("reason"),
         F.when(unreadable, "record is not a JSON object in base64").otherwise(F.col("_fail.detail")).alias("detail"))

@@ -9,10 +9,9 @@ from plantwatch.functions import sensors
 from plantwatch.functions.stages import staged
 from plantwatch.functions.times import bound_column, bucket_label, event_time, parse_text, time_range
 from plantwatch.operators import diagnose as dx
-from plantwatch.operators.aggregates import anomalies
-from plantwatch.operators.latest import (
-    HISTORY_COLUMNS, latest_per_machine, newest, recent_history, risk_timeline,
-)
+from plantwatch.operators.aggregates import anomaly_count
+from plantwatch.operators.latest import newest, recent_history, risk_timeline
+from plantwatch.session import stored
 
 _SCORED = ["temperature", "motor_temperature", "vibration", "power_consumption", "energy_usage", "energy_output",
            "pressure", "hydraulic_pressure", "cycle_efficiency", "task_completion_rate", "degradation_level"]
@@ -21,7 +20,7 @@ _SCORED = ["temperature", "motor_temperature", "vibration", "power_consumption",
 def _newest_with_totals(df, columns):
     """Newest row and event totals of each machine from one scan and one shuffle."""
     both = df.groupBy("machine_id").agg(
-        F.count("*").alias("total_events"), anomalies.alias("anomaly_events"),
+        F.count("*").alias("total_events"), anomaly_count().alias("anomaly_events"),
         F.avg("temperature").alias("mean_temperature"), F.max("degradation_level").alias("peak_degradation"),
         newest(columns).alias("r"))
     return both.select("machine_id", "total_events", "anomaly_events", "mean_temperature", "peak_degradation", "r.*")
@@ -98,7 +97,7 @@ def machine_history(df, window="24h", machine_id=None):
         rows = df.select(*columns).join(ends, "machine_id").filter(
             (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("to")))
     means = rows.groupBy("machine_id", F.substring("timestamp", 1, width).alias("time_bucket")).agg(
-        *[F.avg(c).alias(c) for c in _TRENDS], anomalies.alias("anomaly_count"))
+        *[F.avg(c).alias(c) for c in _TRENDS], anomaly_count().alias("anomaly_count"))
     return means.select(
         "machine_id", "time_bucket", bucket_label(F.col("time_bucket"), window).alias("label"), "temperature",
         F.coalesce("degradation_level", F.lit(0.0)).alias("degradation_level"),
@@ -111,7 +110,8 @@ def history_or_recent(df, window="24h", n=20, machine_id=None):
     """Bucketed history; machines whose window is empty get their last n readings instead."""
     history = machine_history(df, window, machine_id)
     chosen = df if machine_id is None else df.filter(F.col("machine_id") == machine_id)
-    rest = recent_history(chosen, n).join(history.select("machine_id").distinct(), "machine_id", "left_anti")
+    empty = chosen.select("machine_id").distinct().join(history.select("machine_id"), "machine_id", "left_anti")
+    rest = recent_history(chosen.join(empty, "machine_id", "left_semi"), n)
     readings = ["temperature", "degradation_level", "anomaly_detected", "status", "pressure", "power_consumption",
                 "vibration", "cycle_efficiency"]
     return history.select("machine_id", F.col("label").alias("timestamp"), F.col("time_bucket").alias("sort_key"), *readings
@@ -129,7 +129,7 @@ def machine_analytics(df, window="24h", machine_id=None):
     columns = ["timestamp", "machine_type", "anomaly_detected", "anomaly_type", "anomaly_severity",
                "root_cause_candidates", "recommended_actions", "diagnostic_confidence", *_SCORED]
     base = staged(_newest_with_totals(df, columns), health_score=sensors.health_score())
-    base = base.withColumn("health_status", sensors.health_status(F.col("health_score")))
+    base = stored(base.withColumn("health_status", sensors.health_status(F.col("health_score"))), "machine-base")
     troubled = F.coalesce(F.col("anomaly_detected"), F.lit(False)) | (F.col("health_status") != "healthy")
     document = base.select(
         "machine_id", "machine_type", "total_events", "anomaly_events",
@@ -143,7 +143,7 @@ def machine_analytics(df, window="24h", machine_id=None):
         F.when(troubled, dx.active_anomaly_struct()).alias("active_anomaly"),
         dx.cause_ranking().alias("root_cause_analysis"))
     history = _nested(history_or_recent(df, window), "history", "sort_key")
-    timeline = _nested(risk_timeline(df, base.select("machine_id", "health_status", "timestamp")), "risk_timeline", "rank")
+    timeline = _nested(risk_timeline(df, base), "risk_timeline", "rank")
     return document.join(history, "machine_id", "left").join(timeline, "machine_id", "left")
 
 
@@ -152,6 +152,3 @@ def _nested(rows, name, order):
     return rows.groupBy("machine_id").agg(
         F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
 
-
-__all__ = ["machines", "factory_summary", "fleet_filter_sort", "predictive_maintenance", "machine_history",
-           "history_or_recent", "machine_analytics", "latest_per_machine", "HISTORY_COLUMNS"]

@@ -40,3 +40,14 @@ def work_dir(spark, name):
         base = tempfile.mkdtemp(prefix="plantwatch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df, name):
+    """Write a small result several later steps need to the shared folder and read it back.
+
+    For summaries (a row per machine, bucket or type): the big scan behind them then runs once, and a lost executor
+    costs no second scan.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plantwatch.operators.validate import parse_records, route, with_fields
+from plantwatch.operators.validate import parse_records, route, top_level
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, PARTITION_COLUMNS, RAW
 
 
@@ -89,17 +89,18 @@ def _date_parts(moment):
             F.date_format(moment, "dd").alias("day")]
 
 
-def _merged(fields, added):
-    """JSON text of a record with further fields."""
+def _merged(added):
+    """JSON text of a record with further fields and without the producer's internal one."""
     extra = F.create_map(*[x for name, value in added.items() for x in (F.lit(name), value.cast("variant"))])
-    kept = F.map_filter(fields, lambda k, _: ~k.isin(list(added)))
+    dropped = [*added, "_enqueue_epoch"]
+    kept = F.map_filter(top_level(), lambda k, _: ~k.isin(dropped))
     return F.to_json(F.map_concat(kept, extra)).alias("value")
 
 
 def write_raw(valid, path, moment, mode="append"):
     """Valid, diagnosed events as JSON by machine type and ingest date; every field of the record is kept."""
     valid.select(
-        _merged(F.col("fields"), {n: F.col(n) for n in DIAGNOSTIC_COLUMNS}), "machine_type", *_date_parts(moment)
+        _merged({n: F.col(n) for n in DIAGNOSTIC_COLUMNS}), "machine_type", *_date_parts(moment)
     ).write.partitionBy("machine_type", "year", "month", "day").mode(mode).text(path)
 
 
@@ -110,8 +111,7 @@ def write_quarantine(bad, path, moment, mode="append"):
     """
     stamp = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     undecoded = F.to_json(F.struct(F.col("reason").alias("error"), "detail", F.coalesce("data", F.lit("")).alias("raw_data")))
-    invalid = _merged(F.col("fields"), {"_validation_error": F.col("reason"), "_validation_detail": F.col("detail"),
-                                        "_quarantined_at": stamp})
+    invalid = _merged({"_validation_error": F.col("reason"), "_validation_detail": F.col("detail"), "_quarantined_at": stamp})
     lost = F.col("route") == "decode_error"
     bad.select(
         F.when(lost, undecoded).otherwise(invalid).alias("value"), *_date_parts(moment),
@@ -131,8 +131,8 @@ def reprocess_quarantine(rows, reason=None, required=None, limits=None):
     if reason is not None:
         rows = rows.filter(F.col("reason") == reason)
     added = ("_validation_error", "_validation_detail", "_quarantined_at")
-    again = parse_records(rows.select("value"))
-    again = with_fields(again, F.map_filter("fields", lambda k, _: ~k.isin(*added)))
+    clean = F.map_filter(top_level(), lambda k, _: ~k.isin(*added))
+    again = parse_records(rows.select("value")).withColumn("record", F.to_variant_object(clean))
     return route(again, required, limits)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
-from plantwatch.operators.aggregates import anomalies
+from plantwatch.operators.aggregates import anomaly_count
 
 
 def _timed(rows, delay):
@@ -17,7 +17,7 @@ def tumbling_summary(rows, every="1 hour", delay="10 minutes"):
     no window's rows meet in one task.
     """
     per_machine = _timed(rows, delay).groupBy(F.window("event_time", every), "machine_id").agg(
-        F.count("*").alias("n"), anomalies.alias("a"), F.sum("degradation_level").alias("s"),
+        F.count("*").alias("n"), anomaly_count().alias("a"), F.sum("degradation_level").alias("s"),
         F.count("degradation_level").alias("c"))
     summary = per_machine.groupBy(F.window(F.window_time("window"), every)).agg(
         F.sum("n").alias("total_events"), F.count("*").alias("active_machines"), F.sum("a").alias("total_anomalies"),
@@ -32,7 +32,7 @@ def sliding_activity(rows, length="1 hour", slide="15 minutes", delay="10 minute
     """Event, anomaly and status counts per sliding window."""
     status = lambda *s: F.count_if(F.col("status").isin(*s))
     counts = _timed(rows, delay).groupBy(F.window("event_time", length, slide)).agg(
-        F.count("*").alias("total_events"), anomalies.alias("anomaly_count"), status("healthy").alias("healthy_count"),
+        F.count("*").alias("total_events"), anomaly_count().alias("anomaly_count"), status("healthy").alias("healthy_count"),
         status("warning").alias("warning_count"), status("critical", "anomaly").alias("critical_count"))
     return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                          *[c for c in counts.columns if c != "window"])
