@@ -11,3 +11,8 @@ def staged(df, **columns):
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def opened(df, struct):
+    """Add the fields of a struct as columns, in a step of their own; a null struct gives nulls."""
+    return df.select("*", F.inline_outer(F.array(struct)))

@@ -3,15 +3,18 @@
 from pyspark.sql import functions as F
 
 from plantwatch import rules
-from plantwatch.functions.stages import staged
+from plantwatch.functions.stages import opened, staged
 from plantwatch.functions.text import quoted, sql_array, sql_map
 from plantwatch.functions.times import event_time
 from plantwatch.schema import REQUIRED_ENVELOPE, SENSORS
 
 _OBJECT = "map<string,variant>"
-_ENVELOPE = ("struct<event_id string, machine_id string, factory_id string, timestamp string, status string, "
-             "anomaly_detected boolean, anomaly_type string, anomaly_severity double, degradation_level double, "
-             "machine_type string>")
+_ENVELOPE_TYPES = {
+    "event_id": "string", "machine_id": "string", "factory_id": "string", "timestamp": "string", "status": "string",
+    "anomaly_detected": "boolean", "anomaly_type": "string", "anomaly_severity": "double", "degradation_level": "double",
+    "machine_type": "string"}
+_ENVELOPE = f"struct<{', '.join(f'{n} {t}' for n, t in _ENVELOPE_TYPES.items())}>"
+TYPED = [*_ENVELOPE_TYPES, *SENSORS]
 _SENSORS = f"struct<{', '.join(s + ' double' for s in SENSORS)}>"
 
 
@@ -22,9 +25,9 @@ def decode_stream(df):
 
 
 def parse_records(df):
-    """JSON text ``value`` to ``record`` (variant), ``envelope`` and ``sensors`` (typed).
+    """JSON text ``value`` to ``record`` (variant) and its envelope and sensors as typed columns.
 
-    A record whose fields do not fit the types has a null struct. Bare NaN and Infinity, which some producers write,
+    Where a field does not fit its type, the columns of its group (envelope or sensors) are null. Bare NaN and Infinity, which some producers write,
     are read as an infinite number, so such a record fails its range check rather than the parsing.
     """
     loose = F.try_parse_json(F.regexp_replace("value", r"([:,\[]\s*)-?(NaN|Infinity)", "$1" + "1e999"))
@@ -32,8 +35,9 @@ def parse_records(df):
 
 
 def with_typed(rows):
-    return staged(rows, envelope=F.try_variant_get("record", "$", _ENVELOPE),
-                  sensors=F.try_variant_get("record", "$.telemetry", _SENSORS))
+    kept = [c for c in rows.columns if c not in TYPED]
+    rows = opened(rows.select(*kept), F.try_variant_get("record", "$", _ENVELOPE))
+    return opened(rows, F.try_variant_get("record", "$.telemetry", _SENSORS))
 
 
 def top_level(record="record"):
@@ -127,14 +131,14 @@ def _with_doubts(parsed, required, limits):
     A sensor given as text or null would slip through the typed form, so the JSON text is searched for one. The
     conditions are staged one by one: each then compiles to a method small enough to be optimised.
     """
-    whens = " ".join(f"WHEN {quoted(machine)} THEN " + " AND ".join(f"sensors.{n} IS NOT NULL" for n in names)
+    whens = " ".join(f"WHEN {quoted(machine)} THEN " + " AND ".join(f"{n} IS NOT NULL" for n in names)
                      for machine, names in required.items())
-    within = " AND ".join(f"coalesce(sensors.{n} BETWEEN {lo}D AND {hi}D, true)" for n, (lo, hi) in limits.items())
+    within = " AND ".join(f"coalesce({n} BETWEEN {lo}D AND {hi}D, true)" for n, (lo, hi) in limits.items())
     not_a_number = '"(' + "|".join(limits) + r')"\s*:\s*["n\[{]|\\u'
-    named = f"""envelope.factory_id IS NOT NULL AND envelope.timestamp RLIKE {quoted(rules.TIMESTAMP_PREFIX)}
-        AND envelope.status IN ({', '.join(map(quoted, rules.STATUSES))}) AND envelope.machine_id <> ''
+    named = f"""factory_id IS NOT NULL AND timestamp RLIKE {quoted(rules.TIMESTAMP_PREFIX)}
+        AND status IN ({', '.join(map(quoted, rules.STATUSES))}) AND machine_id <> ''
         AND schema_of_variant(try_variant_get(record, '$.machine_id', 'variant')) = 'STRING'"""
-    rows = staged(parsed, _complete=F.expr(f"CASE envelope.machine_type {whens} END"))
+    rows = staged(parsed, _complete=F.expr(f"CASE machine_type {whens} END"))
     rows = staged(rows, _within=F.expr(within))
     rows = staged(rows, _named=F.expr(named))
     plain = f"_complete AND _within AND _named AND NOT value RLIKE {quoted(not_a_number)}"
@@ -157,13 +161,13 @@ def route(parsed, required=None, limits=None):
     rows = staged(rows, _needs=for_odd(_required_by_type(required)), _sensors=for_odd(payload))
     rows = staged(rows, _early=for_odd(f"coalesce({envelope_failure()}, {machine_failure()})", "fields IS NOT NULL"))
     rows = staged(rows, _offender=for_odd(offending_sensor(limits), "_early IS NULL"))
-    rows = staged(rows, _fail=F.expr(f"coalesce(_early, CASE WHEN _offender IS NOT NULL THEN {range_failure(limits)} END)"))
+    rows = opened(rows, F.expr(f"coalesce(_early, CASE WHEN _offender IS NOT NULL THEN {range_failure(limits)} END)"))
     unreadable = F.expr("record IS NULL OR (_odd AND fields IS NULL)")
     return rows.select(
         *parsed.columns,
-        F.when(unreadable, "decode_error").when(F.col("_fail").isNotNull(), "quarantine").otherwise("valid").alias("route"),
-        F.when(unreadable, "decode_failure").otherwise(F.col("_fail.reason")).alias("reason"),
-        F.when(unreadable, "record is not a JSON object in base64").otherwise(F.col("_fail.detail")).alias("detail"))
+        F.when(unreadable, "decode_error").when(F.col("reason").isNotNull(), "quarantine").otherwise("valid").alias("route"),
+        F.when(unreadable, "decode_failure").otherwise(F.col("reason")).alias("reason"),
+        F.when(unreadable, "record is not a JSON object in base64").otherwise(F.col("detail")).alias("detail"))
 
 
 def validate_route(df, required=None, limits=None):
@@ -187,12 +191,16 @@ def reason_counts(routed):
 
 
 def typed_events(routed):
-    """Envelope and sensors of valid records as columns; a missing event id gets a placeholder."""
-    names = ["machine_id", "factory_id", "timestamp", "status", "anomaly_detected", "anomaly_type", "anomaly_severity",
-             "degradation_level", "machine_type"]
-    kept = [c for c in routed.columns if c not in ("envelope", "sensors")]
-    return routed.select(*kept, F.coalesce("envelope.event_id", F.lit("no-event-id")).alias("event_id"),
-                         *[F.col(f"envelope.{n}") for n in names], "sensors.*")
+    """Valid records ready for diagnosis; a missing event id gets a placeholder.
+
+    An envelope field of an odd type (a severity given as text) nulls the typed envelope, which the checks do not mind;
+    its fields are then read one by one.
+    """
+    def read(name, dtype):
+        return F.coalesce(F.col(name), F.try_variant_get("record", f"$.{name}", dtype)).alias(name)
+    kept = [c for c in routed.columns if c not in _ENVELOPE_TYPES]
+    rows = routed.select(*kept, *[read(n, t) for n, t in _ENVELOPE_TYPES.items()])
+    return rows.withColumn("event_id", F.coalesce("event_id", F.lit("no-event-id")))
 
 
 # ---- checks of typed rows --------------------------------------------------------------------------------------

@@ -132,7 +132,8 @@ def reprocess_quarantine(rows, reason=None, required=None, limits=None):
         rows = rows.filter(F.col("reason") == reason)
     added = ("_validation_error", "_validation_detail", "_quarantined_at")
     clean = F.map_filter(top_level(), lambda k, _: ~k.isin(*added))
-    again = parse_records(rows.select("value")).withColumn("record", F.to_variant_object(clean))
+    again = parse_records(rows.select("value"))
+    again = again.withColumn("record", F.coalesce(F.to_variant_object(clean), "record"))
     return route(again, required, limits)
 
 

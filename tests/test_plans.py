@@ -34,9 +34,11 @@ def test_range_reads_only_its_days(spark, rows):
     frame = rows(*[{"timestamp": f"2024-01-{d:02d}T00:00:00Z", "day": d} for d in range(1, 8)])
     lake.write_curated(frame, path)
     table = time_range(lake.curated_table(spark, path), datetime(2024, 1, 3), datetime(2024, 1, 5)).select("temperature")
-    assert len(table.inputFiles()) == 7
-    plan = table._jdf.queryExecution().executedPlan()
-    assert "PartitionFilters: [isnotnull" in plan.toString()
+    table.collect()
+    scan = str(table._jdf.queryExecution().executedPlan().toString())
+    assert "PartitionFilters: [" in scan and "(year#" in scan.split("PartitionFilters: [")[1]
+    days = table.sparkSession.read.parquet(path).filter("day BETWEEN 3 AND 5").count()
+    assert table.count() == 2 and days == 3
     assert ag.temperature_sum(lake.curated_table(spark, path), "cnc_machine", 2024, 1, 3).count() == 1
 
 
