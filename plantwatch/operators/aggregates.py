@@ -1,9 +1,11 @@
 """Stored aggregates and views over the curated table (one scan and one shuffle each, combined before the shuffle)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import exact_round, percent_of
 from plantwatch.functions.times import BUCKET_WIDTH
+from plantwatch.session import stored
 
 def anomaly_count():
     """Aggregate: anomalous rows; a missing flag counts as none."""
@@ -157,11 +159,12 @@ def roll_up_counts(counts, width):
 
 
 def hourly_trends(df, hours=168, minutes=120, latest=False):
-    """Counts by hour, oldest ``hours`` first; by minute when the data cover a single hour.
+    """Counts by hour, the oldest ``hours`` (or the ``latest``); by minute when the data cover a single hour.
 
-    One scan: the minute counts feed both grains, and the number of hours picks one of them.
+    The events are scanned once, for the minute counts; these are stored and feed both grains, and the number of
+    hours picks one of them.
     """
-    per_minute = activity_counts(df, "minute")
+    per_minute = stored(activity_counts(df, "minute"), "minute-counts")
     per_hour = roll_up_counts(per_minute, 13)
     many_hours = per_hour.select((F.count("*") > 1).alias("many")).scalar()
     order = F.desc("time_bucket") if latest else F.asc("time_bucket")
@@ -180,7 +183,6 @@ def trend_shift(trends, threshold=0.5):
 
     Takes the rows of ``hourly_trends``, at most a few hundred.
     """
-    from pyspark.sql import Window
     thirds = trends.withColumn("third", F.ntile(3).over(Window.orderBy("time_label")))
     mean = thirds.agg(
         F.avg(F.when(F.col("third") == 1, F.col("anomaly_rate_pct"))).alias("early_rate"),

@@ -32,7 +32,8 @@ def correlated_failures(df, width=13, exposures=None):
     """
     exposures = exposures or EXPOSURES
     bucket = F.substring("timestamp", 1, width).alias("time_bucket")
-    failing = df.select("machine_id", bucket, *_failing()).filter("rule IS NOT NULL")
+    origins = [source for _, source, _, _ in exposures]
+    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", bucket, *_failing()).filter("rule IS NOT NULL")
     per_machine = failing.groupBy("rule", "time_bucket", "machine_id").agg(F.max("severity").alias("severity"))
     sources = per_machine.groupBy("rule", "time_bucket").agg(
         F.count("*").alias("source_machines"), F.sum("severity").alias("severity_sum"),

@@ -7,6 +7,9 @@ gets copies of the few rows next to it, so that a frame of k rows sees the same
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plantwatch.functions.times import event_time
+from plantwatch.rules import CASCADES
+
 # Lengths of the order text that make sensible chunks: whole history, month, day, hour, minute, second plus id prefix.
 WIDTHS = [0, 7, 10, 13, 16, 24]
 
@@ -22,7 +25,8 @@ def chunk_width(df, keys=("machine_id",), max_rows=1_000_000):
 
     def largest(widths):
         finest = max(widths)
-        counts = df.groupBy(*keys, F.substring(order_text(), 1, finest).alias("p")).agg(F.count("*").alias("n"))
+        counts = df.groupBy(*keys, F.substring(F.coalesce("timestamp", F.lit("")), 1, finest).alias("p")).agg(
+            F.count("*").alias("n"))
         for width in sorted(widths, reverse=True)[1:]:
             counts = counts.groupBy(*keys, F.substring("p", 1, width).alias("p")).agg(
                 F.sum("n").alias("n"), *[F.max(c).alias(c) for c in counts.columns if c.startswith("w")],
@@ -122,21 +126,15 @@ def anomaly_episodes(df, width=None, max_rows=1_000_000):
         F.max("machine_type").alias("machine_type"), F.max("kind").alias("anomaly_type"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("events").alias("events"),
         F.max("max_severity").alias("max_severity"))
-    seconds = F.unix_timestamp(_moment("end.timestamp")) - F.unix_timestamp(_moment("start.timestamp"))
+    seconds = F.unix_timestamp(event_time(F.col("end.timestamp"))) - F.unix_timestamp(event_time(F.col("start.timestamp")))
     return runs.filter("anomaly_type IS NOT NULL").select(
         "machine_id", "machine_type", "anomaly_type", F.col("start.timestamp").alias("start_time"),
         F.col("end.timestamp").alias("end_time"), F.col("start.event_id").alias("start_event_id"),
         seconds.alias("duration_seconds"), "events", "max_severity")
 
 
-def _moment(name):
-    from plantwatch.functions.times import event_time
-    return event_time(F.col(name))
-
-
 def anomaly_cascades(episodes, rules=None, width=None, max_rows=1_000_000):
     """Successive episodes of a machine where the first can set off the second, by the cascade table."""
-    from plantwatch.rules import CASCADES
     named = episodes.select(
         "machine_id", "machine_type", F.col("start_time").alias("timestamp"), F.col("start_event_id").alias("event_id"),
         "anomaly_type", "end_time", "max_severity")
@@ -160,7 +158,6 @@ def alarm_periods(df, breach_value, threshold, seconds=60, periods=2, group="mac
     ``breach_value`` is the aggregate of one period. Each breaching period is copied to the few periods it counts
     for and these are counted, so no window over a whole series is needed.
     """
-    from plantwatch.functions.times import event_time
     start = (F.floor(F.unix_timestamp(event_time()) / seconds) * seconds).cast("bigint")
     per_period = df.groupBy(group, start.alias("start")).agg(breach_value.alias("value"))
     breaches = per_period.filter(F.col("value") > threshold)

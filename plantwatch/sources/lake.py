@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from plantwatch.functions.times import event_time
 from plantwatch.operators.validate import parse_records, route, top_level
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, PARTITION_COLUMNS, RAW
 
@@ -51,21 +52,18 @@ def replay_dates(spark, path):
 
 def write_rotated(df, path, seconds=300):
     """Compact JSON lines in a folder per date and time slot."""
-    from plantwatch.functions.times import event_time
     slot = F.timestamp_seconds(F.floor(F.unix_timestamp(event_time()) / seconds) * seconds)
     (df.withColumns({"date": F.date_format(slot, "yyyy-MM-dd"), "slot": F.date_format(slot, "HH-mm")})
-     .repartition("date", "slot").write.partitionBy("date", "slot").mode("append").json(path))
+     .hint("rebalance", "date", "slot").write.partitionBy("date", "slot").mode("append").json(path))
 
 
-def write_curated(df, path, mode="append", files_per_partition=1):
+def write_curated(df, path, mode="append"):
     """Append to the curated table: Snappy Parquet by machine type and date, sorted by time inside the files.
 
-    ``files_per_partition`` spreads one machine type's day over that many tasks, by a hash of the event id, so a
-    heavy type does not land in a single writer.
+    Rebalancing brings the rows of a folder together and splits a heavy folder over several tasks, by size.
     """
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_partition))
-    (df.select(*CURATED.names).repartition(*PARTITION_COLUMNS, spread).sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
-     .write.partitionBy(*PARTITION_COLUMNS).mode(mode).option("compression", "snappy").parquet(path))
+    (df.select(*CURATED.names).hint("rebalance", *PARTITION_COLUMNS)
+     .sortWithinPartitions(*PARTITION_COLUMNS, "timestamp").write.partitionBy(*PARTITION_COLUMNS).mode(mode).option("compression", "snappy").parquet(path))
 
 
 def curated_table(spark, path):

@@ -56,10 +56,11 @@ def records_writer(df, checkpoint, trigger=None, mode="append"):
         **(trigger or {"availableNow": True}))
 
 
-def stream_curate(spark, raw_path, curated_path, checkpoint, trigger=None, files_per_trigger=None, files_per_partition=1):
+def stream_curate(spark, raw_path, curated_path, checkpoint, trigger=None, files_per_trigger=None, files_per_partition=8):
     """Curate raw files not yet seen into the partitioned table; one query is one active run.
 
-    Use ``trigger={"processingTime": "5 minutes"}`` to keep it running.
+    Use ``trigger={"processingTime": "5 minutes"}`` to keep it running. ``files_per_partition`` is the most tasks one
+    machine type's day is spread over, by a hash of the event id, so that a heavy type does not land in one writer.
     """
     rows = curate(stream_raw_json(spark, raw_path, files_per_trigger))
     spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_partition))
