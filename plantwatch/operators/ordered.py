@@ -4,11 +4,14 @@ A window over a machine's whole history is one task. Here the history is cut int
 gets copies of the few rows next to it, so that a frame of k rows sees the same neighbours as in the uncut history.
 """
 
-from pyspark.sql import Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
 from plantwatch.rules import CASCADES
+from plantwatch.session import stored
 
 # Lengths of the order text that make sensible chunks: whole history, month, day, hour, minute, second plus id prefix.
 WIDTHS = [0, 7, 10, 13, 16, 24]
@@ -43,23 +46,48 @@ def chunk_width(df, keys=("machine_id",), max_rows=1_000_000):
     return WIDTHS[-1]
 
 
+@dataclass(frozen=True)
+class Chunks:
+    """How histories are cut: the chunk width, and the keys it applies to (None: all)."""
+
+    width: int
+    large: DataFrame | None = None
+
+
+def choose_chunks(df, keys=("machine_id",), max_rows=1_000_000):
+    """Cut only the keys with more than ``max_rows`` rows; with none of them the histories stay whole."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = stored(counts.filter(F.col("n") > max_rows).select(*keys), "large-keys")
+    if large.isEmpty():
+        return Chunks(0)
+    return Chunks(chunk_width(df.join(large, keys, "left_semi"), keys, max_rows), large)
+
+
 def with_neighbours(df, before=0, after=0, width=None, keys=("machine_id",), max_rows=1_000_000):
     """Rows with ``_ord``, ``_chunk`` and ``_copy``: each chunk plus copies of the rows next to it.
 
     Windows partitioned by the keys and ``_chunk`` and ordered by ``_ord`` are then exact for frames of up to
     ``before`` rows back and ``after`` rows ahead; drop the copies afterwards. Only those few rows per chunk are
-    moved to build the copies.
+    moved to build the copies. ``width`` is a prefix length for all keys, a ``Chunks``, or None to choose.
     """
     keys = list(keys)
-    if width is None:
-        width = chunk_width(df, keys, max_rows)
+    plan = choose_chunks(df, keys, max_rows) if width is None else width if isinstance(width, Chunks) else Chunks(width)
     rows = df.withColumn("_ord", order_text())
-    rows = rows.withColumn("_chunk", F.substring("_ord", 1, width) if width else F.lit(""))
+    if not plan.width:
+        return rows.withColumns({"_chunk": F.lit(""), "_copy": F.lit(False)})
+    prefix = F.substring("_ord", 1, plan.width)
+    if plan.large is None:
+        rows = cut = rows.withColumn("_chunk", prefix)
+    else:
+        marked = rows.join(plan.large.withColumn("_large", F.lit(True)), keys, "left")
+        rows = marked.withColumn("_chunk", F.when(F.col("_large"), prefix).otherwise(F.lit(""))).drop("_large")
+        cut = rows.filter(F.col("_chunk") != "")
     result = rows.withColumn("_copy", F.lit(False))
-    if width and before:
-        result = result.unionByName(_copies(rows, keys, before, F.asc("_ord"), F.desc("_ord")))
-    if width and after:
-        result = result.unionByName(_copies(rows, keys, after, F.desc("_ord"), F.asc("_ord")))
+    if before:
+        result = result.unionByName(_copies(cut, keys, before, F.asc("_ord"), F.desc("_ord")))
+    if after:
+        result = result.unionByName(_copies(cut, keys, after, F.desc("_ord"), F.asc("_ord")))
     return result
 
 
@@ -104,8 +132,8 @@ def anomaly_episodes(df, width=None, max_rows=1_000_000):
     rows = df.select("machine_id", "machine_type", "timestamp", "event_id",
                      F.when(F.col("anomaly_detected"), F.coalesce("anomaly_type", F.lit("unknown"))).alias("kind"),
                      "anomaly_severity")
-    width = chunk_width(rows, max_rows=max_rows) if width is None else width
-    rows = with_neighbours(rows, before=1, width=width)
+    plan = choose_chunks(rows, max_rows=max_rows) if width is None else Chunks(width)
+    rows = with_neighbours(rows, before=1, width=plan)
     w = chunk_window()
     rows = rows.withColumn("begins", ~F.col("kind").eqNullSafe(F.lag("kind").over(w)) | F.lag("_ord").over(w).isNull())
     rows = rows.filter(~F.col("_copy"))
@@ -115,7 +143,7 @@ def anomaly_episodes(df, width=None, max_rows=1_000_000):
         F.max("kind").alias("kind"), F.max("machine_type").alias("machine_type"),
         F.min(F.struct("timestamp", "event_id")).alias("start"), F.max(F.struct("timestamp", "event_id")).alias("end"),
         F.count("*").alias("events"), F.max("anomaly_severity").alias("max_severity"))
-    if width:
+    if plan.width:
         starts = rows.groupBy("machine_id", "_chunk").agg(F.count_if(F.col("begins")).alias("starts"))
         earlier = Window.partitionBy("machine_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = starts.select("machine_id", "_chunk", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("offset"))

@@ -35,6 +35,16 @@ def test_features_and_labels(hot, width):
     assert same(cut, whole)
 
 
+def test_only_large_histories_are_cut(hot):
+    plan = ordered.choose_chunks(hot, max_rows=700)
+    assert plan.width == 10 and [r[0] for r in plan.large.collect()] == ["M1"]
+    assert ordered.choose_chunks(hot).width == 0
+    assert same(ordered.status_transitions(hot, max_rows=700), ordered.status_transitions(hot, width=0))
+    assert same(ordered.anomaly_episodes(hot, max_rows=700), ordered.anomaly_episodes(hot, width=0))
+    cut, whole = (rounded(features.rolling_features(hot, label=True, max_rows=n)) for n in (700, 10_000))
+    assert same(cut, whole)
+
+
 def test_width_follows_the_largest_group(hot):
     assert ordered.chunk_width(hot) == 0
     assert ordered.chunk_width(hot, max_rows=700) == 10
