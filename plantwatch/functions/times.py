@@ -74,7 +74,3 @@ def bucket_label(column, window):
         return F.substring(column, 6, 5)
     clock = F.substring(column, 12, 5)
     return clock if width == 16 else F.concat(clock, F.lit(":00"))
-
-
-def seconds_between(start, end):
-    return F.unix_timestamp(end) - F.unix_timestamp(start)

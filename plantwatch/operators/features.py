@@ -1,6 +1,5 @@
 """Feature table for failure models, and the models on Spark ML."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantwatch.operators.ordered import chunk_window, with_neighbours, without_copies
