@@ -2,6 +2,8 @@
 
 import os
 
+from plantwatch.llm import minhash_dedup as dedup
+from plantwatch.llm import quality
 from plantwatch.llm import token_counts as counts
 from plantwatch.llm import token_files as files
 
@@ -20,6 +22,14 @@ def vocabulary(name="byte_bpe_50k.json"):
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     return counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -28,5 +38,5 @@ def op7_token_files(spark, sf_dir):
     return files.token_files(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_token_counts, op7_token_files, op9_quality)}
 ORACLE = {}
