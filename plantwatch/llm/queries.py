@@ -2,8 +2,8 @@
 
 import os
 
+from plantwatch.llm import decontaminate, html_main, merkle, mixing, quality, secret_scan, warc
 from plantwatch.llm import minhash_dedup as dedup
-from plantwatch.llm import quality
 from plantwatch.llm import token_counts as counts
 from plantwatch.llm import token_files as files
 
@@ -30,6 +30,30 @@ def op9_quality(spark, sf_dir):
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_main(spark, sf_dir):
+    return html_main.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op10_merkle(spark, sf_dir):
+    return merkle.document_fingerprints(_table(spark, sf_dir, "documents")).drop("edited_sections")
+
+
 def op6_token_counts(spark, sf_dir):
     return counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -38,5 +62,5 @@ def op7_token_files(spark, sf_dir):
     return files.token_files(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_token_counts, op7_token_files, op9_quality)}
-ORACLE = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_warc, op3_secret_scan, op4_decontaminate, op5_mixing, op6_token_counts, op7_token_files, op8_html_main, op9_quality, op10_merkle)}
+ORACLE = {"op2_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL}
