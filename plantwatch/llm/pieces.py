@@ -37,31 +37,150 @@ def has_safe_cuts(path):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    added = [t for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
+    added = [t for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|[A-Za-z][.,;:!?]", t["content"])]
     return (spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not added)
 
 
+def _ends_in_mark(piece):
+    """Whether a letter and one mark end the piece: the two are always in different pre-tokens."""
+    return piece[-1:] in ".,;:!?" and piece[-2:-1].isalpha() and piece[-2] < "\u0250"
+
+
 class PieceCache(dict):
-    """Values of pieces, found in batches; at most ``most`` are remembered, then it starts afresh."""
+    """Values of pieces, found in batches; at most ``most`` are remembered, then it starts afresh.
 
-    def __init__(self, find, most=400_000):
+    Values can be added: that of a piece which ends in a mark is the sum of the values of its two parts.
+    """
+
+    def __init__(self, find, most=1_500_000):
         super().__init__()
         self.find, self.most = find, most
 
     def of(self, texts):
         """For each text the list of its pieces, all of whose values are now in the cache."""
         cut = [pieces(t) for t in texts]
-        new = {p for c in cut for p in c if p not in self}
-        if len(self) + len(new) > self.most:
+        new = set().union(*cut).difference(self)
+        if new and len(self) + len(new) > self.most:
             self.clear()
-            new = {p for c in cut for p in c}
-        if new:
-            new = list(new)
-            self.update(zip(new, self.find(new)))
+            new = set().union(*cut)
+        marked = [p for p in new if _ends_in_mark(p)]
+        plain = new.difference(marked)
+        plain.update({p[:-1] for p in marked}.union(p[-1] for p in marked).difference(self))
+        plain = list(plain)
+        self.update(zip(plain, self.find(plain)))
+        self.update((p, self[p[:-1]] + self[p[-1]]) for p in marked)
         return cut
 
 
+_SPACE, _MARK, _LETTER = 1, 2, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[32, 10]], _CLASS[list(b".,;:!?")] = _SPACE, _MARK
+_CLASS[list(range(65, 91)) + list(range(97, 123))] = _LETTER
+
+
+def _powers(base, n):
+    return np.cumprod(np.full(n, base, np.uint64))
+
+
+class PieceIds:
+    """Token ids of whole texts, by arrays: pieces are cut and hashed in the bytes, and each is tokenised once.
+
+    Besides the safe cuts, a letter and a mark after it are parted: they are never in one pre-token. Pieces are known by
+    two 64-bit hashes and their length; at most ``most`` are remembered, then it starts afresh.
+    """
+
+    def __init__(self, tokenizer, most=1_500_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.powers = [_powers(b, 64) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+        self._forget()
+
+    def _forget(self):
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.used = np.empty(1 << 16, "<u4"), 0
+
+    def _add(self, key, check, new):
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(count.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), total), "<u4")])
+        self.pool[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), "<u4", total)
+        start = self.used + np.cumsum(count) - count
+        self.used += total
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key, kind="stable")
+        self.key, self.check = key[order], np.concatenate([self.check, check])[order]
+        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+
+    def _find(self, key, check):
+        """Places in the table; -1 where a piece is not known."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def _hashes(self, data, starts, lengths):
+        longest = int(lengths.max())
+        if longest > len(self.powers[0]):
+            self.powers = [_powers(int(p[0]), longest) for p in self.powers]
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        values = data.astype(np.uint64) + np.uint64(1)
+        return [np.add.reduceat(values * p[place], starts) + lengths.astype(np.uint64) for p in self.powers]
+
+    def _safe(self, texts):
+        """Ids of all texts in one array, and how many each has; the texts have none of ``UNSAFE``."""
+        coded = [t.encode() for t in texts]
+        raw = b"".join(coded)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        if not raw:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        kind = _CLASS[data]
+        cut = kind == _SPACE
+        cut[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+        text_starts = np.cumsum(sizes) - sizes
+        cut[text_starts[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(np.append(starts, len(data)))
+        key, check = self._hashes(data, starts, lengths)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][back] != check).any():  # two pieces of one key: by the library
+            return None
+        at = self._find(key[first], check[first])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.key) + len(new) > self.most:
+                self._forget()
+                new = np.arange(len(first))
+            ends = (starts + lengths)[first[new]]
+            self._add(key[first[new]], check[first[new]], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends.tolist())])
+            at = self._find(key[first], check[first])
+            if (at < 0).any():
+                return None
+        at = at[back]
+        count = self.count[at]
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(self.start[at] - (ends - count), count) + np.arange(int(ends[-1]))]
+        pieces_before = np.searchsorted(starts, np.append(text_starts, len(data)))
+        return ids, np.diff(np.append(0, ends)[pieces_before])
+
+    def of(self, texts):
+        """For each text its ids, little-endian unsigned 32-bit integers, as bytes."""
+        plain = [k for k, t in enumerate(texts) if not UNSAFE.search(t)]
+        result = [None] * len(texts)
+        if plain and (found := self._safe([texts[k] for k in plain])) is not None:
+            ids, counts = found
+            raw, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+            for k, start, end in zip(plain, [0, *ends], ends):
+                result[k] = raw[start:end]
+        rest = [k for k, r in enumerate(result) if r is None]
+        for k, ids in zip(rest, id_bytes(self.tokenizer, [texts[k] for k in rest])):
+            result[k] = ids
+        return result
+
+
 def groups(values, weight, most):
     """Lists of neighbours that together weigh at most ``most``, or one value that weighs more."""
     held, load = [], 0

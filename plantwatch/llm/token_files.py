@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plantwatch.llm.pieces import PieceCache, groups, has_safe_cuts, id_bytes, load
+from plantwatch.llm.pieces import PieceIds, groups, has_safe_cuts, id_bytes, load
 from plantwatch.llm.store import open_file, partitions, shared_dir, write_file, written
 
 MAGIC = b"PFB1"
@@ -96,8 +96,7 @@ def read_file(data):
 
 @lru_cache(maxsize=2)
 def _cache(path):
-    tokenizer = load(path)
-    return PieceCache(lambda new: id_bytes(tokenizer, new))
+    return PieceIds(load(path))
 
 
 @lru_cache(maxsize=2)
@@ -109,9 +108,7 @@ def _encoded(texts, path, cuts):
     """Ids of each text as bytes."""
     if not cuts:
         return id_bytes(_tokenizer(path), texts)
-    cache = _cache(path)
-    cut = cache.of(texts)
-    return [b"".join(map(cache.__getitem__, c)) for c in cut]
+    return _cache(path).of(texts)
 
 
 def write_tokens(docs, path, folder=None, end_id=0, file_ids=FILE_IDS, percentile=PERCENTILE, id_column="doc_id", text_column="text"):
@@ -138,7 +135,7 @@ def write_tokens(docs, path, folder=None, end_id=0, file_ids=FILE_IDS, percentil
 
         for batch in batches:
             documents = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            for group in groups(documents, lambda d: len(d[1]), 1 << 20):
+            for group in groups(documents, lambda d: len(d[1]), 2 << 20):
                 shard = batch.column("shard")[0].as_py()
                 for (key, _), ids in zip(group, _encoded([d[1] for d in group], path, cuts)):
                     held.append((key, ids + end))
