@@ -14,12 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plantwatch.llm.components import components
 from plantwatch.llm.pieces import groups
 from plantwatch.llm.shingles import WIDTH, mix, shingles, weighed
-from plantwatch.llm.store import written
+from plantwatch.llm.store import rows_of, written
 
 BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
@@ -48,16 +49,25 @@ def _family_keys(values):
 
 def _document_frequencies(texts, n_buckets, width, rare):
     """(shingle, frequency) of the shingles that more than ``rare`` unlike documents have; shingle is its upper 48 bits."""
-    bounds = np.arange(1, n_buckets, dtype=np.float64) / n_buckets * 2.0**64
+    bounds = (np.arange(1, n_buckets, dtype=np.float64) / n_buckets * 2.0**64).astype(np.uint64)
+    arrow = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def rows(held):
+        keys, counts = weighed(np.concatenate(held)) if held else (np.empty(0, np.uint64), [])
+        cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+        found = [(b, keys[i:j].tobytes(), counts[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        return pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["bucket", "keys", "counts"]), schema=arrow, preserve_index=False)
 
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            for group in groups(batch["text"].tolist(), len, 12 << 20):
-                keys = [_family_keys(s) for s in shingles(group, width)]
-                keys, counts = weighed(np.concatenate([k for k in keys if len(k)] or [np.empty(0, np.uint64)]))
-                cuts = [0, *np.searchsorted(keys, bounds.astype(np.uint64)).tolist(), len(keys)]
-                rows = [(b, keys[i:j].tobytes(), counts[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-                yield pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
+            for group in groups((t for t, in rows_of(batch)), len, 1 << 20):
+                held += [_family_keys(s) for s in shingles(group, width)]
+                size += sum(map(len, group))
+                if size >= 12 << 20:
+                    yield rows(held)
+                    held, size = [], 0
+        yield rows(held)
 
     def merge(frame):
         keys = np.frombuffer(b"".join(frame["keys"]), "<u8")
@@ -72,7 +82,7 @@ def _document_frequencies(texts, n_buckets, width, rare):
         common = unlike > rare
         return pd.DataFrame({"shingle": shingle[starts][common].astype(np.int64), "frequency": unlike[common]})
 
-    found = texts.select("text").mapInPandas(count, "bucket int, keys binary, counts binary")
+    found = texts.select("text").mapInArrow(count, "bucket int, keys binary, counts binary")
     return found.groupBy("bucket").applyInPandas(merge, "shingle bigint, frequency double")
 
 
@@ -185,46 +195,51 @@ def _weigher(texts, common, total, rare, most):
     return texts.join(own, texts["key"].eqNullSafe(own["key"]), "left").drop(own["key"]), weights
 
 
-def _weighed_texts(batch, weights, width):
-    """(place in the batch, distinct shingles, counts, weights) of every text."""
-    held = list(zip(range(len(batch)), batch["text"], batch["common"]))
-    for group in groups(held, lambda x: len(x[1]), 4 << 20):
-        for (k, _, common), values in zip(group, shingles([g[1] for g in group], width)):
-            values, counts = weighed(values)
-            yield k, values, counts, weights(common, values, counts)
+def _weighed_texts(batches, weights, width):
+    """(id, distinct shingles, counts, weights) of every text."""
+    for batch in batches:
+        for group in groups(rows_of(batch.select(["doc_id", "text", "common"])), lambda x: len(x[1]), 1 << 20):
+            for (key, _, common), values in zip(group, shingles([g[1] for g in group], width)):
+                values, counts = weighed(values)
+                yield key, values, counts, weights(common, values, counts)
+
+
+def _in_batches(rows, schema, size, most):
+    """Arrow batches of rows; a batch ends when the sizes of its rows reach ``most``."""
+    held, load = [], 0
+    for row in rows:
+        held.append(row)
+        load += size(row)
+        if load >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, load = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 def _signed(texts, weights, width, bands, rows, seed):
     """Of every text its digest, band keys and one byte of each sample."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
-    def sign(batches):
-        for batch in batches:
-            found = []
-            for _, values, counts, w in _weighed_texts(batch, weights, width):
-                drawn, level = sample(values, w, bands * rows, seed)
-                slots = (mix(drawn + level.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-                keys = band_keys(drawn, level, bands, rows) if len(values) else np.empty(0, np.uint64)
-                found.append((digest(values, counts), keys.view(np.int64), slots.tobytes()))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(found, columns=["digest", "bands", "slots"])], axis=1)
+    def signatures(batches):
+        for key, values, counts, w in _weighed_texts(batches, weights, width):
+            drawn, level = sample(values, w, bands * rows, seed)
+            slots = (mix(drawn + level.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+            keys = band_keys(drawn, level, bands, rows) if len(values) else np.empty(0, np.uint64)
+            yield key, digest(values, counts), keys.view(np.int64), slots.tobytes()
 
-    return texts.mapInPandas(sign, "doc_id bigint, digest binary, bands array<bigint>, slots binary")
+    return texts.mapInArrow(lambda batches: _in_batches(signatures(batches), schema, lambda row: 1, 5000), "doc_id bigint, digest binary, bands array<bigint>, slots binary")
 
 
 def _vectors(texts, weights, width):
     """Of every text its digest and its shingles with their weights."""
+    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary()), ("weights", pa.binary())])
 
-    def pack(batches):
-        for batch in batches:
-            found, size = [], 0
-            for _, values, counts, w in _weighed_texts(batch, weights, width):
-                found.append((digest(values, counts), values.astype("<u8").tobytes(), w.astype("<f4").tobytes()))
-                size += len(values)
-                if size >= 1 << 20:
-                    yield pd.DataFrame(found, columns=["digest", "shingles", "weights"])
-                    found, size = [], 0
-            yield pd.DataFrame(found, columns=["digest", "shingles", "weights"])
-
-    return texts.mapInPandas(pack, "digest binary, shingles binary, weights binary")
+    def vectors(batches):
+        for _, values, counts, w in _weighed_texts(batches, weights, width):
+            yield digest(values, counts), values.astype("<u8").tobytes(), w.astype("<f4").tobytes()
+
+    return texts.mapInArrow(lambda batches: _in_batches(vectors(batches), schema, lambda row: len(row[1]), 4 << 20), "digest binary, shingles binary, weights binary")
 
 
 # ---- verification ---------------------------------------------------------------------------------------------------

@@ -42,3 +42,10 @@ def open_file(uri):
 def partitions(df):
     """How many tasks a shuffle of this session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def rows_of(batch, rows=256):
+    """An Arrow batch as tuples of its columns, turned into Python values a few rows at a time."""
+    for k in range(0, batch.num_rows, rows):
+        part = batch.slice(k, rows)
+        yield from zip(*[column.to_pylist() for column in part.columns])
