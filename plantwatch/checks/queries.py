@@ -136,7 +136,7 @@ def validate_route(spark, sf):
 
 def first_failure(spark, sf):
     routed = validate.validate_route(_records(spark, sf))
-    return routed.select(F.col("seq").alias("event_id"), "route", "reason")
+    return routed.select(F.col("seq").alias("event_id"), "route", "reason", "detail")
 
 
 def route_stats(spark, sf):
@@ -311,6 +311,10 @@ def machine_document(df):
     return rows.select(
         "machine_id", "health_status", "health_score", "last_updated", F.size("history").alias("history_rows"),
         F.size("risk_timeline").alias("timeline_rows"), F.size("root_cause_analysis").alias("causes"),
+        F.col("history")[0]["timestamp"].alias("first_history"),
+        F.round(F.aggregate("history", F.lit(0.0), lambda t, h: t + F.coalesce(h["temperature"], F.lit(0.0))), 6).alias("history_temperature"),
+        F.round(F.aggregate("risk_timeline", F.lit(0.0), lambda t, e: t + e["severity"]), 6).alias("timeline_severity"),
+        F.col("risk_timeline")[0]["timestamp"].alias("newest_in_timeline"), F.col("root_cause_analysis")[0]["cause"].alias("first_cause"),
         F.col("predictive_maintenance.failure_risk_pct").alias("failure_risk_pct"),
         F.col("active_anomaly.problem").alias("problem"))
 
@@ -433,6 +437,54 @@ def stream_curate(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("temperature"), SUM).alias("temperature"))
 
 
+def stream_replay(spark, sf):
+    """A raw batch that is written again after it was curated, and curated again, leaves one copy."""
+    base = _validated_lake(spark, sf)
+    curate_again = lambda: ingest.stream_curate(spark, f"{base}/raw", f"{base}/curated", f"{base}/curate-checkpoint").awaitTermination()
+    curate_again()
+    ingest.stream_validate(fixture.stream_records(_events_stream(spark, sf)), f"{base}/raw", f"{base}/quarantine", f"{base}/stats",
+                           f"{base}/checkpoint-again", ingest_time=INGEST_TIME).awaitTermination()
+    curate_again()
+    return lake.curated_table(spark, f"{base}/curated").groupBy("machine_type").agg(F.count("*").alias("n"))
+
+
+def stream_curate_counts(spark, sf):
+    """Rows read, kept and dropped by the curating stream; some raw records have no usable date or machine."""
+    base = work_dir(spark, "dropped")
+    with_gaps = _with_gaps(_t(spark, sf))
+    fixture.envelopes(with_gaps).select("value").write.text(f"{base}/raw")
+    ingest.stream_curate(spark, f"{base}/raw", f"{base}/curated", f"{base}/checkpoint", stats_path=f"{base}/stats").awaitTermination()
+    return spark.read.parquet(f"{base}/stats").agg(*[F.sum(c).alias(c) for c in ("rows_in", "rows_kept", "rows_dropped")])
+
+
+def _in_two_runs(spark, rows, first, run):
+    """Run a stream over the rows of ``first`` and then, with the same checkpoint, over the others."""
+    base = work_dir(spark, "two-runs")
+    for part in (first, ~first):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/source")
+        run(spark.readStream.schema(rows.schema).parquet(f"{base}/source"), base).awaitTermination()
+    return base
+
+
+def stream_late(spark, sf):
+    """A third of the records come in a second batch; those over an hour older than the first batch's newest are late."""
+    records = fixture.stream_records(_t(spark, sf))
+    base = _in_two_runs(spark, records, F.col("seq").cast("bigint") % 3 != 0, lambda stream, base: ingest.stream_validate(
+        stream, f"{base}/raw", f"{base}/quarantine", f"{base}/stats", f"{base}/checkpoint", ingest_time=INGEST_TIME, late_path=f"{base}/late"))
+    on_time = lake.read_raw_json(spark, f"{base}/raw").select("machine_type", F.lit("on_time").alias("route"))
+    late = lake.read_raw_json(spark, f"{base}/late").select("machine_type", F.lit("late").alias("route"))
+    counted = spark.read.parquet(f"{base}/stats").select(F.lit("counted").alias("machine_type"), F.lit("late").alias("route"), F.col("late").alias("n"))
+    rows = on_time.unionByName(late).groupBy("machine_type", "route").agg(F.count("*").alias("n"))
+    return rows.unionByName(counted.groupBy("machine_type", "route").agg(F.sum("n").alias("n")))
+
+
+def stream_status_changes(spark, sf):
+    """Changes of status and how long the old one lasted, with the state carried over from batch to batch."""
+    base = _in_two_runs(spark, _t(spark, sf), F.col("timestamp") < "2024-01-15", lambda stream, base: windows.status_changes(
+        stream, f"{base}/changes", f"{base}/state", f"{base}/stats", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/changes").drop("batch")
+
+
 def reprocess(spark, sf):
     """Quarantined range errors validated again under wider limits."""
     base = _validated_lake(spark, sf)
@@ -571,6 +623,7 @@ QUERIES = {
     "next_anomaly_label": _on_telemetry(labels),
     "alarm_periods": _on_telemetry(alarms),
     "correlated_failures": _on_telemetry(correlated),
+    "correlated_within": _on_telemetry(lambda t: _rounded(correlate.correlated_within(t), severity_sum=6)),
     # plans
     "machines": _on_telemetry(machine_rows),
     "factory_summary": _on_telemetry(lambda t: machines.factory_summary(machines.machines(t))),
@@ -581,8 +634,9 @@ QUERIES = {
     "current_conditions": _on_telemetry(latest.current_conditions),
     "machine_analytics": _on_diagnosed(machine_document),
     "business_kpis": _on_telemetry(business),
-    "recommendations": _on_telemetry(advice(10)),
+    "recommendations": _on_telemetry(advice(None)),
     "recommendations_all": _on_telemetry(advice(None)),
+    "recommendations_top10": _on_telemetry(advice(10)),
     "time_span": _on_telemetry(activity.time_span),
     "activity_series_24h": _on_telemetry(series("24h")),
     "activity_series_7d": _on_telemetry(series("7d")),
@@ -604,6 +658,10 @@ QUERIES = {
     "stream_stats": stream_stats,
     "stream_dedup": stream_dedup,
     "stream_curate": stream_curate,
+    "stream_replay": stream_replay,
+    "stream_curate_counts": stream_curate_counts,
+    "stream_late": stream_late,
+    "stream_status_changes": stream_status_changes,
     "reprocess_quarantine": reprocess,
     "stream_tumbling": stream_tumbling,
     "stream_sliding": stream_sliding,

@@ -14,7 +14,8 @@ def exact_round(value, digits):
     """Round a double by its exact binary value; Spark's ``round`` works on the shortest decimal text instead.
 
     The value (times 2**20 while it is small) is split into a whole and a fraction, both exact, so the rest left
-    after the candidate shows on which side of a tie the double lies.
+    after the candidate shows on which side of a tie the double lies. From 1e13 on a double has less than ten binary
+    places and is exact as a whole number of 1024ths; from 2**52 on it is whole and so its own rounding.
     """
     return once(value.cast("double"), lambda v: _rounded(v, 10 ** digits))
 
@@ -27,7 +28,16 @@ def _rounded(value, power):
     rest = exact * F.lit(power).cast("decimal(5,0)") - (candidate * scale).cast("decimal(18,0)")
     side = rest + rest - scale.cast("decimal(7,0)")
     up = (side > 0) | ((side == 0) & (candidate % 2 != 0))
-    return F.when(F.abs(value) < 1e13, (candidate + up.cast("bigint")).cast("double") / float(power)).otherwise(value)
+    small = (candidate + up.cast("bigint")).cast("double") / float(power)
+    return F.when(F.abs(value) < 1e13, small).when(F.abs(value) < 2.0 ** 52, _rounded_large(value, power)).otherwise(value)
+
+
+def _rounded_large(value, power):
+    parts = (value * 1024.0).cast("bigint").cast("decimal(19,0)") * F.lit(power).cast("decimal(5,0)")
+    rest = F.pmod(parts, F.lit(1024).cast("decimal(4,0)"))
+    candidate = ((parts - rest) / F.lit(1024).cast("decimal(4,0)")).cast("decimal(24,0)")
+    up = (rest > 512) | ((rest == 512) & (candidate % F.lit(2).cast("decimal(1,0)") != 0))
+    return ((candidate + up.cast("int").cast("decimal(1,0)")) / F.lit(power).cast("decimal(5,0)")).cast("double")
 
 
 def fixed_text(value, digits):

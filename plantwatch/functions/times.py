@@ -10,10 +10,6 @@ BUCKET_WIDTH = {"day": 10, "hour": 13, "minute": 16}
 _FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d")
 
 
-def bucket(column, grain):
-    return F.substring(column, 1, BUCKET_WIDTH[grain])
-
-
 def event_time(column=None):
     """Timestamp of the ISO text; null when it cannot be read in any of the three accepted forms."""
     column = F.col("timestamp") if column is None else column
@@ -43,6 +39,22 @@ def bound_column(timestamp_column):
     return F.concat(F.date_format(timestamp_column, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
 
 
+def time_ends(df):
+    """One row: ``oldest`` and ``newest`` event text.
+
+    Where the table has the date columns, only the first and the last day are looked into; the days themselves are found
+    without reading any column of the files, if the table is partitioned by them.
+    """
+    oldest, newest = F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest")
+    if not {"year", "month", "day"} <= set(df.columns):
+        return df.agg(oldest, newest)
+    day = F.struct("year", "month", "day")
+    days = df.filter("year IS NOT NULL").select(day.alias("d")).agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    first, last = (days.select(c).scalar() for c in ("first", "last"))
+    there = lambda end: (F.col("year") == end["year"]) & (F.col("month") == end["month"]) & (F.col("day") == end["day"])
+    return df.filter(there(first) | there(last)).agg(oldest, newest)
+
+
 def time_range(df, start, end, include_end=False):
     """Rows in ``[start, end)``; with ``include_end`` the last second counts too.
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import exact_round, percent_of
 from plantwatch.functions.times import BUCKET_WIDTH
-from plantwatch.session import stored
 
 def anomaly_count():
     """Aggregate: anomalous rows; a missing flag counts as none."""
@@ -151,29 +150,19 @@ def activity_counts(df, grain):
     return df.groupBy(F.substring("timestamp", 1, BUCKET_WIDTH[grain]).alias("time_bucket")).agg(*_status_counts())
 
 
-def roll_up_counts(counts, width):
-    """Coarser buckets from finer ones; counts add up exactly."""
-    names = ("total_events", "anomaly_count", "healthy_count", "warning_count", "critical_count")
-    return counts.groupBy(F.substring("time_bucket", 1, width).alias("time_bucket")).agg(
-        *[F.sum(n).alias(n) for n in names])
+def hourly_trends(df, buckets=None, grain="hour", latest=False):
+    """Counts of every hour, or of every minute or day with another ``grain``.
 
-
-def hourly_trends(df, hours=168, minutes=120, latest=False):
-    """Counts by hour, the oldest ``hours`` (or the ``latest``); by minute when the data cover a single hour.
-
-    The events are scanned once, for the minute counts; these are stored and feed both grains, and the number of
-    hours picks one of them.
+    ``buckets`` keeps only so many for a report, the oldest or the ``latest``; by default all are kept.
     """
-    per_minute = stored(activity_counts(df, "minute"), "minute-counts")
-    per_hour = roll_up_counts(per_minute, 13)
-    many_hours = per_hour.select((F.count("*") > 1).alias("many")).scalar()
-    order = F.desc("time_bucket") if latest else F.asc("time_bucket")
-    by_hour = per_hour.filter(many_hours).orderBy(order).limit(hours)
-    by_minute = per_minute.filter(~many_hours).orderBy(order).limit(minutes)
+    counts = activity_counts(df, grain)
+    if buckets is not None:
+        counts = counts.orderBy(F.desc("time_bucket") if latest else F.asc("time_bucket")).limit(buckets)
     label = F.replace("time_bucket", F.lit("T"), F.lit(" "))
-    return by_hour.withColumn("time_label", F.concat(label, F.lit(":00"))).unionByName(
-        by_minute.withColumn("time_label", label)).select(
-        "time_label", "total_events", "anomaly_count",
+    if grain == "hour":
+        label = F.concat(label, F.lit(":00"))
+    return counts.select(
+        label.alias("time_label"), "total_events", "anomaly_count",
         exact_round(percent_of(F.col("anomaly_count"), F.col("total_events")), 2).alias("anomaly_rate_pct"),
         "healthy_count", "warning_count", "critical_count").orderBy("time_label")
 
@@ -181,7 +170,7 @@ def hourly_trends(df, hours=168, minutes=120, latest=False):
 def trend_shift(trends, threshold=0.5):
     """Mean anomaly rate of the last third of the buckets minus that of the first third, and its direction.
 
-    Takes the rows of ``hourly_trends``, at most a few hundred.
+    Takes the rows of ``hourly_trends``, one for each hour: about nine thousand a year, whatever the number of events.
     """
     thirds = trends.withColumn("third", F.ntile(3).over(Window.orderBy("time_label")))
     mean = thirds.agg(
@@ -233,15 +222,17 @@ def telemetry_profile(df):
 def degradation_profile(df):
     """Count, mean, spread, range and quartiles of the degradation level.
 
-    Rows are first counted per distinct level. The level lies in 0..1 and is stored with four decimals, so
-    at most 10,001 levels reach the last step, however many rows there are.
+    Count, sums and ends are taken over the levels as they are. Quartiles are those of the levels rounded to six
+    decimals: rows are counted per rounded level first. The level lies in 0..1, so at most 1,000,001 of them reach the
+    last step however many rows there are; levels outside count as the nearer end.
     """
-    levels = df.filter("degradation_level IS NOT NULL").groupBy("degradation_level").agg(F.count("*").alias("n"))
-    level, n = F.col("degradation_level"), F.col("n")
+    level, n = F.col("level"), F.col("n")
+    levels = df.filter("degradation_level IS NOT NULL").select(F.col("degradation_level").alias("level"))
+    levels = levels.groupBy(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(level, 6))).alias("fine")).agg(
+        F.count("*").alias("n"), F.sum(level).alias("s"), F.sum(level * level).alias("q"), F.min(level).alias("lo"), F.max(level).alias("hi"))
     stats = levels.agg(
-        F.sum(n).alias("count"), F.sum(level * n).alias("total"), F.sum(level * level * n).alias("squares"),
-        F.min(level).alias("min"),
-        F.percentile(level, [0.25, 0.5, 0.75], n).alias("quartiles"), F.max(level).alias("max"))
+        F.sum(n).alias("count"), F.sum("s").alias("total"), F.sum("q").alias("squares"), F.min("lo").alias("min"),
+        F.percentile("fine", [0.25, 0.5, 0.75], n).alias("quartiles"), F.max("hi").alias("max"))
     mean = F.col("total") / F.col("count")
     variance = (F.col("squares") - F.col("total") * mean) / (F.col("count") - 1)
     return stats.select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plantwatch.functions.times import event_time
 from plantwatch.rules import EXPOSURES
 
 
@@ -23,6 +24,24 @@ def _failing():
     return rule.alias("rule"), severity.alias("severity")
 
 
+def _sources(df, exposures, when, name="time_bucket"):
+    """Failing machines and their severities, summed per rule and time; a machine counts once at each time."""
+    origins = [source for _, source, _, _ in exposures]
+    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", when, *_failing()).filter("rule IS NOT NULL")
+    per_machine = failing.groupBy("rule", name, "machine_id").agg(F.max("severity").alias("severity"))
+    return per_machine.groupBy("rule", name).agg(
+        F.count("*").alias("source_machines"), F.sum("severity").alias("severity_sum"),
+        F.max("severity").alias("max_severity"))
+
+
+def _dependants(exposures):
+    """Machine types that a rule acts on, as an array."""
+    pairs = F.lit(None).cast("array<string>")
+    for name, _, dependants, _ in reversed(exposures):
+        pairs = F.when(F.col("rule") == name, F.array(*[F.lit(d) for d in dependants])).otherwise(pairs)
+    return pairs
+
+
 def correlated_failures(df, width=13, exposures=None):
     """Exposure of each dependent machine per time bucket and rule, with the expected change of its sensors.
 
@@ -32,16 +51,8 @@ def correlated_failures(df, width=13, exposures=None):
     """
     exposures = exposures or EXPOSURES
     bucket = F.substring("timestamp", 1, width).alias("time_bucket")
-    origins = [source for _, source, _, _ in exposures]
-    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", bucket, *_failing()).filter("rule IS NOT NULL")
-    per_machine = failing.groupBy("rule", "time_bucket", "machine_id").agg(F.max("severity").alias("severity"))
-    sources = per_machine.groupBy("rule", "time_bucket").agg(
-        F.count("*").alias("source_machines"), F.sum("severity").alias("severity_sum"),
-        F.max("severity").alias("max_severity"))
-    pairs = F.lit(None).cast("array<string>")
-    for name, _, dependants, _ in reversed(exposures):
-        pairs = F.when(F.col("rule") == name, F.array(*[F.lit(d) for d in dependants])).otherwise(pairs)
-    reach = sources.select("*", F.explode(pairs).alias("machine_type"))
+    sources = _sources(df, exposures, bucket)
+    reach = sources.select("*", F.explode(_dependants(exposures)).alias("machine_type"))
     dependants = sorted({d for _, _, types, _ in exposures for d in types})
     present = ["temperature", "motor_temperature", "power_consumption", "energy_usage", "alignment_accuracy",
                "cycle_efficiency", "rpm"]
@@ -59,3 +70,26 @@ def correlated_failures(df, width=13, exposures=None):
     return targets.join(reach, ["machine_type", "time_bucket"]).select(
         "machine_id", "machine_type", "time_bucket", "rule", "events", "source_machines", "max_severity", "severity_sum",
         *[change(s) for s in present])
+
+
+def correlated_within(df, distance=3600, step=60, width=13, exposures=None):
+    """Exposure of each dependent machine per time bucket and rule to failures up to ``distance`` seconds before.
+
+    Time is counted in steps of ``step`` seconds. Sources are summed per rule and step first; a step's sum is copied to
+    the steps that it reaches, and of several the greatest counts. So a failure just before a bucket's border acts on the
+    events after it, and the rows are steps and machines, never pairs of events. ``events`` counts the exposed events;
+    the other figures are the greatest of any step in the bucket. Rows without a readable time take no part.
+    """
+    exposures = exposures or EXPOSURES
+    at = F.floor(F.unix_timestamp(event_time()) / step).cast("bigint").alias("step")
+    figures = ("source_machines", "severity_sum", "max_severity")
+    greatest = [F.max(c).alias(c) for c in figures]
+    sources = _sources(df, exposures, at, "step").filter("step IS NOT NULL")
+    reached = F.explode(F.sequence(F.col("step"), F.col("step") + distance // step)).alias("step")
+    reach = sources.select("rule", reached, *figures).groupBy("rule", "step").agg(*greatest)
+    reach = reach.select("*", F.explode(_dependants(exposures)).alias("machine_type"))
+    dependants = sorted({d for _, _, types, _ in exposures for d in types})
+    bucket = F.substring("timestamp", 1, width).alias("time_bucket")
+    targets = df.filter(F.col("machine_type").isin(dependants)).groupBy("machine_id", "machine_type", bucket, at).agg(F.count("*").alias("events"))
+    return targets.join(reach, ["machine_type", "step"]).groupBy("machine_id", "machine_type", "time_bucket", "rule").agg(
+        F.sum("events").alias("events"), *greatest)

@@ -1,9 +1,11 @@
 """Raw JSON records to the flat curated table, and back to the nested envelope."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from plantwatch.functions.numbers import exact_round
-from plantwatch.functions.times import event_time
+from plantwatch.functions.times import parse_text, time_ends, time_range
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, SENSORS
 
 _NUMBERS = {"anomaly_severity", "degradation_level", "trigger_value", "diagnostic_confidence"}
@@ -47,10 +49,10 @@ def dq_filter(df, observation=None):
     return df.filter(_USABLE)
 
 
-def curate(raw, observation=None):
-    """Raw records (batch or stream) to rows of the curated table."""
-    flat = raw.select(*normalise_envelope(), *flatten_telemetry(), *partition_date())
-    return dq_filter(flat, observation).select(*CURATED.names)
+def curate(raw, observation=None, keep=()):
+    """Raw records (batch or stream) to rows of the curated table; ``keep`` names further columns that stay."""
+    flat = raw.select(*normalise_envelope(), *flatten_telemetry(), *partition_date(), *keep)
+    return dq_filter(flat, observation).select(*CURATED.names, *keep)
 
 
 def stamp_metadata(df, request_id, node="spark", source="api", version="1.0", now=None):
@@ -80,5 +82,5 @@ def envelope_json(df):
 
 def retain_recent(df, seconds=300):
     """Rows no older than the newest event minus ``seconds``."""
-    newest = df.agg((F.max(event_time()) - F.make_dt_interval(secs=F.lit(seconds))).alias("t")).scalar()
-    return df.filter(event_time() >= newest)
+    newest = parse_text(time_ends(df).first()["newest"])
+    return df.limit(0) if newest is None else time_range(df, newest - timedelta(seconds=seconds), newest, include_end=True)

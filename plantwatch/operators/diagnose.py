@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plantwatch import rules
-from plantwatch.functions.numbers import fixed_text
+from plantwatch.functions.numbers import exact_round, fixed_text
 from plantwatch.functions.stages import staged
 from plantwatch.functions.text import (
     first_match, lookup, missing_text, quoted, split_list, sql_array, sql_map, title_words,
@@ -150,8 +150,8 @@ def diagnostic_record(df):
 
 def diagnostics(df, limit=50, machine_id=None):
     """Newest anomalous events with their diagnosis; the cut comes first, so few rows are diagnosed."""
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must lie between 1 and 500")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     rows = df.filter("anomaly_detected")
     if machine_id is not None:
         rows = rows.filter(F.col("machine_id") == machine_id)
@@ -161,7 +161,8 @@ def diagnostics(df, limit=50, machine_id=None):
 def root_cause_distribution(df, limit=None):
     """How often each cause is named among the anomalous rows, with the mean confidence.
 
-    Rows are counted per candidate text before it is split, so only the few distinct texts are exploded.
+    Rows are counted per candidate text before it is split, so only the few distinct texts are exploded. Confidences are
+    added up as decimals, so the mean, and how a tie rounds, doesn't depend on the order of the rows.
     """
     rows = df.filter("anomaly_detected")
     if limit is not None:
@@ -176,8 +177,8 @@ def root_cause_distribution(df, limit=None):
     named = counted.select(F.explode(split_list(F.col("causes"))).alias("item"), "confidence", "n")
     return named.groupBy(F.trim(F.substring_index("item", "(", 1)).alias("cause")).agg(
         F.sum("n").alias("count"),
-        (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("mean")
-    ).select("cause", "count", F.round("mean", 2).alias("avg_confidence")).orderBy(F.desc("count"), "cause")
+        (F.sum(F.col("confidence").cast("decimal(18,10)") * F.col("n")).cast("double") / F.sum("n")).alias("mean")
+    ).select("cause", "count", exact_round(F.col("mean"), 2).alias("avg_confidence")).orderBy(F.desc("count"), "cause")
 
 
 def _ranked(item):

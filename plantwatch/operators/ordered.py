@@ -11,57 +11,51 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
 from plantwatch.rules import CASCADES
-from plantwatch.session import stored
-
-# Lengths of the order text that make sensible chunks: whole history, month, day, hour, minute, second plus id prefix.
-WIDTHS = [0, 7, 10, 13, 16, 24]
-
 
+#: Length of the prefix of the order text at which a history can be cut: the second and four signs of the event id.
+PREFIX = 25
 def order_text():
     """Event order as one text: fixed-width time, then event id."""
     return F.concat(F.coalesce("timestamp", F.lit("")), F.lit("|"), F.coalesce(F.col("event_id").cast("string"), F.lit("")))
 
 
-def chunk_width(df, keys=("machine_id",), max_rows=1_000_000):
-    """Coarsest chunk whose largest member stays under ``max_rows``, from one count (two for very dense data)."""
-    keys = list(keys)
-
-    def largest(widths):
-        finest = max(widths)
-        counts = df.groupBy(*keys, F.substring(F.coalesce("timestamp", F.lit("")), 1, finest).alias("p")).agg(
-            F.count("*").alias("n"))
-        for width in sorted(widths, reverse=True)[1:]:
-            counts = counts.groupBy(*keys, F.substring("p", 1, width).alias("p")).agg(
-                F.sum("n").alias("n"), *[F.max(c).alias(c) for c in counts.columns if c.startswith("w")],
-                F.max("n").alias(f"w{finest}"))
-            finest = width
-        return counts.agg(F.max("n").alias(f"w{finest}"), *[F.max(c).alias(c) for c in counts.columns if c.startswith("w")]
-                          ).first().asDict()
-
-    for widths in ([0, 7, 10, 13], [16]):
-        sizes = largest(widths)
-        for width in widths:
-            if (sizes[f"w{width}"] or 0) <= max_rows:
-                return width
-    return WIDTHS[-1]
-
-
 @dataclass(frozen=True)
 class Chunks:
-    """How histories are cut: the chunk width, and the keys it applies to (None: all)."""
+    """How histories are cut: by a prefix length of the order text for all keys, or where ``starts`` says for some keys."""
 
-    width: int
-    large: DataFrame | None = None
+    width: int = 0
+    starts: DataFrame | None = None
 
 
-def choose_chunks(df, keys=("machine_id",), max_rows=1_000_000):
-    """Cut only the keys with more than ``max_rows`` rows; with none of them the histories stay whole."""
+def choose_chunks(df, keys=("machine_id",), max_rows=1_000_000, counts=None):
+    """Cut only the keys with more than ``max_rows`` rows; with none of them the histories stay whole.
+
+    ``counts`` (the keys and ``n``) saves the count of the rows where it is known.
+    """
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    large = stored(counts.filter(F.col("n") > max_rows).select(*keys), "large-keys")
-    if large.isEmpty():
-        return Chunks(0)
-    return Chunks(chunk_width(df.join(large, keys, "left_semi"), keys, max_rows), large)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    large = counts.filter(F.col("n") > max_rows).select(*keys)
+    return Chunks() if large.isEmpty() else Chunks(starts=chunk_starts(df, large, keys, max_rows))
+
+
+def chunk_starts(df, large, keys=("machine_id",), max_rows=1_000_000):
+    """Where each large key's chunks start: an array of prefixes of the order text, by cumulative counts.
+
+    Each key is cut by its own counts, wherever its rows lie, so a burst gets many chunks and the quiet time around it few.
+    A chunk has fewer than ``max_rows`` rows and those of one prefix (a second and four signs of the id). Counts are
+    added up within hours and over hours, so no task holds a whole history.
+    """
+    keys, ordered = list(keys), order_text()
+    counts = df.join(large, keys, "left_semi").groupBy(
+        *keys, F.substring(ordered, 1, 13).alias("hour"), F.substring(ordered, 1, PREFIX).alias("start")).agg(F.count("*").alias("n"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    hours = counts.groupBy(*keys, "hour").agg(F.sum("n").alias("n"))
+    hours = hours.select(*keys, "hour", F.coalesce(F.sum("n").over(earlier(*keys).orderBy("hour")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(earlier(*keys, "hour").orderBy("start")), F.lit(0))
+    placed = counts.withColumn("inside", inside).join(hours, [*keys, "hour"])
+    chunk = F.floor((F.col("before") + F.col("inside")) / max(1, max_rows))
+    starts = placed.groupBy(*keys, chunk.alias("chunk")).agg(F.min("start").alias("start"))
+    return starts.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("_starts"))
 
 
 def with_neighbours(df, before=0, after=0, width=None, keys=("machine_id",), max_rows=1_000_000):
@@ -74,15 +68,16 @@ def with_neighbours(df, before=0, after=0, width=None, keys=("machine_id",), max
     keys = list(keys)
     plan = choose_chunks(df, keys, max_rows) if width is None else width if isinstance(width, Chunks) else Chunks(width)
     rows = df.withColumn("_ord", order_text())
-    if not plan.width:
-        return rows.withColumns({"_chunk": F.lit(""), "_copy": F.lit(False)})
-    prefix = F.substring("_ord", 1, plan.width)
-    if plan.large is None:
-        rows = cut = rows.withColumn("_chunk", prefix)
-    else:
-        marked = rows.join(plan.large.withColumn("_large", F.lit(True)), keys, "left")
-        rows = marked.withColumn("_chunk", F.when(F.col("_large"), prefix).otherwise(F.lit(""))).drop("_large")
+    if plan.starts is not None:
+        rows = rows.join(plan.starts, keys, "left")
+        reached = F.size(F.filter("_starts", lambda start: start <= F.substring("_ord", 1, PREFIX)))
+        chunk = F.when(F.col("_starts").isNotNull(), F.lpad(reached.cast("string"), 9, "0")).otherwise(F.lit(""))
+        rows = rows.withColumn("_chunk", chunk).drop("_starts")
         cut = rows.filter(F.col("_chunk") != "")
+    elif plan.width:
+        rows = cut = rows.withColumn("_chunk", F.substring("_ord", 1, plan.width))
+    else:
+        return rows.withColumns({"_chunk": F.lit(""), "_copy": F.lit(False)})
     result = rows.withColumn("_copy", F.lit(False))
     if before:
         result = result.unionByName(_copies(cut, keys, before, F.asc("_ord"), F.desc("_ord")))
@@ -143,7 +138,7 @@ def anomaly_episodes(df, width=None, max_rows=1_000_000):
         F.max("kind").alias("kind"), F.max("machine_type").alias("machine_type"),
         F.min(F.struct("timestamp", "event_id")).alias("start"), F.max(F.struct("timestamp", "event_id")).alias("end"),
         F.count("*").alias("events"), F.max("anomaly_severity").alias("max_severity"))
-    if plan.width:
+    if plan.width or plan.starts is not None:
         starts = rows.groupBy("machine_id", "_chunk").agg(F.count_if(F.col("begins")).alias("starts"))
         earlier = Window.partitionBy("machine_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = starts.select("machine_id", "_chunk", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("offset"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plantwatch import rules
+from plantwatch.functions.numbers import exact_round
 from plantwatch.functions.stages import opened, staged
 from plantwatch.functions.text import quoted, sql_array, sql_map
 from plantwatch.functions.times import event_time
@@ -266,8 +267,9 @@ def ingest_metrics(df):
     """Totals over checked rows; the rate is per second of event time between the first and last accepted event."""
     good = F.size("errors") == 0
     seconds = (F.unix_timestamp(F.max(F.when(good, event_time()))) - F.unix_timestamp(F.min(F.when(good, event_time()))))
-    return df.agg(
+    totals = df.agg(
         F.count_if(good).alias("total_events_ingested"), F.count_if(~good).alias("failed_validations"),
         F.count_distinct(F.when(good, F.col("machine_id"))).alias("active_machine_ids"),
         F.count_if(good & F.coalesce("anomaly_detected", F.lit(False))).alias("anomaly_event_count"),
-        F.round(F.when(seconds > 0, F.count_if(good) / seconds).otherwise(0.0), 2).alias("events_per_second"))
+        F.when(seconds > 0, F.count_if(good) / seconds).otherwise(0.0).alias("rate"))
+    return totals.withColumn("events_per_second", exact_round(F.col("rate"), 2)).drop("rate")

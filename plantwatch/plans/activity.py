@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plantwatch import rules
 from plantwatch.functions.numbers import exact_round, fixed_text, percent_of
 from plantwatch.functions.text import title_words
-from plantwatch.functions.times import bound_text, bucket_label, event_time, parse_text, time_range
+from plantwatch.functions.times import bound_text, bucket_label, event_time, parse_text, time_ends, time_range
 
 
 def suggested_window(seconds):
@@ -18,7 +18,7 @@ def suggested_window(seconds):
 
 def time_span(df):
     """Oldest and newest event, span, suggested window and progress towards a full day of data."""
-    ends = df.agg(F.min("timestamp").alias("min_timestamp"), F.max("timestamp").alias("max_timestamp"))
+    ends = time_ends(df).select(F.col("oldest").alias("min_timestamp"), F.col("newest").alias("max_timestamp"))
     span = F.greatest((F.unix_timestamp(event_time(F.col("max_timestamp")))
                        - F.unix_timestamp(event_time(F.col("min_timestamp")))).cast("double"), F.lit(1.0))
     rows = ends.withColumn("time_span_seconds", span)
@@ -112,9 +112,9 @@ def activity_breakdown(base):
 
 def pipeline_freshness(df, now):
     """State of each pipeline part by the age of the newest event at ``now`` (a datetime in UTC)."""
-    age = F.greatest(F.unix_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S"))) - F.unix_timestamp(event_time(F.max("timestamp"))),
+    age = F.greatest(F.unix_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S"))) - F.unix_timestamp(event_time(F.col("newest"))),
                      F.lit(0)).cast("double")
-    rows = df.agg(age.alias("age"))
+    rows = time_ends(df).select(age.alias("age"))
     age = F.col("age")
     live = lambda word: F.when(age < 300.0, word).otherwise("inactive")
     return rows.select(

@@ -49,8 +49,8 @@ def _advice(priority, name, value, text, reason):
                     value.cast("double").alias("metric_value"), F.lit(name).alias("metric_name"))
 
 
-def recommendations(machine_rows, limit=10):
-    """Rule-based advice, most urgent first; ``limit`` is the length of the report (None: all)."""
+def recommendations(machine_rows, limit=None):
+    """Rule-based advice for every machine and the fleet, most urgent first; ``limit`` cuts a report to its length."""
     mid, kind = F.col("machine_id"), title_words(F.col("machine_type"))
     rate, worn, heat = F.col("anomaly_rate_percent"), F.col("max_degradation_level"), F.col("avg_temperature")
     rate_text = F.concat(fixed_text(rate, 1), F.lit("%"))

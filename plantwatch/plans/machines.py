@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantwatch import rules
 from plantwatch.functions import sensors
 from plantwatch.functions.stages import staged
-from plantwatch.functions.times import bound_column, bucket_label, event_time, parse_text, time_range
+from plantwatch.functions.times import bound_column, bound_text, bucket_label, event_time, parse_text, time_range
 from plantwatch.operators import diagnose as dx
 from plantwatch.operators.aggregates import anomaly_count
 from plantwatch.operators.latest import newest, recent_history, risk_timeline
@@ -78,8 +78,9 @@ _TRENDS = ["temperature", "pressure", "power_consumption", "vibration", "degrada
 def machine_history(df, window="24h", machine_id=None):
     """Bucketed means of each machine over the window that ends at its own newest event (unknown window: 24h).
 
-    For one machine the window becomes literal bounds, which skip partitions; for the fleet the newest event of
-    each machine is joined to its rows.
+    For one machine the window becomes literal bounds, which skip partitions. For the fleet the newest event of each
+    machine is joined to its rows: machines that were active within the window of the newest event of all have theirs in
+    two windows' time, again literal bounds; only for machines that stopped earlier is the rest of the table looked at.
     """
     window = window if window in rules.WINDOWS else "24h"
     seconds, width, _ = rules.WINDOWS[window]
@@ -90,12 +91,17 @@ def machine_history(df, window="24h", machine_id=None):
         rows = rows.limit(0).select(*columns) if end is None else time_range(
             rows, end - timedelta(seconds=seconds), end).select(*columns)
     else:
-        ends = df.groupBy("machine_id").agg(F.max("timestamp").alias("newest"))
-        end = event_time(F.col("newest"))
-        ends = ends.select("machine_id", bound_column(end - F.make_dt_interval(secs=F.lit(seconds))).alias("from"),
-                           bound_column(end).alias("to"))
-        rows = df.select(*columns).join(ends, "machine_id").filter(
-            (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("to")))
+        length = timedelta(seconds=seconds)
+        ends = stored(df.groupBy("machine_id").agg(F.max("timestamp").alias("newest")), "newest-events")
+        last = parse_text(ends.agg(F.max("newest")).first()[0])
+        if last is None:
+            rows = df.limit(0).select(*columns)
+        else:
+            active = F.col("newest") >= bound_text(last - length)
+            rows = _in_own_window(time_range(df, last - 2 * length, last).select(*columns), ends.filter(active), seconds)
+            stopped = ends.filter(~active)
+            if not stopped.isEmpty():
+                rows = rows.unionByName(_in_own_window(df.select(*columns), stopped, seconds))
     means = rows.groupBy("machine_id", F.substring("timestamp", 1, width).alias("time_bucket")).agg(
         *[F.avg(c).alias(c) for c in _TRENDS], anomaly_count().alias("anomaly_count"))
     return means.select(
@@ -106,6 +112,15 @@ def machine_history(df, window="24h", machine_id=None):
         "pressure", "power_consumption", "vibration", "cycle_efficiency")
 
 
+def _in_own_window(rows, ends, seconds):
+    """Rows in the window that ends at their own machine's newest event."""
+    end = event_time(F.col("newest"))
+    ends = ends.select("machine_id", bound_column(end - F.make_dt_interval(secs=F.lit(seconds))).alias("from"),
+                       bound_column(end).alias("to"))
+    return rows.join(ends, "machine_id").filter(
+        (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("to"))).drop("from", "to")
+
+
 def history_or_recent(df, window="24h", n=20, machine_id=None):
     """Bucketed history; machines whose window is empty get their last n readings instead."""
     history = machine_history(df, window, machine_id)

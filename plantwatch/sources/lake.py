@@ -4,6 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from plantwatch.functions.numbers import exact_round
+from plantwatch.functions.stages import staged
 from plantwatch.functions.times import event_time
 from plantwatch.operators.validate import parse_records, route, top_level
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, PARTITION_COLUMNS, RAW
@@ -15,8 +17,8 @@ def read_raw_json(spark, path):
 
 
 def stream_raw_json(spark, path, files_per_trigger=None):
-    """The same as a stream: only files not yet seen."""
-    reader = spark.readStream.schema(RAW).option("recursiveFileLookup", "true")
+    """The same as a stream: only files not yet seen. A file that was replaced before it was read is passed over."""
+    reader = spark.readStream.schema(RAW).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
@@ -24,25 +26,19 @@ def stream_raw_json(spark, path, files_per_trigger=None):
 
 def replay_events(spark, path, date=None, machine_id=None, suffix="*.{ndjson,json}"):
     """Events of dated folders in date, file and line order; blank and malformed lines are skipped."""
-    root = path if date is None else _dated(spark, path, date)
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(root)
-             .select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"),
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(path)
+    if date is not None:  # a condition on the path, so the files of other days are not opened
+        lines = lines.filter(F.col("_metadata.file_path").rlike(f"/(date=)?{date}/"))
+    lines = (lines.select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    day = F.regexp_extract("file", r".*/(?:date=)?(\d{4}-\d{2}-\d{2})/", 1)
     events = lines.withColumn("event", F.try_parse_json("value")).filter("value <> '' AND event IS NOT NULL")
     if machine_id is not None:
         events = events.filter(F.try_variant_get("event", "$.machine_id", "string") == machine_id)
-    day = F.regexp_extract("file", r".*/(?:date=)?(\d{4}-\d{2}-\d{2})/", 1)
     return events.select(day.alias("date"), "value", "event", "file", "block", "line").orderBy(
         "date", "file", "block", "line").select("date", "value", "event")
 
 
-def _dated(spark, path, date):
-    folder = f"{path}/{date}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    return folder if exists else f"{path}/date={date}"
-
-
 def replay_dates(spark, path):
     """Dates there is something to replay for, sorted."""
     files = inventory_files(spark, path)
@@ -67,8 +63,11 @@ def write_curated(df, path, mode="append"):
 
 
 def curated_table(spark, path):
-    """The curated table with its fixed schema; partition folders become columns."""
-    return spark.read.schema(CURATED).parquet(path)
+    """The curated table with its fixed schema; partition folders become columns.
+
+    Reads what ``write_curated`` wrote and what the curating stream wrote, which has a folder per raw batch above them.
+    """
+    return spark.read.schema(CURATED).parquet(path).select(*CURATED.names)
 
 
 def register_curated(spark, name, path):
@@ -117,6 +116,12 @@ def write_quarantine(bad, path, moment, mode="append"):
     ).write.partitionBy("year", "month", "day", "reason").mode(mode).text(path)
 
 
+def write_late(late, path, bound, moment, mode="overwrite"):
+    """Valid records that came too late, with the bound that they missed, by ingest date."""
+    missed = F.date_format(bound, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    late.select(_merged({"_late_before": missed}), *_date_parts(moment)).write.partitionBy("year", "month", "day").mode(mode).text(path)
+
+
 def read_quarantine(spark, path, reason=None):
     """Quarantined records as text with their partition columns; ``reason`` skips the other folders."""
     rows = spark.read.option("basePath", path).schema(
@@ -155,8 +160,9 @@ def lake_inventory(spark, layers):
     totals = found.groupBy("layer").agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("latest"))
     raw = totals.filter("layer = 'raw'").select("bytes").scalar()
-    ratio = F.round((1 - F.col("bytes") / F.greatest(raw, F.lit(1))) * 100, 1)
-    return totals.withColumn("compression_ratio_pct", F.when(F.col("layer") != "raw", ratio))
+    ratio = exact_round((1 - F.col("bytes") / F.col("raw_bytes")) * 100, 1)
+    totals = staged(totals, raw_bytes=F.greatest(raw, F.lit(1)))
+    return totals.withColumn("compression_ratio_pct", F.when(F.col("layer") != "raw", ratio)).drop("raw_bytes")
 
 
 def batch_path(path, batch_id):

@@ -6,8 +6,8 @@ from plantwatch.functions.times import event_time
 from plantwatch.operators.curate import curate
 from plantwatch.operators.diagnose import diagnose
 from plantwatch.operators.validate import batch_counts, decode_stream, route, typed_events
-from plantwatch.schema import PARTITION_COLUMNS
-from plantwatch.sources.lake import batch_path, stream_raw_json, write_quarantine, write_raw
+from plantwatch.schema import PARTITION_COLUMNS, RAW
+from plantwatch.sources.lake import batch_path, stream_raw_json, write_late, write_quarantine, write_raw
 
 
 def without_repeats(decoded, delay="1 hour"):
@@ -24,12 +24,17 @@ def without_repeats(decoded, delay="1 hour"):
 
 
 def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint, dedup=False, delay="1 hour",
-                    ingest_time=None, trigger=None):
+                    ingest_time=None, trigger=None, late_path=None, late_after=3600):
     """Validate ``(seq, data)`` records, diagnose the valid ones and write raw, quarantine and batch counts.
 
     Each batch owns a folder named by its id and overwrites it, so a batch that is run again after a failure
     leaves one copy. Dates of the folders are ingest dates. Without ``dedup`` repeats reach the lake, as the
     sender's retries do.
+
+    With ``late_path`` valid records whose event time is more than ``late_after`` seconds before the newest one of earlier
+    batches go there, as JSON with the bound that they missed, and not to raw. The batch counts have ``late`` and the
+    newest event time, from which the next batch takes its bound, so a batch that runs again has the same one. Use it
+    without ``dedup``, whose operator drops such records itself; their number is in the query's progress.
     """
     decoded = decode_stream(records)
     if dedup:
@@ -40,30 +45,77 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
     def write(batch, batch_id):
         batch = batch.persist()
         try:
-            valid = diagnose(typed_events(batch.filter("route = 'valid'")))
-            write_raw(valid, batch_path(raw_path, batch_id), moment, mode="overwrite")
+            at = event_time(F.try_variant_get("record", "$.timestamp", "string"))
+            good, late = batch.filter("route = 'valid'"), F.lit(False)
+            if late_path:
+                bound = _newest_before(batch.sparkSession, stats_path, batch_id) - F.make_dt_interval(secs=F.lit(late_after))
+                late = F.coalesce(at < bound, F.lit(False))
+                write_late(good.filter(late), batch_path(late_path, batch_id), bound, moment)
+            write_raw(diagnose(typed_events(good.filter(~late))), batch_path(raw_path, batch_id), moment, mode="overwrite")
             write_quarantine(batch.filter("route <> 'valid'"), batch_path(quarantine_path, batch_id), moment, mode="overwrite")
-            batch.agg(*batch_counts()).write.mode("overwrite").parquet(batch_path(stats_path, batch_id))
+            valid = F.col("route") == "valid"
+            batch.agg(*batch_counts(), F.count_if(valid & late).alias("late"), F.max(F.when(valid, at)).alias("newest")).write.mode(
+                "overwrite").parquet(batch_path(stats_path, batch_id))
         finally:
             batch.unpersist()
 
     return (records_writer(routed, checkpoint, trigger).foreachBatch(write).start())
 
 
+def _newest_before(spark, stats_path, batch_id):
+    """The newest event time of the batches before, as a literal; null for the first."""
+    newest = None
+    if batch_id:
+        earlier = spark.read.parquet(stats_path).filter(F.col("batch") < batch_id)
+        newest = earlier.agg(F.date_format(F.max("newest"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    return F.lit(newest).cast("timestamp")
+
+
 def records_writer(df, checkpoint, trigger=None, mode="append"):
     """Stream writer with a checkpoint; the default trigger handles what is there and stops."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True}))
 
 
-def stream_curate(spark, raw_path, curated_path, checkpoint, trigger=None, files_per_trigger=None, files_per_partition=8):
+RAW_BATCH = "raw_batch"
+
+
+def _raw_batch():
+    """The batch folder that a raw file lies in; empty for files that no validating stream wrote."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1)
+
+
+def stream_curate(spark, raw_path, curated_path, checkpoint, stats_path=None, trigger=None, files_per_trigger=None):
     """Curate raw files not yet seen into the partitioned table; one query is one active run.
 
-    Use ``trigger={"processingTime": "5 minutes"}`` to keep it running. ``files_per_partition`` is the most tasks one
-    machine type's day is spread over, by a hash of the event id, so that a heavy type does not land in one writer.
+    The table has a folder for each raw batch. New files only tell which raw batches changed: these are read as they are
+    now and their folders overwritten. So a raw batch that was written again with the same records, as a validating
+    stream does after a failure, leaves one copy of each, and so does a micro-batch that runs again. Files outside batch folders belong to the micro-batch that saw
+    them. ``stats_path`` gets the rows read, kept and dropped per raw batch, overwritten in the same way.
+
+    Use ``trigger={"processingTime": "5 minutes"}`` to keep it running. Rebalancing splits a heavy type's day by size.
     """
-    rows = curate(stream_raw_json(spark, raw_path, files_per_trigger))
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_partition))
-    return (records_writer(rows.repartition(*PARTITION_COLUMNS, spread), checkpoint, trigger)
-            .partitionBy(*PARTITION_COLUMNS).format("parquet").option("compression", "snappy")
-            .option("path", curated_path).start())
+    files = stream_raw_json(spark, raw_path, files_per_trigger).withColumn(RAW_BATCH, _raw_batch())
+
+    def write(seen, batch_id):
+        changed = [r[0] for r in seen.select(RAW_BATCH).distinct().collect()]  # batch numbers since the last trigger
+        rows = seen.filter(F.col(RAW_BATCH) == "").withColumn(RAW_BATCH, F.lit(f"stream-{batch_id}"))
+        folders = [batch_path(raw_path, b) for b in changed if b]
+        if folders:
+            again = spark.read.schema(RAW).option("recursiveFileLookup", "true").json(folders)
+            rows = rows.unionByName(again.withColumn(RAW_BATCH, _raw_batch()))
+        kept = curate(rows, keep=[RAW_BATCH])
+        _overwrite(kept.hint("rebalance", RAW_BATCH, *PARTITION_COLUMNS), curated_path, RAW_BATCH, *PARTITION_COLUMNS)
+        if stats_path:
+            counts = rows.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_in")).join(
+                kept.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_kept")), RAW_BATCH, "left")
+            counts = counts.select(RAW_BATCH, "rows_in", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept"))
+            _overwrite(counts.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept")), stats_path, RAW_BATCH)
+
+    return records_writer(files, checkpoint, trigger).foreachBatch(write).start()
+
+
+def _overwrite(df, path, *partitions):
+    """Write partitioned Parquet; only the partitions that ``df`` has are replaced."""
+    (df.write.partitionBy(*partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "snappy").parquet(path))

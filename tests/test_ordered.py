@@ -37,19 +37,28 @@ def test_features_and_labels(hot, width):
 
 def test_only_large_histories_are_cut(hot):
     plan = ordered.choose_chunks(hot, max_rows=700)
-    assert plan.width == 10 and [r[0] for r in plan.large.collect()] == ["M1"]
-    assert ordered.choose_chunks(hot).width == 0
+    assert [(r[0], len(r[1])) for r in plan.starts.collect()] == [("M1", 2)]
+    assert ordered.choose_chunks(hot).starts is None
+    known = hot.groupBy("machine_id").agg(F.count("*").alias("n"))
+    assert ordered.choose_chunks(hot, max_rows=700, counts=known).starts.count() == 1
     assert same(ordered.status_transitions(hot, max_rows=700), ordered.status_transitions(hot, width=0))
     assert same(ordered.anomaly_episodes(hot, max_rows=700), ordered.anomaly_episodes(hot, width=0))
     cut, whole = (rounded(features.rolling_features(hot, label=True, max_rows=n)) for n in (700, 10_000))
     assert same(cut, whole)
 
 
-def test_width_follows_the_largest_group(hot):
-    assert ordered.chunk_width(hot) == 0
-    assert ordered.chunk_width(hot, max_rows=700) == 10
-    assert ordered.chunk_width(hot, max_rows=12) == 13
-    assert ordered.chunk_width(hot, max_rows=0) == 24
+def test_a_burst_is_cut_and_the_rest_is_not(hot, tmp_path):
+    """Two thirds of one machine's rows in one second: chunks stay below the bound and copies are few."""
+    burst = hot.withColumn("timestamp", F.when((F.col("machine_id") == "M1") & (F.col("event_id").cast("int") % 3 != 0), "2024-01-10T10:10:10Z").otherwise(F.col("timestamp")))
+    burst = burst.withColumn("event_id", F.lpad("event_id", 4, "0")).persist()
+    cut = ordered.with_neighbours(burst, before=13, max_rows=100)
+    sizes = cut.filter("machine_id = 'M1' AND NOT _copy").groupBy("_chunk").count().collect()
+    assert 7 <= len(sizes) <= 9 and max(r["count"] for r in sizes) <= 101
+    assert cut.filter("_copy").count() == 13 * (len(sizes) - 1)
+    assert same(ordered.status_transitions(burst, max_rows=100), ordered.status_transitions(burst, width=0))
+    assert same(ordered.anomaly_episodes(burst, max_rows=100), ordered.anomaly_episodes(burst, width=0))
+    few, whole = (rounded(features.rolling_features(burst, label=True, max_rows=n)) for n in (100, 10_000))
+    assert same(few, whole)
 
 
 def test_runs(rows):

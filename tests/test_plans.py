@@ -13,7 +13,8 @@ from plantwatch.sources import lake
 
 
 def test_rounding_is_exact(spark):
-    values = [0.25, 0.35, 0.05, 0.15, 2.675, 31.15, 33.55, -0.25, -0.35, 0.00095, 123456789.05, 1048576.25, 1e14, 0.0]
+    values = [0.25, 0.35, 0.05, 0.15, 2.675, 31.15, 33.55, -0.25, -0.35, 0.00095, 123456789.05, 1048576.25, 1e14, 0.0,
+              12345678901234.5, 12345678901235.5, 1e13 + 0.125, -12345678901234.5, 98765432109876.55, 1e15 + 0.375, 4e15 + 0.5, 2.0**53, 1e18]
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     for digits in (0, 1, 2, 4):
         found = frame.select("x", exact_round(F.col("x"), digits).alias("y")).collect()
@@ -65,9 +66,13 @@ def test_snapshot_efficiency(rows):
     assert percent(fleet("offline")) == 0.0
 
 
-def test_minutes_when_one_hour(rows):
-    frame = rows(*[{"timestamp": f"2024-01-01T05:{m:02d}:00Z"} for m in (1, 1, 2)])
-    assert [r["time_label"] for r in ag.hourly_trends(frame).collect()] == ["2024-01-01 05:01", "2024-01-01 05:02"]
+def test_trends_keep_every_bucket(rows):
+    frame = rows(*[{"timestamp": f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:{m:02d}:00Z"} for h in range(200) for m in (1, 1, 2)])
+    labels = lambda **o: [r["time_label"] for r in ag.hourly_trends(frame, **o).collect()]
+    assert len(labels()) == 200 and labels()[5] == "2024-01-01 05:00"
+    assert labels(grain="minute")[:2] == ["2024-01-01 00:01", "2024-01-01 00:02"] and len(labels(grain="minute")) == 400
+    assert labels(buckets=2, latest=True) == ["2024-01-09 06:00", "2024-01-09 07:00"] and len(labels(grain="day")) == 9
+    assert ag.trend_shift(ag.hourly_trends(frame)).first()["total_events"] == 600
 
 
 def test_single_event_history_falls_back(rows):
@@ -123,6 +128,31 @@ def test_effects_add_up(rows):
     assert found["A1"]["motor_temperature_change"] == 6.0
 
 
+def test_failures_reach_over_the_hour(rows):
+    cooler = {"machine_type": "cooling_system", "anomaly_detected": True, "machine_id": "C1", "anomaly_severity": 0.5}
+    frame = rows({**cooler, "timestamp": "2024-01-01T10:59:59Z"}, {"machine_id": "N1", "timestamp": "2024-01-01T11:00:01Z"},
+                 {"machine_id": "N1", "timestamp": "2024-01-01T10:30:00Z"}, {"machine_id": "N1", "timestamp": "2024-01-01T12:05:00Z"})
+    assert correlate.correlated_failures(frame).filter("time_bucket = '2024-01-01T11'").count() == 0
+    found = [(r["machine_id"], r["time_bucket"], r["events"], r["source_machines"]) for r in correlate.correlated_within(frame).collect()]
+    assert found == [("N1", "2024-01-01T11", 1, 1)]
+
+
+def test_history_of_stopped_and_active_machines_is_pruned(spark, rows):
+    frame = rows(*[{"machine_id": m, "timestamp": f"2024-01-{d:02d}T{h:02d}:00:00Z", "day": d, "temperature": float(h)}
+                   for m, days in (("A", range(1, 20)), ("B", range(1, 5))) for d in days for h in (1, 5, 9)])
+    path = work_dir(spark, "history")
+    lake.write_curated(frame, path)
+    table = lake.curated_table(spark, path)
+    got = {(r["machine_id"], r["time_bucket"]) for r in machines.machine_history(table, "24h").collect()}
+    assert got == {("A", "2024-01-18T09"), ("A", "2024-01-19T01"), ("A", "2024-01-19T05"), ("B", "2024-01-03T09"), ("B", "2024-01-04T01"), ("B", "2024-01-04T05")}
+    active = machines.machine_history(table.filter("machine_id = 'A'"), "1h")
+    plan = active._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("year#") >= 3 and active.count() == 0
+    span = activity.time_span(table).first()
+    assert (span["min_timestamp"], span["max_timestamp"]) == ("2024-01-01T01:00:00Z", "2024-01-19T09:00:00Z")
+    assert curate.retain_recent(table, 4 * 3600).count() == 2
+
+
 def test_curation_drops_and_counts(spark):
     from pyspark.sql import Observation
     path = work_dir(spark, "raw-json")

@@ -52,3 +52,34 @@ def test_batch_that_runs_again_leaves_one_copy(spark, telemetry):
     records = spark.readStream.schema(STREAM_RECORD).parquet(source)
     ingest.stream_validate(records, f"{base}/raw", f"{base}/quarantine", f"{base}/stats", f"{base}/other-checkpoint").awaitTermination()
     assert lake.read_raw_json(spark, f"{base}/raw").count() == first
+
+
+def test_curated_keeps_one_copy_of_a_batch_that_runs_again(spark, telemetry):
+    base, source = work_dir(spark, "stream"), work_dir(spark, "source")
+    fixture.stream_records(telemetry).write.parquet(source)
+    run(spark, base, source)
+    curated = lambda: ingest.stream_curate(spark, f"{base}/raw", f"{base}/curated", f"{base}/curate", f"{base}/curate-stats").awaitTermination()
+    curated()
+    records = spark.readStream.schema(STREAM_RECORD).parquet(source)
+    ingest.stream_validate(records, f"{base}/raw", f"{base}/quarantine", f"{base}/stats", f"{base}/other-checkpoint").awaitTermination()
+    curated()
+    table = lake.curated_table(spark, f"{base}/curated")
+    assert table.count() == table.select("event_id").distinct().count() == 750
+    counts = spark.read.parquet(f"{base}/curate-stats").collect()
+    assert [(r["rows_in"], r["rows_kept"], r["rows_dropped"]) for r in counts] == [(750, 750, 0)]
+
+
+def test_late_records_are_kept_apart_and_counted(spark, telemetry):
+    base, source = work_dir(spark, "stream"), work_dir(spark, "source")
+    hours = {40: 5, 80: 3, 120: 4, 160: 6, 200: 4}  # sound records by event id
+    number, hour = F.col("event_id").cast("int"), F.lit(None).cast("string")
+    for key, value in hours.items():
+        hour = F.when(number == key, f"2024-01-01T0{value}:00:00Z").otherwise(hour)
+    moved = telemetry.filter(number.isin(*hours)).withColumn("timestamp", hour)
+    for part in ([40], [80, 120, 160], [200]):
+        fixture.stream_records(moved.filter(number.isin(*part))).coalesce(1).write.mode("append").parquet(source)
+        run(spark, base, source, late_path=f"{base}/late")
+    late = [json.loads(r[0]) for r in spark.read.option("recursiveFileLookup", "true").text(f"{base}/late").collect()]
+    assert sorted((r["event_id"], r["_late_before"]) for r in late) == [("200", "2024-01-01T05:00:00Z"), ("80", "2024-01-01T04:00:00Z")]
+    stats = spark.read.parquet(f"{base}/stats").agg(F.sum("valid"), F.sum("late")).first()
+    assert tuple(stats) == (5, 2) and lake.read_raw_json(spark, f"{base}/raw").count() == 3
