@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
@@ -16,7 +17,7 @@ def canonical(frame):
     for row in frame.itertuples(index=False):
         cells = []
         for value in row:
-            if value is None or (isinstance(value, float) and math.isnan(value)):
+            if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
                 cells.append("~")
             elif hasattr(value, "dtype") or isinstance(value, (int, float)):
                 cells.append(repr(float(value) + 0.0))
