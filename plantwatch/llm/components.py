@@ -18,7 +18,8 @@ def components(links, a="a", b="b"):
     stars, mark = written(pairs.distinct(), "links"), None
     while True:
         both = stars.union(stars.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # stored, so that the join shuffles both of its sides and Spark can split a node with very many links
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least-neighbours")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -27,7 +27,7 @@ THRESHOLD = 0.8
 #: Shingles in at most so many unlike documents have the full weight.
 RARE = 8
 #: Rows of the table of random numbers; a shingle takes the row of its last bits.
-TABLE = 1 << 15
+TABLE = 1 << 14
 #: The common shingles are broadcast up to so many (16 bytes each); beyond that they are joined to the documents.
 MOST_BROADCAST = 2_000_000
 #: Texts of a cluster that are compared in one task; larger clusters are compared block by block.
@@ -64,7 +64,7 @@ def _document_frequencies(texts, n_buckets, width, rare):
             for group in groups((t for t, in rows_of(batch)), len, 1 << 20):
                 held += [_family_keys(s) for s in shingles(group, width)]
                 size += sum(map(len, group))
-                if size >= 12 << 20:
+                if size >= 6 << 20:
                     yield rows(held)
                     held, size = [], 0
         yield rows(held)
@@ -196,10 +196,10 @@ def _weigher(texts, common, total, rare, most):
 
 
 def _weighed_texts(batches, weights, width):
-    """(id, distinct shingles, counts, weights) of every text."""
+    """((id, text key), distinct shingles, counts, weights) of every text."""
     for batch in batches:
-        for group in groups(rows_of(batch.select(["doc_id", "text", "common"])), lambda x: len(x[1]), 1 << 20):
-            for (key, _, common), values in zip(group, shingles([g[1] for g in group], width)):
+        for group in groups(rows_of(batch.select(["doc_id", "text_key", "text", "common"])), lambda x: len(x[2]), 1 << 20):
+            for (*key, _, common), values in zip(group, shingles([g[2] for g in group], width)):
                 values, counts = weighed(values)
                 yield key, values, counts, weights(common, values, counts)
 
@@ -219,16 +219,16 @@ def _in_batches(rows, schema, size, most):
 
 def _signed(texts, weights, width, bands, rows, seed):
     """Of every text its digest, band keys and one byte of each sample."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
     def signatures(batches):
         for key, values, counts, w in _weighed_texts(batches, weights, width):
             drawn, level = sample(values, w, bands * rows, seed)
             slots = (mix(drawn + level.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
             keys = band_keys(drawn, level, bands, rows) if len(values) else np.empty(0, np.uint64)
-            yield key, digest(values, counts), keys.view(np.int64), slots.tobytes()
+            yield *key, digest(values, counts), keys.view(np.int64), slots.tobytes()
 
-    return texts.mapInArrow(lambda batches: _in_batches(signatures(batches), schema, lambda row: 1, 5000), "doc_id bigint, digest binary, bands array<bigint>, slots binary")
+    return texts.mapInArrow(lambda batches: _in_batches(signatures(batches), schema, lambda row: 1, 5000), "doc_id bigint, text_key bigint, digest binary, bands array<bigint>, slots binary")
 
 
 def _vectors(texts, weights, width):
@@ -306,20 +306,30 @@ def _verified(candidates, threshold, alike, block_size):
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
-def near_duplicates(docs, threshold=THRESHOLD, width=WIDTH, bands=BANDS, rows=ROWS, rare=RARE, seed=SEED, most_broadcast=MOST_BROADCAST,
-                    block_size=BLOCK, samples_alike=SAMPLES_ALIKE, id_column="doc_id", text_column="text"):
+def near_duplicates(docs, **settings):
     """Per row of ``docs``: ``doc_id`` and ``class_id``, the least id of all texts that it is linked to by near copies.
 
     Two texts are linked if their weighted Jaccard similarity is at least ``threshold``; classes are the connected
     components of the links. Texts with equal shingles and counts are one text. Null and empty texts, and texts without a
     letter or digit, are copies of each other; a text of fewer than ``width`` words has one shingle of them all. Repeated
     rows come back repeated, in one class. Null ids stay null and count after all others. Other columns are left out, so
-    their names can't clash; an empty table gives an empty result.
+    their names can't clash; an empty table gives an empty result. ``settings`` are those of ``classes``.
     """
+    return classes(docs, **settings).select("doc_id", "class_id")
+
+
+def _text_key(column):
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def classes(docs, threshold=THRESHOLD, width=WIDTH, bands=BANDS, rows=ROWS, rare=RARE, seed=SEED, most_broadcast=MOST_BROADCAST,
+            block_size=BLOCK, samples_alike=SAMPLES_ALIKE, id_column="doc_id", text_column="text"):
+    """Per row: ``doc_id``, ``text_key`` (a hash of the text), ``root`` (which names the class) and ``class_id``."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+                        _text_key(text_column).alias("text_key"))
     total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
-    frequencies = _document_frequencies(texts, max(8, -(-size // (16 << 20))), width, rare)
+    frequencies = _document_frequencies(texts, max(8, -(-size // (8 << 20))), width, rare)
     common = written(frequencies, "common-shingles", spark)
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     with_common, weights = _weigher(keyed, common, total, rare, most_broadcast)
@@ -339,15 +349,21 @@ def near_duplicates(docs, threshold=THRESHOLD, width=WIDTH, bands=BANDS, rows=RO
     links = written(_verified(held.join(vectors, "digest"), threshold, samples_alike, block_size), "links", spark)
 
     roots = components(links).select(F.col("node").alias("digest"), "root")
-    classes = distinct.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = classes.join(least, "root").select("digest", "class_id")
-    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
+    named = distinct.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = named.join(least, "root").select("digest", "root", "class_id")
+    return signed.select("doc_id", "text_key", "digest").join(named, "digest").drop("digest")
 
 
 def deduplicated(docs, **settings):
-    """One row of each class stays, with its own columns: the one with the least id, and of rows that repeat it the one
-    whose text sorts first. Rows with a null id stay only if their class has no other id."""
-    kept = near_duplicates(docs, **settings).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct().select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each class stays, with its own columns: the one with the least id, and of rows that share it one text.
+
+    Unlike texts under one id are in classes of their own and stay. Null ids come after all others; of rows repeated in
+    id and text one stays.
+    """
+    last = F.lit(2**63 - 1)
+    found = classes(docs, **settings)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_dedup_id"), F.col("text_key").alias("_dedup_text"))).alias("k"))
+    keyed = docs.withColumns({"_dedup_id": F.coalesce(F.col("doc_id").cast("bigint"), last), "_dedup_text": _text_key("text")})
+    rows = keyed.join(kept.select("k.*"), ["_dedup_id", "_dedup_text"], "left_semi")
+    return rows.dropDuplicates(["_dedup_id", "_dedup_text"]).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 from plantwatch.session import work_dir
@@ -44,6 +45,23 @@ def partitions(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def column_by_parts(batch, name, compute, schema, rows=512):
+    """A column of an Arrow batch, computed from lists of a text column's values, a few rows at a time."""
+    column, found = batch.column(name), []
+    for k in range(0, batch.num_rows, rows):
+        found.extend(compute([t or "" for t in column.slice(k, rows).to_pylist()]))
+    return pa.array(found, schema)
+
+
+def kept_rows(docs, text_column, keep):
+    """The rows of ``docs`` whose text ``keep`` (a function from lists of texts to lists of booleans) wants."""
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(column_by_parts(batch, text_column, keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def rows_of(batch, rows=256):
     """An Arrow batch as tuples of its columns, turned into Python values a few rows at a time."""
     for k in range(0, batch.num_rows, rows):
