@@ -36,10 +36,6 @@ def first_match(column, cases, otherwise):
     return f"CASE {branches} ELSE {otherwise} END"
 
 
-def string_array(values):
-    return F.expr(sql_array(values) if values else "CAST(array() AS array<string>)")
-
-
 def sql_map(mapping):
     """A map literal from names to texts, numbers or SQL values given as tuples of one."""
     return "map(" + ", ".join(

@@ -29,7 +29,8 @@ def parse_records(df):
     """JSON text ``value`` to ``record`` (variant) and its envelope and sensors as typed columns.
 
     Where a field does not fit its type, the columns of its group (envelope or sensors) are null. Bare NaN and Infinity, which some producers write,
-    are read as an infinite number, so such a record fails its range check rather than the parsing.
+    are read as an infinite number, so such a record fails its range check rather than the parsing. Of repeated keys the
+    last counts if ``spark.sql.variant.allowDuplicateKeys`` is on, as in ``session.local_session``; else the record is unreadable.
     """
     loose = F.try_parse_json(F.regexp_replace("value", r"([:,\[]\s*)-?(NaN|Infinity)", "$1" + "1e999"))
     return with_typed(staged(df, record=F.coalesce(F.try_parse_json("value"), loose)))

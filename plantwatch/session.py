@@ -18,6 +18,7 @@ def local_session(cpus="8", app="plantwatch", **conf):
         "spark.driver.memory": "8g",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)

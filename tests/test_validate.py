@@ -84,6 +84,12 @@ def test_unreadable(spark, data):
     assert routed(spark, data)[0]["route"] == "decode_error"
 
 
+def test_the_last_of_repeated_keys_counts(spark):
+    text = json.dumps(GOOD)[:-1] + ', "machine_id": "M-LAST"}'
+    row = validate.typed_events(validate.validate_route(spark.createDataFrame([("1", base64.b64encode(text.encode()).decode())], "seq string, data string"))).first()
+    assert (row["route"], row["machine_id"]) == ("valid", "M-LAST")
+
+
 def test_batch_counts(spark):
     frame = spark.createDataFrame([("1", encode(GOOD)), ("2", encode(without("status"))), ("3", "!")], "seq string, data string")
     assert validate.route_stats(validate.validate_route(frame)).first().asDict() == {
