@@ -9,14 +9,13 @@ Candidates are verified by the share of the item's distinct shingles that the wh
 A window can agree only if it holds a shingle that is an item's least one, so signatures are taken of such windows only.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plantwatch.llm.pieces import groups
 from plantwatch.llm.shingles import WIDTH, fold, mix, word_hashes
+from plantwatch.llm.store import column_by_parts, kept_rows
 
 THRESHOLD = 0.8
 HASHES = 64
@@ -84,7 +83,7 @@ def _indexes(items, width):
 def _contained(texts, indexes, threshold):
     """For each text the list of (item, containment)."""
     result = []
-    for group in groups(texts, len, 4 << 20):
+    for group in groups(texts, len, 1 << 20):
         hashes, counts = word_hashes(group)
         ends = np.cumsum(counts)
         found = [[] for _ in group]
@@ -100,25 +99,19 @@ def _contained(texts, indexes, threshold):
     return result
 
 
-def items_inside(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK, text_column="text", item_column="item_id", item_text="text"):
-    """A column: for every document the array of (item_id, containment) it holds, ascending by item.
+def _finder(spark, items, threshold, width, block, item_column, item_text):
+    """A function from lists of texts to lists of (item, containment) lists, for tasks.
 
-    All items are searched for, ``block`` of them at a time, so what a task holds is bounded; the items of a block, not
-    the documents, pass the driver. Items without a letter or digit, null ones included, are inside no document.
+    All items are searched for, ``block`` of them at a time, so what is broadcast at once is bounded; the items, a block
+    at a time, and not the documents pass the driver. Items without a letter or digit, null ones included, are in no
+    document.
     """
     held = items.select(F.col(item_column).cast("bigint").alias("k"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
-    parts, pending = [], []
+    shared, pending = [], []
 
     def add():
         if indexes := _indexes(pending, width):
-            shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
-            @F.pandas_udf("array<struct<item_id:bigint,containment:double>>")
-            def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                for texts in batches:
-                    yield pd.Series([[{"item_id": i, "containment": c} for i, c in x] for x in _contained(texts.tolist(), shared.value, threshold)], dtype=object)
-
-            parts.append(found(F.coalesce(F.col(text_column), F.lit(""))))
+            shared.append(spark.sparkContext.broadcast(indexes))
 
     for row in held.toLocalIterator():
         pending.append((row.k, row.t))
@@ -126,24 +119,41 @@ def items_inside(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK
             add()
             pending = []
     add()
-    empty = F.array().cast("array<struct<item_id:bigint,containment:double>>")
-    return F.array_sort(F.concat(*parts)) if parts else empty
 
+    def find(texts):
+        found = [[] for _ in texts]
+        for part in shared:
+            found = [x + y for x, y in zip(found, _contained(texts, part.value, threshold))]
+        return found
+
+    return find
 
-def contaminations(docs, items, id_column="doc_id", **settings):
+
+def contaminations(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK, id_column="doc_id", text_column="text",
+                   item_column="item_id", item_text="text"):
     """A row for each document and item inside it: ``doc_id``, ``item_id`` and ``containment`` (at least the threshold).
 
     Null and empty texts hold nothing; a document of fewer words than an item's shingles have cannot hold it. Repeated
     document rows give repeated rows, repeated item rows count once. Null ids stay null. Other columns are left out,
     whatever their names; an empty table on either side gives an empty result.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), items_inside(docs, items, **settings).alias("found"))
+    find = _finder(docs.sparkSession, items, threshold, width, block, item_column, item_text)
+    pair = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
+
+    def search(batches):
+        for batch in batches:
+            found = column_by_parts(batch, "text", lambda texts: [[{"item_id": i, "containment": c} for i, c in x] for x in find(texts)], pair)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "found"])
+
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = rows.mapInArrow(search, "doc_id bigint, found array<struct<item_id:bigint,containment:double>>")
     return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.containment")
 
 
-def without_items(docs, items, **settings):
+def without_items(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK, text_column="text", item_column="item_id", item_text="text"):
     """The rows that hold no item, with their own columns."""
-    return docs.withColumn("_items_inside", items_inside(docs, items, **settings)).filter(F.size("_items_inside") == 0).drop("_items_inside")
+    find = _finder(docs.sparkSession, items, threshold, width, block, item_column, item_text)
+    return kept_rows(docs, text_column, lambda texts: [not x for x in find(texts)])
 
 
 #: The same by definition, for items and documents of at least five words.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plantwatch.llm.components import components
 from plantwatch.llm.pieces import groups
 from plantwatch.llm.shingles import WIDTH, mix, shingles, weighed
-from plantwatch.llm.store import rows_of, written
+from plantwatch.llm.store import release, rows_of, written
 
 BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
@@ -68,6 +68,8 @@ def _document_frequencies(texts, n_buckets, width, rare):
                     yield rows(held)
                     held, size = [], 0
         yield rows(held)
+        del held
+        release()
 
     def merge(frame):
         keys = np.frombuffer(b"".join(frame["keys"]), "<u8")
@@ -215,6 +217,8 @@ def _in_batches(rows, schema, size, most):
             held, load = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    del held
+    release()
 
 
 def _signed(texts, weights, width, bands, rows, seed):

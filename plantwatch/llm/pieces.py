@@ -87,39 +87,42 @@ class PieceIds:
     """Token ids of whole texts, by arrays: pieces are cut and hashed in the bytes, and each is tokenised once.
 
     Besides the safe cuts, a letter and a mark after it are parted: they are never in one pre-token. Pieces are known by
-    two 64-bit hashes and their length; at most ``most`` are remembered, then it starts afresh.
+    two 64-bit hashes and their length; at most ``most`` are remembered (about 50 bytes each), then it starts afresh.
     """
 
-    def __init__(self, tokenizer, most=1_500_000):
+    def __init__(self, tokenizer, most=1_000_000):
         self.tokenizer, self.most = tokenizer, most
         self.powers = [_powers(b, 64) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
         self._forget()
 
     def _forget(self):
-        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.key, self.known = np.empty(0, np.uint64), np.empty(0, [("check", "u8"), ("start", "i4"), ("count", "i4")])
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
 
     def _add(self, key, check, new):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Tokenize new pieces; ``key`` is in ascending order."""
+        count, parts = np.empty(len(new), np.int32), []
+        for k in range(0, len(new), 8192):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[k:k + 8192], add_special_tokens=False)]
+            count[k:k + len(ids)] = [len(x) for x in ids]
+            parts.append(np.fromiter((i for x in ids for i in x), "<u4"))
         total = int(count.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), total), "<u4")])
-        self.pool[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), "<u4", total)
-        start = self.used + np.cumsum(count) - count
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(self.pool) // 2, "<u4")])
+        self.pool[self.used:self.used + total] = np.concatenate(parts)
+        start = self.used + np.cumsum(count, dtype=np.int64) - count
         self.used += total
-        key = np.concatenate([self.key, key])
-        order = np.argsort(key, kind="stable")
-        self.key, self.check = key[order], np.concatenate([self.check, check])[order]
-        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+        known = np.empty(len(new), self.known.dtype)
+        known["check"], known["start"], known["count"] = check, start, count
+        at = np.searchsorted(self.key, key)
+        self.key, self.known = np.insert(self.key, at, key), np.insert(self.known, at, known)
 
     def _find(self, key, check):
         """Places in the table; -1 where a piece is not known."""
         if not len(self.key):
             return np.full(len(key), -1)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+        return np.where((self.key[at] == key) & (self.known["check"][at] == check), at, -1)
 
     def _hashes(self, data, starts, lengths):
         longest = int(lengths.max())
@@ -159,10 +162,10 @@ class PieceIds:
             at = self._find(key[first], check[first])
             if (at < 0).any():
                 return None
-        at = at[back]
-        count = self.count[at]
+        known = self.known[at][back]
+        count = known["count"].astype(np.int64)
         ends = np.cumsum(count)
-        ids = self.pool[np.repeat(self.start[at] - (ends - count), count) + np.arange(int(ends[-1]))]
+        ids = self.pool[np.repeat(known["start"] - (ends - count), count) + np.arange(int(ends[-1]))]
         pieces_before = np.searchsorted(starts, np.append(text_starts, len(data)))
         return ids, np.diff(np.append(0, ends)[pieces_before])
 

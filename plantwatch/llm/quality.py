@@ -6,22 +6,21 @@ in a seeded order, one row at a time. Scoring is a sparse dot product of a text'
 
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from plantwatch.llm.pieces import groups
 from plantwatch.llm.shingles import mix
+from plantwatch.llm.store import column_by_parts, kept_rows
 
 #: Words and runs of marks; white space only separates.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
-SAMPLE = 6_000
+SAMPLE = 4_000
 THRESHOLD = 0.3
 FOLDS = 5
 SCALE = 20.0
@@ -40,7 +39,7 @@ class _Hashes(dict):
     """Hashes of the token and of its outline, for the tokens seen; it starts afresh when it grows too large."""
 
     def __missing__(self, token):
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = value = zlib.crc32(token.encode("utf-8", "replace")) << 32 | zlib.crc32(b"\x01" + outline(token).encode("utf-8", "replace"))
         return value
@@ -131,33 +130,37 @@ def fit(docs, labels, sample=SAMPLE, bits=BITS, id_column="doc_id", text_column=
     return train(zip(rows["text"], rows["label"]), bits, seed=seed, **settings)
 
 
-def score(docs, weights, bits=BITS, text_column="text"):
-    """A column with the probability of label 1 of every row; null texts score as empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def _scorer(spark, weights, bits):
+    """A function from lists of texts to lists of probabilities, for tasks."""
+    shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf(DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value.astype(np.float64)
-        for texts in batches:
-            found = [margins(table, group, bits) for group in groups(texts.tolist(), len, 1 << 20)]
-            yield pd.Series(probability(np.concatenate(found)) if found else [], dtype="float64")
+    def scores(texts):
+        found = [margins(shared.value, group, bits) for group in groups(texts, len, 1 << 20)]
+        return probability(np.concatenate(found)).tolist() if found else []
 
-    return scored(F.coalesce(F.col(text_column), F.lit("")))
+    return scores
 
 
-def quality_scores(docs, labels, threshold=THRESHOLD, id_column="doc_id", text_column="text", **settings):
+def quality_scores(docs, labels, threshold=THRESHOLD, bits=BITS, id_column="doc_id", text_column="text", **settings):
     """Per row: the id, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on).
 
     Only the text enters a score. Null and empty texts get the constant's probability; repeated rows come back repeated
     with equal scores; a null id counts as held out; other columns are left out, whatever their names; an empty table
     gives an empty result; without labels every score is one half.
     """
-    weights = fit(docs, labels, id_column=id_column, text_column=text_column, **settings)
-    rows = docs.select(F.col(id_column), held_out(id_column).alias("held_out"), score(docs, weights, settings.get("bits", BITS), text_column).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    weights = fit(docs, labels, bits=bits, id_column=id_column, text_column=text_column, **settings)
+    scores = _scorer(docs.sparkSession, weights, bits)
 
+    def score(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column_by_parts(batch, "text", scores, pa.float64())], ["doc_id", "score"])
 
-def keep_good(docs, labels, threshold=THRESHOLD, **settings):
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(score, "doc_id bigint, score double")
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs, labels, threshold=THRESHOLD, bits=BITS, text_column="text", **settings):
     """The rows whose score reaches ``threshold``, with their own columns."""
-    weights = fit(docs, labels, **settings)
-    return docs.withColumn("_quality_score", score(docs, weights)).filter(F.col("_quality_score") >= threshold).drop("_quality_score")
+    weights = fit(docs, labels, bits=bits, text_column=text_column, **settings)
+    scores = _scorer(docs.sparkSession, weights, bits)
+    return kept_rows(docs, text_column, lambda texts: [p >= threshold for p in scores(texts)])

@@ -1,5 +1,7 @@
 """Work folders and binary files in the store that the cluster shares."""
 
+import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -45,6 +47,13 @@ def partitions(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release():
+    """Give memory that is no longer used back to the system; a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column_by_parts(batch, name, compute, schema, rows=512):
     """A column of an Arrow batch, computed from lists of a text column's values, a few rows at a time."""
     column, found = batch.column(name), []
@@ -58,6 +67,7 @@ def kept_rows(docs, text_column, keep):
     def choose(batches):
         for batch in batches:
             yield batch.filter(column_by_parts(batch, text_column, keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(choose, docs.schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantwatch.llm.pieces import PieceIds, groups, has_safe_cuts, id_bytes, load
-from plantwatch.llm.store import open_file, partitions, shared_dir, write_file, written
+from plantwatch.llm.store import open_file, partitions, release, rows_of, shared_dir, write_file, written
 
 MAGIC = b"PFB1"
 BLOCK = 4096
@@ -134,10 +134,9 @@ def write_tokens(docs, path, folder=None, end_id=0, file_ids=FILE_IDS, percentil
             return pa.RecordBatch.from_pydict({"shard": [shard], "number": [number], "path": [uri], "n_documents": [len(held)], "n_ids": [load]}, schema=arrow)
 
         for batch in batches:
-            documents = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            for group in groups(documents, lambda d: len(d[1]), 2 << 20):
-                shard = batch.column("shard")[0].as_py()
-                for (key, _), ids in zip(group, _encoded([d[1] for d in group], path, cuts)):
+            for group in groups(rows_of(batch), lambda d: len(d[2]), 1 << 20):
+                shard = group[0][0]
+                for (_, key, _), ids in zip(group, _encoded([d[2] for d in group], path, cuts)):
                     held.append((key, ids + end))
                     load += len(ids) // 4 + 1
                     if load >= file_ids:
@@ -145,6 +144,8 @@ def write_tokens(docs, path, folder=None, end_id=0, file_ids=FILE_IDS, percentil
                         number, held, load = number + 1, [], 0
         if held:
             yield flush()
+        held = []
+        release()
 
     arrow = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_documents", pa.int64()), ("n_ids", pa.int64())])
     return written(rows.mapInArrow(write, "shard int, number int, path string, n_documents bigint, n_ids bigint"), "token-manifest", spark)
