@@ -7,7 +7,7 @@ its own. The fingerprint is text: the root, then the tree of leaf hashes, ``/``
 and ``,`` between leaves. Texts are equal if their roots are, and the branches that differ tell where they were edited.
 """
 
-from functools import reduce
+import math
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -64,17 +64,21 @@ def with_next(docs, id_column="doc_id", text_column="text"):
     """``doc_id``, ``text`` and ``next_text``: the text that follows in descending order of ids, after the last the first.
 
     Null texts are empty, null ids come last, rows that share an id are ordered by text. The ids are cut at quantiles into
-    as many cells as the session has shuffle partitions. The row at the upper end of a cell is also sent to the cell above
+    four cells for each shuffle partition of the session. The row at the upper end of a cell is also sent to the cell above
     it, so each cell is put in order on its own.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2**63)))
-    n = partitions(docs)
+    n = 4 * partitions(docs)
     shares = F.array(*[F.lit((k + 1) / n) for k in range(n)])
     ends, last = rows.agg(F.percentile_approx("key", shares, 10 * n), F.max("key")).first()
     ends = sorted({*ends, last}) if ends else [0]
-    rows = rows.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("key"))))
-    at_end = reduce(lambda x, y: x | y, [F.col("key").isin(ends[k:k + 1000]) for k in range(0, len(ends), 1000)])
+    # the number of ends below the key, in two steps: among the last ends of blocks, then inside one block
+    block = math.isqrt(len(ends)) + 1
+    all_ends, last_ends = F.array(*map(F.lit, ends)), F.array(*map(F.lit, [*ends[block - 1::block], 2**63 - 1]))
+    rows = rows.withColumn("cell", F.size(F.filter(last_ends, lambda e: e < F.col("key"))) * block)
+    rows = rows.withColumn("cell", F.col("cell") + F.size(F.filter(F.slice(all_ends, F.col("cell") + 1, F.lit(block)), lambda e: e < F.col("key"))))
+    at_end = F.get(all_ends, F.col("cell")) == F.col("key")
     own = F.array(F.struct(F.col("cell").alias("cell"), F.lit(0).alias("guest")))
     above = F.array(F.struct(((F.col("cell") + 1) % len(ends)).alias("cell"), F.lit(1).alias("guest")))
     rows = rows.withColumn("place", F.explode(F.when(at_end, F.concat(own, above)).otherwise(own)))
