@@ -354,7 +354,8 @@ def classes(docs, threshold=THRESHOLD, width=WIDTH, bands=BANDS, rows=ROWS, rare
 
     roots = components(links).select(F.col("node").alias("digest"), "root")
     named = distinct.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    # stored, as in ``components``: the join can then split a class that holds a large part of all texts
+    least = written(named.groupBy("root").agg(F.min("first_id").alias("class_id")), "class-ids", spark)
     named = named.join(least, "root").select("digest", "root", "class_id")
     return signed.select("doc_id", "text_key", "digest").join(named, "digest").drop("digest")
 

@@ -6,9 +6,11 @@ from plantwatch.llm import decontaminate, html_main, merkle, mixing, quality, se
 from plantwatch.llm import minhash_dedup as dedup
 from plantwatch.llm import token_counts as counts
 from plantwatch.llm import token_files as files
+from plantwatch.llm.store import ship
 
 
 def _table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

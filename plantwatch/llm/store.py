@@ -2,11 +2,16 @@
 
 import contextlib
 import ctypes
+import io
+import os
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 
+import plantwatch
 from plantwatch.session import work_dir
 
 
@@ -36,6 +41,30 @@ def write_file(folder, name, data):
     return f"{folder}/{name}"
 
 
+def ship(spark):
+    """Send this package to the Python workers, once a session, unless they find it by themselves.
+
+    They do if its folder is on PYTHONPATH, or is the working folder of a local session. Otherwise a zip file in the shared
+    folder is added to the session, as ``--py-files`` would.
+    """
+    root = Path(plantwatch.__file__).resolve().parents[1]
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if spark.sparkContext.master.startswith("local"):
+        paths.append(os.getcwd())
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(Path(p).resolve() == root for p in paths):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.joinpath("plantwatch").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(write_file(shared_dir(spark, "package"), "plantwatch.zip", data.getvalue()))
+    _SHIPPED.add(app)
+
+
+_SHIPPED = set()
+
+
 def open_file(uri):
     """A seekable file of the store, for ranged reads."""
     store, path = fs.FileSystem.from_uri(uri)
