@@ -7,7 +7,7 @@ document of the files.
 
 from plantwatch.llm import decontaminate, minhash_dedup, mixing, quality, token_files
 from plantwatch.llm.queries import vocabulary
-from plantwatch.llm.store import written
+from plantwatch.llm.store import ship, written
 
 #: Of the words that are left, the share that the mixture keeps; each document is used once.
 MIX_SHARE = 0.9
@@ -45,6 +45,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage, from the documents of ``sf_dir``; each stage is written and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}", spark)
