@@ -30,7 +30,8 @@ RARE = 8
 TABLE = 1 << 14
 #: The common shingles are broadcast up to so many (16 bytes each); beyond that they are joined to the documents.
 MOST_BROADCAST = 2_000_000
-#: Texts of a cluster that are compared in one task; larger clusters are compared block by block.
+#: Texts of a cluster that are compared in one task; larger clusters are compared with centres first, and what these leave
+#: apart block by block.
 BLOCK = 800
 #: Share of equal samples from which a pair is verified. A pair of similarity 0.8 has less with a chance of 0.0004.
 SAMPLES_ALIKE = 0.66
@@ -257,55 +258,136 @@ def weighted_jaccard(values_a, weights_a, values_b, weights_b):
 
 
 def _links_of(frame, threshold, alike):
-    """Links among the texts of one cluster or pair of blocks: enough of them to connect all that are alike."""
-    slots = np.stack([np.frombuffer(s, np.uint8) for s in frame["slots"]])
+    """Links among the texts of one cluster: enough of them to connect all that are alike."""
+    slots, vectors, mass = _unpacked(frame)
     digests = frame["digest"].tolist()
-    block = frame["block"].to_numpy()
-    vectors = [(np.frombuffer(s, "<u8"), np.frombuffer(w, "<f4")) for s, w in zip(frame["shingles"], frame["weights"])]
-    mass = np.array([w.sum(dtype=np.float64) for _, w in vectors])
-    root, found, least = list(range(len(digests))), [], int(np.ceil(alike * slots.shape[1]))
-
-    def top(k):
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    several = block.min() != block.max()
+    joined, found, least = _Joined(range(len(digests))), [], int(np.ceil(alike * slots.shape[1]))
     for i in range(len(digests) - 1):
         same = (slots[i + 1:] == slots[i]).sum(axis=1, dtype=np.int64)
         lesser, greater = np.minimum(mass[i], mass[i + 1:]), np.maximum(mass[i], mass[i + 1:])
         likely = (same >= least) & (lesser >= threshold * greater)
-        if several:
-            likely &= block[i + 1:] != block[i]
         for j in (np.flatnonzero(likely) + i + 1)[np.argsort(-same[likely], kind="stable")].tolist():
-            if top(i) != top(j):
+            if joined.top(i) != joined.top(j):
                 similarity = weighted_jaccard(*vectors[i], *vectors[j])
                 if similarity >= threshold:
-                    root[top(j)] = top(i)
+                    joined.join(i, j)
                     found.append((digests[i], digests[j], similarity))
     return found
 
 
-def _verified(candidates, threshold, alike, block_size):
-    """Links between the texts of each cluster; a task holds whole small clusters or two blocks of a large one."""
-    sizes = candidates.groupBy("cluster").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+class _Joined:
+    """Sets of keys, joined two at a time."""
+
+    def __init__(self, keys):
+        self.root = {k: k for k in keys}
+
+    def top(self, k):
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def join(self, a, b):
+        self.root[self.top(b)] = self.top(a)
+
+
+def _unpacked(frame):
+    slots = np.stack([np.frombuffer(s, np.uint8) for s in frame["slots"]])
+    vectors = [(np.frombuffer(s, "<u8"), np.frombuffer(w, "<f4")) for s, w in zip(frame["shingles"], frame["weights"])]
+    return slots, vectors, np.array([w.sum(dtype=np.float64) for _, w in vectors])
+
+
+def _verified(candidates, total, threshold, alike, block_size):
+    """Links between the texts of each cluster; a task holds whole clusters."""
     bins = max(1, -(-total // (block_size // 2)))
-    rows = candidates.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / block_size).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    # a text of block k meets every block: itself inside its own pair (k, k), another block x in the pair (least, greatest)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "cluster", "block", "digest", "slots", "shingles", "weights",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster")).alias("bin"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(frame):
         found = [x for _, f in frame.groupby("cluster", sort=False) if len(f) > 1 for x in _links_of(f, threshold, alike)]
         return pd.DataFrame(found, columns=["a", "b", "similarity"])
 
-    return rows.groupBy("bin", "i", "j").applyInPandas(compare, "a binary, b binary, similarity double")
+    rows = candidates.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    return rows.groupBy("bin").applyInPandas(compare, "a binary, b binary, similarity double")
+
+
+# ---- large clusters -------------------------------------------------------------------------------------------------
+
+def _links_across(frame, threshold, alike):
+    """Links between the texts marked ``first`` and the others, of unlike ``root``; a pair only in the first bucket it shares.
+
+    Of two ``odd`` texts, which meet in both roles, the lesser is the first.
+    """
+    slots, vectors, mass = _unpacked(frame)
+    digests, roots = frame["digest"].to_numpy(object), frame["root"].to_numpy(object)
+    first, odd, band = frame["first"].to_numpy(bool), frame["odd"].to_numpy(bool), frame["band"].iloc[0]
+    bands = None if pd.isna(band) else np.stack(frame["bands"].tolist())
+    joined, found, least = _Joined(set(roots.tolist())), [], int(np.ceil(alike * slots.shape[1]))
+    others = np.flatnonzero(~first)
+    for i in np.flatnonzero(first).tolist():
+        same = (slots[others] == slots[i]).sum(axis=1, dtype=np.int64)
+        lesser, greater = np.minimum(mass[i], mass[others]), np.maximum(mass[i], mass[others])
+        likely = (same >= least) & (lesser >= threshold * greater) & (roots[others] != roots[i])
+        likely &= ~odd[others] | (digests[others] > digests[i])
+        if bands is not None:
+            shared = bands[others] == bands[i]
+            likely &= bands[i][shared.argmax(axis=1)] == band
+        for j in others[likely][np.argsort(-same[likely], kind="stable")].tolist():
+            if joined.top(roots[i]) != joined.top(roots[j]):
+                similarity = weighted_jaccard(*vectors[i], *vectors[j])
+                if similarity >= threshold:
+                    joined.join(roots[i], roots[j])
+                    found.append((digests[i], digests[j], similarity))
+    return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+
+def _centres(places):
+    """(digest, centre): each text with the centre of every bucket it is in; a centre shares the most buckets with others."""
+    sized = places.join(written(places.groupBy("band").agg(F.count("*").alias("n")), "bucket-sizes"), "band")
+    pull = written(sized.groupBy("digest").agg(F.sum("n").alias("pull")), "pulls")
+    centre = places.join(pull, "digest").groupBy("band").agg(F.max(F.struct("pull", "digest")).alias("c"))
+    centre = written(centre.select("band", F.col("c.digest").alias("centre")), "bucket-centres")
+    return places.join(centre, "band").filter("digest != centre").select("digest", "centre").distinct()
+
+
+def _left_over(places, roots, block_size):
+    """Rows of the buckets whose texts are not all connected: (band, i, j, digest, root, first, odd).
+
+    The most frequent root of such a bucket is its main one, and texts of other roots are odd. Odd texts, ``block_size`` to
+    a block i, meet all texts of the bucket, ``block_size`` to a block j; so rows grow with the bucket times its odd blocks.
+    """
+    rooted = places.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rooted = written(rooted, "rooted-places")
+    main = rooted.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(
+        F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("main"))
+    main = main.filter("n > main.k").select("band", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.k")) / block_size).cast("int").alias("odd_blocks"),
+                                            F.ceil(F.col("n") / block_size).cast("int").alias("all_blocks"))
+    rows = rooted.join(written(main, "mixed-buckets"), "band").withColumn("odd", F.col("root") != F.col("main"))
+    place, side = F.xxhash64("digest"), ["band", "digest", "root", "odd"]
+    every = rows.select(*side, F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), F.pmod(place, "all_blocks").cast("int").alias("j"))
+    odd = rows.filter("odd").select(*side, F.lit(True).alias("first"), F.pmod(place, "odd_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    return every.union(odd)
+
+
+def _verified_large(texts, places, threshold, alike, block_size):
+    """Links between texts of large clusters that share a bucket: with centres first, then between what these left apart.
+
+    ``texts`` are stored (digest, slots, bands, shingles, weights), ``places`` their buckets. The first step grows with the
+    number of texts. Texts of one bucket that it connects need no further comparison; all other pairs of a bucket are compared.
+    """
+    def across(frame):
+        return _links_across(frame, threshold, alike)
+
+    schema = "a binary, b binary, similarity double"
+    pairs = written(_centres(places), "centre-pairs")
+    parts = written(pairs.groupBy("centre").agg(F.ceil(F.count("*") / block_size).cast("int").alias("parts")), "centre-parts")
+    others = pairs.join(parts, "centre").select("centre", F.pmod(F.xxhash64("digest"), "parts").cast("int").alias("part"), "digest", F.lit(False).alias("first"))
+    centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("digest"), F.lit(True).alias("first"))
+    rows = others.union(centres).join(texts.drop("bands"), "digest")
+    rows = rows.withColumns({"root": F.col("digest"), "odd": F.lit(False), "band": F.lit(None).cast("bigint")})
+    near = written(rows.groupBy("centre", "part").applyInPandas(across, schema), "centre-links")
+
+    rows = _left_over(places, components(near).select(F.col("node").alias("digest"), "root"), block_size).join(texts, "digest")
+    return near.union(rows.groupBy("band", "i", "j").applyInPandas(across, schema))
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
@@ -345,12 +427,23 @@ def classes(docs, threshold=THRESHOLD, width=WIDTH, bands=BANDS, rows=ROWS, rare
     buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("least")).filter("n > 1")
     clusters = components(members.join(buckets, "band").select(F.col("digest").alias("a"), F.col("least").alias("b")))
 
-    held = distinct.join(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")), "digest")
-    held = written(held.select("cluster", "digest", "first_id", "slots"), "candidates", spark)
-    chosen = held.select("first_id").distinct()
-    chosen = with_common.join(chosen, with_common["doc_id"].eqNullSafe(chosen["first_id"])).drop("first_id")
-    vectors = _vectors(chosen, weights, width).dropDuplicates(["digest"])
-    links = written(_verified(held.join(vectors, "digest"), threshold, samples_alike, block_size), "links", spark)
+    clusters = clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes", spark)
+    held = distinct.join(clusters.join(sizes, "cluster"), "digest")
+    held = written(held.select("cluster", "n", "digest", "first_id", "slots"), "candidates", spark)
+
+    def with_vectors(candidates):
+        chosen = candidates.select("first_id").distinct()
+        chosen = with_common.join(chosen, with_common["doc_id"].eqNullSafe(chosen["first_id"])).drop("first_id")
+        return candidates.join(_vectors(chosen, weights, width).dropDuplicates(["digest"]), "digest")
+
+    small, large = held.filter(F.col("n") <= block_size), held.filter(F.col("n") > block_size)
+    links = _verified(with_vectors(small), small.count(), threshold, samples_alike, block_size)
+    if not large.isEmpty():
+        places = written(members.join(buckets, "band").select("band", "digest").join(large.select("digest"), "digest"), "places", spark)
+        whole = written(with_vectors(large).join(distinct.select("digest", "bands"), "digest").select("digest", "slots", "bands", "shingles", "weights"), "large-clusters", spark)
+        links = links.union(_verified_large(whole, places, threshold, samples_alike, block_size))
+    links = written(links, "links", spark)
 
     roots = components(links).select(F.col("node").alias("digest"), "root")
     named = distinct.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -89,6 +89,19 @@ def test_groups_and_shared_passages(spark, docs, groups, settings):
     assert all(len(c) == 1 for c in got if 200 <= c[0] < 300)
 
 
+def test_near_copies_of_a_large_cluster_meet_only_its_centre(spark, docs, monkeypatch):
+    """Close copies leave nothing for the comparison of blocks; loose ones do, and all their links are still found."""
+    kept, compared = dedup._left_over, []
+    monkeypatch.setattr(dedup, "_left_over", lambda *given: compared.append(kept(*given)) or compared[-1])
+    base = text(1)
+    close = [(k, f"{base} end{k}") for k in range(90)]
+    assert classes_of(dedup.near_duplicates(docs(*close), block_size=16).collect()) == [list(range(90))]
+    assert len(compared) == 1 and compared[0].count() == 0
+    loose = [(k, edited(base, k, 1 + k % 6)) for k in range(90)]
+    assert classes_of(dedup.near_duplicates(docs(*loose), block_size=16).collect()) == brute_classes(loose)
+    assert compared[1].count() > 0
+
+
 def test_hard_rows(spark, docs):
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (6, "one two three"), (7, text(7, 20_000)),
             (8, text(7, 20_000) + " end"), (9, text(9)), (9, text(9)), (10, "a " * 3000), (11, "a " * 3001), (None, text(9)), (None, "alone")]
