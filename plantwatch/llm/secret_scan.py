@@ -1,8 +1,10 @@
 """Secrets in texts: fixed patterns, and literals that reach sensitive names.
 
 The scan lexes source and configuration syntax into assignments, a name and an expression of literals and names joined by
-``+``. It runs them in text order, keeps what each name holds (so constants propagate through other names, joins and
-``${name}`` inside strings) and scores a literal by the most sensitive name that it reaches and by its own looks.
+``+``; a type annotation between name and ``=`` is passed over, and ``+=`` adds to what the name holds. It runs them in text
+order, keeps what each name holds (so constants propagate through other names, joins and ``${name}`` inside strings) and
+scores a literal by the most sensitive name that it reaches and by its own looks. A value is kept as references to the
+values and literals that it was joined from, with the counts of its characters, so its length and its parts have no limit.
 """
 
 import hashlib
@@ -35,7 +37,18 @@ _LITERAL = r"""(?:[rbuf]{0,2}"(?:[^"\\\n]|\\.)*"|[rbuf]{0,2}'(?:[^'\\\n]|\\.)*')
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*"
 _BARE = r"[A-Za-z0-9/_.~$-][A-Za-z0-9+/_.=~$-]*"
 _TERM = rf"(?:{_LITERAL}|{_BARE})"
-_STATEMENT = re.compile(rf"""(?P<name>{_NAME})(?:\[["']?(?P<item>{_NAME})["']?\])?["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
+
+
+def _type(letter, inside):
+    """A type of an annotation: names of such letters, with arguments in brackets, joined by ``|``."""
+    part = rf"""(?:&[ \t]*+)?(?:'static[ \t]++)?(?:(?:mut|const|readonly)[ \t]++)?\**+[A-Za-z_]{letter}*+(?:(?:\.|::)[A-Za-z_]{letter}*+)*+(?:[\[<](?:{inside}|::)*[\]>])?[?!]?"""
+    return rf"{part}(?:[ \t]*+\|[ \t]*+{part})*+"
+
+
+_TYPE, _PLAIN_TYPE = _type(r"\w", r"""[^\n"'={}():]"""), _type("[A-Za-z_]", r"""[^\n\d"'={}():]""")
+# before a bare value only a type without digits, set off by white space: ``token: abc=def`` holds abc=def
+_ANNOTATION = rf"""[?!]?[ \t]*+:[ \t]*+(?:{_TYPE}[ \t]*+(?==[ \t]*+[rbuf]{{0,2}}["'])|{_PLAIN_TYPE}[ \t]++(?==(?![=>])))"""
+_STATEMENT = re.compile(rf"""(?P<name>{_NAME})(?:\[["']?(?P<item>{_NAME})["']?\])?["']?(?:{_ANNOTATION})?[ \t]*(?P<sign>\+=|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
 _TERMS = re.compile(rf"(?P<quoted>{_LITERAL})|(?P<bare>{_BARE})")
 _INSIDE = re.compile(rf"\$\{{({_NAME})\}}|\$([A-Za-z_][A-Za-z0-9_]*)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -47,17 +60,50 @@ def sensitivity(name):
     return max(0.0, min(1.0, sum(SENSITIVE.get(w, 0.0) - HARMLESS.get(w, 0.0) for w in words)))
 
 
+class _Value:
+    """What a name holds: the values and spans of literals that it was joined from, and what ``looks`` asks of the whole."""
+
+    HEAD = 64
+
+    def __init__(self):
+        self.parts, self.spans, self.score = [], [], 0.0
+        self.head, self.last, self.length, self.counts = "", "", 0.0, {}
+
+    def _extend(self, head, last, length, counts):
+        if length:
+            self.head, self.last, self.length = (self.head + head)[:self.HEAD], last, self.length + length
+            for c, n in counts.items():
+                self.counts[c] = self.counts.get(c, 0.0) + n
+            if self.length > 2.0**900:  # only shares matter at this size
+                self.length, self.counts = self.length * 2.0**-800, {c: n * 2.0**-800 for c, n in self.counts.items()}
+
+    def add_text(self, text):
+        self._extend(text[:self.HEAD], text[-1:], len(text), Counter(text))
+
+    def add(self, part):
+        self.parts.append(part)
+        self._extend(part.head, part.last, part.length, part.counts)
+
+    def looks(self):
+        if self.length < 6 or any(c.isspace() for c in self.counts):
+            return 0.0
+        # a longer value matches a placeholder exactly if its head, one of each of its characters and its last do
+        if PLACEHOLDER.match(self.head if self.length <= self.HEAD else self.head + "".join(self.counts) + self.last):
+            return 0.0
+        kinds = sum(any(test(c) for c in self.counts) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        shares = [n / self.length for n in self.counts.values() if n / self.length > 0]
+        return min(1.0, -sum(p * math.log2(p) for p in shares) / 3.5) * (1.0 if kinds > 1 else 0.5)
+
+
 def looks(value):
     """0 to 1: how much a value looks like one that was made, by its length, kinds of characters and entropy."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return min(1.0, entropy / 3.5) * (1.0 if kinds > 1 else 0.5)
+    held = _Value()
+    held.add_text(value)
+    return held.looks()
 
 
 def assignments(text):
-    """(name, terms) in text order; a term is ("literal", value, start, end) or ("name", name, start, end)."""
+    """(name, whether it adds to the name, terms) in text order; a term is (kind, value, start, end), kind literal or bare."""
     if "=" not in text and ":" not in text:
         return
     for m in _STATEMENT.finditer(text):
@@ -69,30 +115,38 @@ def assignments(text):
                 terms.append(("literal", t[0][quote + 1:-1], start + quote + 1, end - 1))
             else:
                 terms.append(("bare", t[0], start, end))
-        yield m["item"] or m["name"], terms
+        yield m["item"] or m["name"], m["sign"] == "+=", terms
 
 
 def literals(text, threshold=THRESHOLD):
     """Spans of the literals that reach a sensitive name, with their score."""
-    held, scores = {}, {}
-    for name, terms in assignments(text):
-        value, spans = "", []
+    held, values, scores = {}, [], {}
+    for name, adds, terms in assignments(text):
+        value, short = _Value(), name.rpartition(".")[2]
+        if adds and (known := held.get(name) or held.get(short)):
+            value.add(known)
         for kind, term, start, end in terms:
             if kind == "bare" and (known := held.get(term) or held.get(term.rpartition(".")[2])):
-                value, spans = value + known[0], spans + known[1]
+                value.add(known)
                 continue
             for ref in _INSIDE.finditer(term):
                 if known := held.get(ref[1] or ref[2]):
-                    value, spans = value + known[0], spans + known[1]
+                    value.add(known)
             plain = _INSIDE.sub("", term)
             if plain:
-                value += plain
-                spans = [*spans, (start, end)]
-        held[name] = held[name.rpartition(".")[2]] = value[:4096], spans[:64]
-        score = sensitivity(name) * looks(value)
-        if score >= threshold:
-            for span in spans:
-                scores[span] = max(score, scores.get(span, 0.0))
+                value.add_text(plain)
+                value.spans.append((start, end))
+        held[name] = held[short] = value
+        values.append(value)
+        score = sensitivity(name)
+        value.score = score * value.looks() if score else 0.0
+    # parts come before the values that they are in, so from the last on every score reaches all parts
+    for value in reversed(values):
+        if value.score >= threshold:
+            for part in value.parts:
+                part.score = max(part.score, value.score)
+            for span in value.spans:
+                scores[span] = max(value.score, scores.get(span, 0.0))
     return scores
 
 

@@ -45,6 +45,31 @@ def test_literals_that_reach_sensitive_names(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ('password: str = "K9fj2Lx0pq"', {"K9fj2Lx0pq"}),
+    ('const dbPwd: string = "K9fj2Lx0pq";', {"K9fj2Lx0pq"}),
+    ('let pwd: &\'static str = "K9fj2Lx0pq";', {"K9fj2Lx0pq"}),
+    ('pwd: Optional[dict[str, list[str]]] = "K9fj2Lx0pq"', {"K9fj2Lx0pq"}),
+    ('pwd: string | null="K9fj2Lx0pq"', {"K9fj2Lx0pq"}),
+    ('part = "Zx81QaLm"\npwd: str = part', {"Zx81QaLm"}),
+    ('pwd = "Zx81"\npwd += "QaLm77"', {"Zx81", "QaLm77"}),
+    ("pwd: Zk39dkq2=abc", {"Zk39dkq2=abc"}),
+    ('note: the pwd = "K9fj2Lx0pq"', {"K9fj2Lx0pq"}),
+])
+def test_annotated_and_added_values(text, want):
+    assert found(text) == want
+
+
+def test_values_of_any_length_and_number_of_parts():
+    many = [f"Zx{k:03d}Qa" for k in range(300)]
+    assert found("part = " + " + ".join(f'"{m}"' for m in many) + "\nsecret = part") == set(many)
+    assert found("a0 = 'Zx'\n" + "".join(f"a{k + 1} = a{k} + '{m}'\n" for k, m in enumerate(many)) + "pwd = a300") == {"Zx", *many}
+    assert found("pwd = '" + "aB3$" * 2000 + " '") == set()
+    assert found("a = '" + "a" * 5000 + "'\npwd = a + '" + "Zx81QaLm#" * 2000 + "'") == {"a" * 5000, "Zx81QaLm#" * 2000}
+    assert found("pwd = '" + "example" * 1000 + "9$Q'") == found("pwd = '" + "x" * 9000 + "'") == set()
+    assert found("a = 'Zx81QaLm'\n" + "a = a + a\n" * 5000 + "pwd = a") == {"Zx81QaLm"}
+
+
 def test_query_on_the_whole_table(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     for r in QUERIES["op3_secret_scan"](spark, SF_DIR).collect():
