@@ -9,8 +9,11 @@ Candidates are verified by the share of the item's distinct shingles that the wh
 A window can agree only if it holds a shingle that is an item's least one, so signatures are taken of such windows only.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantwatch.llm.pieces import groups
@@ -19,7 +22,7 @@ from plantwatch.llm.store import column_by_parts, kept_rows
 
 THRESHOLD = 0.8
 HASHES = 64
-#: Items that are searched for together: what is broadcast is bounded by this, and further items go in further blocks.
+#: Items that are searched for together: what a task loads is bounded by this, and further items go in further passes.
 ITEM_BLOCK = 4_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 _FILTER_BITS = 20
@@ -99,19 +102,20 @@ def _contained(texts, indexes, threshold):
     return result
 
 
-def _finder(spark, items, threshold, width, block, item_column, item_text):
-    """A function from lists of texts to lists of (item, containment) lists, for tasks.
+def _finders(spark, items, threshold, width, block, item_column, item_text):
+    """For each block of items a function from lists of texts to lists of (item, containment) lists, for tasks.
 
-    All items are searched for, ``block`` of them at a time, so what is broadcast at once is bounded; the items, a block
-    at a time, and not the documents pass the driver. Items without a letter or digit, null ones included, are in no
-    document.
+    All items are searched for, ``block`` of them at a time: the driver indexes one block after the other and a task loads
+    the block of its function only. Documents never pass the driver. Items without a letter or digit, null ones included,
+    are in no document.
     """
     held = items.select(F.col(item_column).cast("bigint").alias("k"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
-    shared, pending = [], []
+    finders, pending = [], []
 
     def add():
         if indexes := _indexes(pending, width):
-            shared.append(spark.sparkContext.broadcast(indexes))
+            shared = spark.sparkContext.broadcast(indexes)
+            finders.append(lambda texts: _contained(texts, shared.value, threshold))
 
     for row in held.toLocalIterator():
         pending.append((row.k, row.t))
@@ -119,14 +123,7 @@ def _finder(spark, items, threshold, width, block, item_column, item_text):
             add()
             pending = []
     add()
-
-    def find(texts):
-        found = [[] for _ in texts]
-        for part in shared:
-            found = [x + y for x, y in zip(found, _contained(texts, part.value, threshold))]
-        return found
-
-    return find
+    return finders or [lambda texts: [[] for _ in texts]]
 
 
 def contaminations(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK, id_column="doc_id", text_column="text",
@@ -137,23 +134,31 @@ def contaminations(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLO
     document rows give repeated rows, repeated item rows count once. Null ids stay null. Other columns are left out,
     whatever their names; an empty table on either side gives an empty result.
     """
-    find = _finder(docs.sparkSession, items, threshold, width, block, item_column, item_text)
     pair = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
 
-    def search(batches):
-        for batch in batches:
-            found = column_by_parts(batch, "text", lambda texts: [[{"item_id": i, "containment": c} for i, c in x] for x in find(texts)], pair)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "found"])
+    def searching(find):
+        def search(batches):
+            for batch in batches:
+                found = column_by_parts(batch, "text", lambda texts: [[{"item_id": i, "containment": c} for i, c in x] for x in find(texts)], pair)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "found"])
+
+        return search
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.mapInArrow(search, "doc_id bigint, found array<struct<item_id:bigint,containment:double>>")
+    finders = _finders(docs.sparkSession, items, threshold, width, block, item_column, item_text)
+    rows = reduce(DataFrame.union, [rows.mapInArrow(searching(f), "doc_id bigint, found array<struct<item_id:bigint,containment:double>>") for f in finders])
     return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.containment")
 
 
 def without_items(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLOCK, text_column="text", item_column="item_id", item_text="text"):
-    """The rows that hold no item, with their own columns."""
-    find = _finder(docs.sparkSession, items, threshold, width, block, item_column, item_text)
-    return kept_rows(docs, text_column, lambda texts: [not x for x in find(texts)])
+    """The rows that hold no item, with their own columns. Of several blocks, each finds the texts that hold its items."""
+    finders = _finders(docs.sparkSession, items, threshold, width, block, item_column, item_text)
+    if len(finders) == 1:
+        return kept_rows(docs, text_column, lambda texts: [not x for x in finders[0](texts)])
+    texts = docs.select(F.col(text_column).alias("text"))
+    holding = [kept_rows(texts, "text", lambda texts, find=find: [bool(x) for x in find(texts)]) for find in finders]
+    holding = reduce(DataFrame.union, [h.select(F.sha2("text", 256).alias("_text_sha")) for h in holding]).distinct()
+    return docs.withColumn("_text_sha", F.sha2(F.col(text_column), 256)).join(holding, "_text_sha", "left_anti").select(*docs.columns)
 
 
 #: The same by definition, for items and documents of at least five words.

@@ -88,3 +88,14 @@ def test_recall_of_the_candidate_search():
         found += bool(d._contained([" ".join([*prose(1000 + k, 3000), *v, *prose(2000 + k, 3000)])], held, 0.8)[0])
     assert found == 200
     assert np.isfinite(d._SEEDS.astype(float)).all()
+
+
+def test_a_task_searches_for_one_block(spark, docs):
+    passages = [" ".join(f"p{k}w{n}" for n in range(30)) for k in range(5)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    rows = docs(*[(k, f"before {p} after") for k, p in enumerate(passages)], (7, f"{passages[0]} {passages[4]}"), (8, "plain words only, none of an item"), (9, None))
+    found = d.contaminations(rows, items, block=2)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [*((k, k) for k in range(5)), (7, 0), (7, 4)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    kept = d.without_items(rows, items, block=2)
+    assert sorted(r.doc_id for r in kept.collect()) == [8, 9] and kept.columns == rows.columns
