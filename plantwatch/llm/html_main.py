@@ -8,7 +8,7 @@ found by maximum flow, is the labelling with the least sum of scores overruled a
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +20,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
     |<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)
     |(?P<text>[^<]+|<)""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW_END = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>?") for t in ("script", "style", "title", "textarea", "xmp", "template", "noscript", "svg", "math", "iframe", "object", "select")}
+_RAW_END = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>?") for t in ("script", "style", "title", "textarea", "xmp", "template", "noscript", "svg", "annotation", "annotation-xml", "iframe", "object", "select")}
+#: Of these, elements that end with their parent at the latest.
+_ENDS_WITH_PARENT = {"template", "noscript", "svg", "object", "select", "annotation", "annotation-xml"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
@@ -41,18 +43,22 @@ BOILER_WORDS = set("""ad ads adv advert adverts advertisement advertising adsens
 CONTENT_WORDS = set("article content post entry story main text articlebody maincontent postcontent".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 BOILER, CONTENT = -6.0, 2.5
+#: The cost of a boilerplate word beside a class that is only of content words; words after one of these cost nothing.
+MIXED = -3.5
+NEGATIONS = {"has", "with", "no", "not", "without"}
 #: Smoothness of neighbours at DOM distance d: FOLLOW / d for blocks that follow, SIBLING / d under one parent.
 FOLLOW, SIBLING = 1.0, 1.0
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "low", "high", "in_article", "skip")
+    __slots__ = ("tag", "parent", "depth", "low", "high", "in_article", "named", "clean", "below")
 
     def __init__(self, tag, rest, parent):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.low, self.high = (parent.low, parent.high) if parent else (0.0, 0.0)
         self.in_article = bool(parent and parent.in_article) or tag in ("article", "main")
+        self.named, self.clean, self.below = 0.0, tag in ("article", "main"), 0
         own = TAGS.get(tag, 0.0)
         if tag == "header" and self.in_article:
             own = 0.0
@@ -64,13 +70,48 @@ class _Element:
                     if name == "hidden" or value.lower() == "true" or re.search(r"display\s*:\s*none", value, re.I):
                         self.low = min(self.low, BOILER)
                     continue
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & BOILER_WORDS and tag not in ("article", "main"):
-                    self.low = min(self.low, BOILER)
-                elif words & CONTENT_WORDS:
+                boiler, content = _named(value)
+                if boiler and tag not in ("article", "main"):
+                    self.named = min(self.named, MIXED if content else BOILER)
+                elif boiler and tag == "article":
+                    self.clean = False
+                if content:
                     self.high = max(self.high, CONTENT)
 
 
+def _named(value):
+    """Whether a class, id or role has a boilerplate word that is not negated, and whether it has a class of content words."""
+    boiler = content = False
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and words[0] in NEGATIONS:
+            continue
+        if not BOILER_WORDS.isdisjoint(words):
+            boiler = True
+        elif not CONTENT_WORDS.isdisjoint(words):
+            content = True
+    return boiler, content
+
+
+def _weigh_names(elements, blocks):
+    """Put the costs of class words on the elements, parents before children.
+
+    The cost of an element falls with the share of the page's unlinked text that it holds, from half of it on to nothing for
+    all of it. An article (unless it has such a word itself) or a main element takes off what its ancestors' words cost.
+    """
+    for block in blocks:
+        block.element.below += len(block.text) - block.linked
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.below += e.below
+    total = elements[0].below
+    for e in elements[1:]:
+        if e.named and total:
+            e.named *= min(1.0, 2.0 * (1.0 - e.below / total))
+        e.named = min(e.named, 0.0 if e.clean else e.parent.named)
+        e.low = min(e.low, e.named)
+
+
 class Block:
     """A text block: its text, the element that holds it, and how many of its characters are in links."""
 
@@ -83,6 +124,7 @@ class Block:
 def blocks_of(page):
     """The text blocks of a page in order: character references decoded, white space as single spaces, none empty."""
     root = at = _Element("#", "", None)
+    elements, ends, loose = [root], {}, False
     found, parts, linked, links = [], [], 0, 0
 
     def flush():
@@ -119,8 +161,15 @@ def blocks_of(page):
                     at = node.parent
             continue
         if tag in _RAW_END and not m["rest"].endswith("/>"):
-            end = _RAW_END[tag].search(page, place)
-            place = end.end() if end else size
+            if tag not in ends or ends[tag] and ends[tag].start() < place:
+                ends[tag] = _RAW_END[tag].search(page, place)
+            end = ends[tag]
+            if tag not in _ENDS_WITH_PARENT:
+                place = end.end() if end else size
+            elif end or not loose:
+                stop = _parent_end(page, at, place, end.start() if end else size)
+                loose = stop is None and not end
+                place = stop if stop is not None else end.end() if end else place
             continue
         if tag == "br":
             parts.append(" ")
@@ -137,10 +186,31 @@ def blocks_of(page):
                     at = node.parent
             if tag not in _VOID:
                 at = _Element(tag, m["rest"], at)
+                elements.append(at)
     flush()
+    _weigh_names(elements, found)
     return found
 
 
+def _parent_end(page, at, place, limit):
+    """Where, before ``limit``, an element that is open at ``place`` is closed, or None."""
+    above, opened = {}, Counter()
+    node = at
+    while node:
+        above[node.tag], node = True, node.parent
+    while place < limit and (m := _TOKEN.match(page, place)) and m.start() < limit:
+        tag = (m["tag"] or "").lower()
+        if tag in _BLOCK and tag not in _VOID:
+            if not m["close"]:
+                opened[tag] += 1
+            elif opened[tag]:
+                opened[tag] -= 1
+            elif tag in above:
+                return place
+        place = m.end()
+    return None
+
+
 def score(block):
     """Above 0 for content, below for boilerplate."""
     e, n = block.element, len(block.text)

@@ -28,6 +28,33 @@ def test_other_layouts(body):
     assert h.main_text(page).split("\n") == ["A headline here", PROSE, PROSE]
 
 
+@pytest.mark.parametrize("opening,closing", [
+    ('<div class="layout with-sidebar"><article>', "</article></div>"), ('<div class="sidebar-layout"><article>', "</article></div>"), ('<div class="post tag-social">', "</div>"),
+    ('<div class="no-comments">', "</div>"), ('<div class="menu"><main>', "</main></div>"),
+])
+def test_words_of_wrappers_do_not_outweigh_the_text(opening, closing):
+    page = f'<body>{opening}<h1>A headline here</h1>{6 * f'<p>{PROSE}</p>'}<div class="ad">Buy now, buy here.</div>{closing}<div class="comments"><p>{PROSE}</p></div></body>'
+    assert h.main_text(page).split("\n") == ["A headline here", *6 * [PROSE]]
+
+
+def test_much_text_outweighs_the_words_of_its_wrapper():
+    page = f'<body><div id="header-layout">{6 * f"<p>{PROSE}</p>"}</div><div class="comments"><p>{PROSE}</p></div></body>'
+    assert h.main_text(page).split("\n") == 6 * [PROSE]
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "select", "template", "noscript"])
+def test_elements_without_an_end_tag_end_with_their_parent(tag):
+    assert h.main_text(f"<article><p>{PROSE}</p><div><{tag}>lost</div><p>{PROSE}</p></article>").split("\n") == [PROSE, PROSE]
+    assert h.main_text(f"<article><p>{PROSE}</p><div><{tag}>lost</div><p>{PROSE}</p><{tag}>x</{tag}></article>").split("\n") == [PROSE, PROSE]
+    assert h.main_text(f"<article><p>{PROSE}</p><{tag}><p>inside</p></{tag}><p>{PROSE}</p></article>").split("\n") == [PROSE, PROSE]
+    assert h.main_text(f"<{tag}>" * 20_000 + PROSE).endswith(PROSE)
+
+
+def test_text_of_inline_math_stays():
+    page = f"<article><p>{PROSE} So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> holds.</p></article>"
+    assert h.main_text(page) == f"{PROSE} So x=2 holds."
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "<a href='", "</p></p>", "<p title='>x", "<<<>>>", "&amp", "<td><td><tr>", "\0<p>\0", "<style><p>x</p>"])
 def test_broken_pages(page):
     assert isinstance(h.main_text(page), str)
