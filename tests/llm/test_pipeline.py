@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as pipeline
-from plantwatch.llm import quality
+from plantwatch.llm import mixing, quality
 from tests.conftest import SF_DIR
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_minhash import brute_classes
@@ -61,6 +61,21 @@ def test_mixture(stages):
     assert 0 <= words(out) - pipeline.MIX_SHARE * words(docs) <= leaves * longest
 
 
+def test_mixture_shares_at_each_level(spark):
+    """Of equal domains all but the last are full at this share; inside it, the weights of languages and sources hold."""
+    rows = [(k, f"s{n}", lang, "w " * 20) for k, (n, lang, _) in enumerate((n, lang, i) for n in range(8) for lang in ("en", "de") for i in range(25))]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    taken = mixing.mixed(frame, share=pipeline.MIX_SHARE, max_epochs=1).collect()
+
+    def words(**where):
+        return sum(r.taken for r in taken if all(r[k] == v for k, v in where.items()))
+
+    # budgets are whole words, rounded down at each level
+    assert [words(domain=f"d{k}") for k in range(3)] == [2000] * 3 and 0 <= 1200 - words(domain="d3") <= 4
+    assert abs(words(domain="d3", language="en") - 1200 * 50 / 70) <= 2 and abs(words(domain="d3", language="de") - 1200 * 20 / 70) <= 2
+    assert all(abs(words(language="en", source=s) - 600 * 50 / 70) <= 1 for s in ("s3", "s7"))
+
+
 def test_token_files(stages):
     docs, out = stages[4]
     check_files([(r.doc_id, r.text) for r in docs.collect()], out.collect())
