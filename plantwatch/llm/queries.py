@@ -2,7 +2,7 @@
 
 import os
 
-from plantwatch.llm import chat_format, decontaminate, filter_audit, html_main, merkle, mixing, quality, secret_scan, warc
+from plantwatch.llm import chat_format, decontaminate, filter_audit, html_main, merkle, mixing, quality, secret_scan, vector_codes, warc
 from plantwatch.llm import minhash_dedup as dedup
 from plantwatch.llm import token_counts as counts
 from plantwatch.llm import token_files as files
@@ -64,6 +64,10 @@ def op7_token_files(spark, sf_dir):
     return files.token_files(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,6 +77,6 @@ def op13_chat_format(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_warc, op3_secret_scan, op4_decontaminate, op5_mixing, op6_token_counts, op7_token_files, op8_html_main, op9_quality, op10_merkle,
-                                op12_filter_audit, op13_chat_format)}
-ORACLE = {"op2_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op12_filter_audit": filter_audit.SQL,
+                                op11_vector_codes, op12_filter_audit, op13_chat_format)}
+ORACLE = {"op2_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL, "op5_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_filter_audit": filter_audit.SQL,
           "op13_chat_format": chat_format.SQL}

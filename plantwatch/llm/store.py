@@ -65,6 +65,12 @@ def ship(spark):
 _SHIPPED = set()
 
 
+def removed(folder):
+    """Delete a folder of the store whose successor has been written."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.delete_dir(path)
+
+
 def open_file(uri):
     """A seekable file of the store, for ranged reads."""
     store, path = fs.FileSystem.from_uri(uri)
