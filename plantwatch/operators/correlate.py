@@ -1,5 +1,6 @@
 """Failures of one machine type that show up on the machines depending on it."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
@@ -24,12 +25,12 @@ def _failing():
     return rule.alias("rule"), severity.alias("severity")
 
 
-def _sources(df, exposures, when, name="time_bucket"):
-    """Failing machines and their severities, summed per rule and time; a machine counts once at each time."""
+def _sources(df, exposures, when):
+    """Failing machines and their severities, summed per rule and bucket; a machine counts once in each."""
     origins = [source for _, source, _, _ in exposures]
     failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", when, *_failing()).filter("rule IS NOT NULL")
-    per_machine = failing.groupBy("rule", name, "machine_id").agg(F.max("severity").alias("severity"))
-    return per_machine.groupBy("rule", name).agg(
+    per_machine = failing.groupBy("rule", "time_bucket", "machine_id").agg(F.max("severity").alias("severity"))
+    return per_machine.groupBy("rule", "time_bucket").agg(
         F.count("*").alias("source_machines"), F.sum("severity").alias("severity_sum"),
         F.max("severity").alias("max_severity"))
 
@@ -72,24 +73,67 @@ def correlated_failures(df, width=13, exposures=None):
         *[change(s) for s in present])
 
 
-def correlated_within(df, distance=3600, step=60, width=13, exposures=None):
+def disturbances(df, distance=3600, exposures=None, cell=86400):
+    """Spans ``(rule, machine_id, opened, closed, severity)`` in which a failing machine disturbs its dependants, in seconds.
+
+    A failure at second t acts from t + 1 to t + ``distance``, or to the second in which the same machine fails again: from then
+    on the newer failure counts. A machine's spans don't overlap, so it counts once at any time. Of failures in one second
+    the most severe counts. Histories are cut into cells of time; the failures of the first ``distance`` seconds of a cell
+    are also shown to the cell before it, which needs them to close its own spans.
+    """
+    exposures, cell = exposures or EXPOSURES, max(cell, distance)
+    origins = [source for _, source, _, _ in exposures]
+    second = F.unix_timestamp(event_time()).alias("opened")
+    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", second, *_failing()).filter("rule IS NOT NULL AND opened IS NOT NULL")
+    failing = failing.groupBy("rule", "machine_id", "opened").agg(F.coalesce(F.max("severity"), F.lit(0.0)).alias("severity"))
+    own = F.floor(F.col("opened") / cell)
+    cells = F.when(F.col("opened") - own * cell < distance, F.array(own, own - 1)).otherwise(F.array(own))
+    placed = failing.select("*", F.explode(cells).alias("cell"))
+    after = F.lead("opened").over(Window.partitionBy("rule", "machine_id", "cell").orderBy("opened"))
+    closed = F.least(F.col("opened") + distance, F.coalesce(after, F.col("opened") + distance))
+    return placed.withColumn("closed", closed).filter(F.col("cell") == own).select("rule", "machine_id", "opened", "closed", "severity")
+
+
+def _blocks(distance):
+    """The seconds after ``opened`` up to ``closed`` as few aligned blocks: (level, number), block n of level k being the
+    seconds from n * 2^k to (n + 1) * 2^k - 1."""
+    first, end = "-shiftright(-(opened + 1), k)", "shiftright(closed + 1, k)"
+    found = f"""flatten(transform(sequence(0, {max(0, distance.bit_length() - 1)}), k -> filter(array(
+        if({first} < {end} AND {first} & 1 = 1, struct(k AS level, {first} AS number), null),
+        if({first} < {end} AND {end} & 1 = 1, struct(k AS level, {end} - 1 AS number), null)), b -> b IS NOT NULL)))"""
+    return F.explode(F.expr(found)).alias("block")
+
+
+def disturbed_seconds(spans, distance=3600):
+    """Per rule and second: how many machines disturb, the sum of their severities and the greatest.
+
+    Spans are added up by where they begin and end, then cut into aligned blocks of seconds and added up by block, then
+    blocks are laid out to seconds. So the rows are at most seconds times rules times the logarithm of ``distance``,
+    however many machines fail, and no second's machines meet in one task.
+    """
+    sums = lambda n: [F.sum(n).alias("source_machines"), F.sum("severity_sum").alias("severity_sum"), F.max("max_severity").alias("max_severity")]
+    spans = spans.select("rule", "opened", "closed", F.lit(1).alias("n"), F.col("severity").alias("severity_sum"), F.col("severity").alias("max_severity"))
+    edges = spans.groupBy("rule", "opened", "closed").agg(*sums("n"))
+    blocks = edges.select("*", _blocks(distance)).groupBy("rule", "block").agg(*sums("source_machines"))
+    start = F.expr("shiftleft(block.number, block.level)")
+    seconds = F.explode(F.sequence(start, start + F.expr("shiftleft(1L, block.level)") - 1)).alias("second")
+    return blocks.select("rule", seconds, "source_machines", "severity_sum", "max_severity").groupBy("rule", "second").agg(*sums("source_machines"))
+
+
+def correlated_within(df, distance=3600, width=13, exposures=None):
     """Exposure of each dependent machine per time bucket and rule to failures up to ``distance`` seconds before.
 
-    Time is counted in steps of ``step`` seconds. Sources are summed per rule and step first; a step's sum is copied to
-    the steps that it reaches, and of several the greatest counts. So a failure just before a bucket's border acts on the
-    events after it, and the rows are steps and machines, never pairs of events. ``events`` counts the exposed events;
-    the other figures are the greatest of any step in the bucket. Rows without a readable time take no part.
+    Time counts to the second: a failure at t acts on events from t + 1 to t + ``distance``, neither on those of its own second
+    nor on those before or beyond. At each moment a machine counts once, with its latest failure (``disturbances``).
+    ``events`` counts the exposed events; the other figures are the greatest that an event of the bucket meets. Events are
+    counted per machine and second and joined to one row per rule and second, never to the failures. Rows without a
+    readable time take no part.
     """
     exposures = exposures or EXPOSURES
-    at = F.floor(F.unix_timestamp(event_time()) / step).cast("bigint").alias("step")
-    figures = ("source_machines", "severity_sum", "max_severity")
-    greatest = [F.max(c).alias(c) for c in figures]
-    sources = _sources(df, exposures, at, "step").filter("step IS NOT NULL")
-    reached = F.explode(F.sequence(F.col("step"), F.col("step") + distance // step)).alias("step")
-    reach = sources.select("rule", reached, *figures).groupBy("rule", "step").agg(*greatest)
+    reach = disturbed_seconds(disturbances(df, distance, exposures), distance)
     reach = reach.select("*", F.explode(_dependants(exposures)).alias("machine_type"))
     dependants = sorted({d for _, _, types, _ in exposures for d in types})
-    bucket = F.substring("timestamp", 1, width).alias("time_bucket")
-    targets = df.filter(F.col("machine_type").isin(dependants)).groupBy("machine_id", "machine_type", bucket, at).agg(F.count("*").alias("events"))
-    return targets.join(reach, ["machine_type", "step"]).groupBy("machine_id", "machine_type", "time_bucket", "rule").agg(
-        F.sum("events").alias("events"), *greatest)
+    bucket, second = F.substring("timestamp", 1, width).alias("time_bucket"), F.unix_timestamp(event_time()).alias("second")
+    targets = df.filter(F.col("machine_type").isin(dependants)).groupBy("machine_id", "machine_type", bucket, second).agg(F.count("*").alias("events"))
+    return targets.join(reach, ["machine_type", "second"]).groupBy("machine_id", "machine_type", "time_bucket", "rule").agg(
+        F.sum("events").alias("events"), *[F.max(c).alias(c) for c in ("source_machines", "severity_sum", "max_severity")])

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -137,6 +138,46 @@ def test_failures_reach_over_the_hour(rows):
     assert found == [("N1", "2024-01-01T11", 1, 1)]
 
 
+def _exposed(frame, **options):
+    rows = correlate.correlated_within(frame, **options).collect()
+    return sorted((r["machine_id"], r["time_bucket"][-2:], r["events"], r["source_machines"], r["severity_sum"], r["max_severity"]) for r in rows)
+
+
+def test_failures_count_to_the_second_at_both_ends(rows):
+    cooler = {"machine_type": "cooling_system", "anomaly_detected": True, "machine_id": "C1", "anomaly_severity": 0.5}
+    seen = lambda *times: [{"machine_id": f"N{k}", "timestamp": f"2024-01-01T{t}Z"} for k, t in enumerate(times)]
+    frame = rows({**cooler, "timestamp": "2024-01-01T10:00:30Z"},
+                 *seen("10:00:05", "10:00:29", "10:00:30", "10:00:31", "11:00:29", "11:00:30", "11:00:31", "11:00:55"))
+    assert [r[0] for r in _exposed(frame)] == ["N3", "N4", "N5"]
+    assert [r[0] for r in _exposed(frame, distance=1)] == ["N3"]
+    assert [r[0] for r in _exposed(frame, distance=3625)] == ["N3", "N4", "N5", "N6", "N7"]
+
+
+def test_a_machine_counts_once_with_its_latest_failure(rows):
+    def cooler(machine, at, severity):
+        return {"machine_type": "cooling_system", "anomaly_detected": True, "machine_id": machine, "anomaly_severity": severity, "timestamp": f"2024-01-01T{at}Z"}
+    frame = rows(cooler("C1", "23:50:00", 1.0), cooler("C1", "23:50:00", 0.25), cooler("C1", "23:55:00", 0.5), cooler("C2", "23:52:00", 0.125),
+                 {"machine_id": "N1", "timestamp": "2024-01-01T23:54:00Z"}, {"machine_id": "N2", "timestamp": "2024-01-01T23:55:00Z"},
+                 {"machine_id": "N3", "timestamp": "2024-01-01T23:55:01Z"}, {"machine_id": "N4", "timestamp": "2024-01-02T00:54:00Z"},
+                 {"machine_id": "N5", "timestamp": "2024-01-02T00:55:01Z"})
+    assert _exposed(frame) == [("N1", "23", 1, 2, 1.125, 1.0), ("N2", "23", 1, 2, 1.125, 1.0), ("N3", "23", 1, 2, 0.625, 0.5), ("N4", "00", 1, 1, 0.5, 0.5)]
+    spans = sorted((r["machine_id"], r["closed"] - r["opened"], r["severity"]) for r in correlate.disturbances(frame, cell=3600).collect())
+    assert spans == [("C1", 300, 1.0), ("C1", 3600, 0.5), ("C2", 3600, 0.125)]
+
+
+def test_disturbed_seconds_equal_a_sweep(spark):
+    dice = random.Random(11)
+    spans = [("r", f"M{k}", t, t + dice.randrange(1, 301), dice.randrange(1, 64) / 64) for k in range(200) for t in [dice.randrange(-500, 5000)]]
+    frame = spark.createDataFrame(spans, "rule string, machine_id string, opened bigint, closed bigint, severity double")
+    found = {r["second"]: (r["source_machines"], r["severity_sum"], r["max_severity"]) for r in correlate.disturbed_seconds(frame, 300).collect()}
+    plain = {}
+    for second in range(-600, 5500):
+        here = [s for _, _, opened, closed, s in spans if opened < second <= closed]
+        if here:
+            plain[second] = (len(here), sum(here), max(here))
+    assert found == plain
+
+
 def test_history_of_stopped_and_active_machines_is_pruned(spark, rows):
     frame = rows(*[{"machine_id": m, "timestamp": f"2024-01-{d:02d}T{h:02d}:00:00Z", "day": d, "temperature": float(h)}
                    for m, days in (("A", range(1, 20)), ("B", range(1, 5))) for d in days for h in (1, 5, 9)])
