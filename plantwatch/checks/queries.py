@@ -17,7 +17,8 @@ from plantwatch.plans import activity, kpis, machines
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, EVENTS, SENSORS
 from plantwatch.session import stored, work_dir
 from plantwatch.sources import fixture, lake
-from plantwatch.streaming import ingest, windows
+from plantwatch.streaming import correlate as stream_correlate
+from plantwatch.streaming import ingest, presence, windows
 
 AVERAGE, SUM = 9, 4
 INGEST_TIME = "2024-02-01 00:00:00"
@@ -485,6 +486,35 @@ def stream_status_changes(spark, sf):
     return spark.read.parquet(f"{base}/changes").drop("batch")
 
 
+def stream_presence(spark, sf):
+    """Changes of status, silences of over six hours included, from a stream in two runs."""
+    def run(stream, base):
+        changes = presence.machine_presence(stream, silence=21600)
+        return ingest.records_writer(changes, f"{base}/checkpoint").format("parquet").option("path", f"{base}/changes").start()
+    base = _in_two_runs(spark, _t(spark, sf), F.col("timestamp") < "2024-01-15", run)
+    return spark.read.schema(PRESENCE).parquet(f"{base}/changes")
+
+
+PRESENCE = "machine_id string, timestamp string, event_id string, previous_status string, status string, seconds_in_previous long"
+
+
+def stream_correlated(spark, sf):
+    """Exposure per machine and hour from a stream of telemetry in two runs: disturbed seconds, then the join of two streams."""
+    rows = _t(spark, sf)
+
+    def run(stream, base):
+        stream_correlate.stream_disturbances(stream, f"{base}/seconds", f"{base}/spans-checkpoint").awaitTermination()
+        exposed = stream_correlate.stream_correlated(stream, f"{base}/seconds")
+        return ingest.records_writer(exposed, f"{base}/checkpoint").format("parquet").option("path", f"{base}/out").start()
+    base = _in_two_runs(spark, rows, F.col("timestamp") < "2024-01-15", run)
+    found = spark.read.schema(EXPOSED).parquet(f"{base}/out")
+    return found.select("machine_id", "machine_type", F.substring("bucket_start", 1, 13).alias("time_bucket"), "rule", "events", "source_machines",
+                        F.round("severity_sum", 6).alias("severity_sum"), "max_severity")
+
+
+EXPOSED = "machine_id string, machine_type string, bucket_start string, rule string, events long, source_machines long, severity_sum double, max_severity double"
+
+
 def reprocess(spark, sf):
     """Quarantined range errors validated again under wider limits."""
     base = _validated_lake(spark, sf)
@@ -662,6 +692,8 @@ QUERIES = {
     "stream_curate_counts": stream_curate_counts,
     "stream_late": stream_late,
     "stream_status_changes": stream_status_changes,
+    "stream_presence": stream_presence,
+    "stream_correlated": stream_correlated,
     "reprocess_quarantine": reprocess,
     "stream_tumbling": stream_tumbling,
     "stream_sliding": stream_sliding,

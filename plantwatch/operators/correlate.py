@@ -7,7 +7,7 @@ from plantwatch.functions.times import event_time
 from plantwatch.rules import EXPOSURES
 
 
-def _failing():
+def failing():
     """Rule name of a row whose machine disturbs others, and how severely."""
     worst = F.greatest(F.col("anomaly_severity"), F.col("degradation_level"))
     anomalous = F.coalesce(F.col("anomaly_detected"), F.lit(False))
@@ -28,14 +28,14 @@ def _failing():
 def _sources(df, exposures, when):
     """Failing machines and their severities, summed per rule and bucket; a machine counts once in each."""
     origins = [source for _, source, _, _ in exposures]
-    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", when, *_failing()).filter("rule IS NOT NULL")
-    per_machine = failing.groupBy("rule", "time_bucket", "machine_id").agg(F.max("severity").alias("severity"))
+    failures = df.filter(F.col("machine_type").isin(origins)).select("machine_id", when, *failing()).filter("rule IS NOT NULL")
+    per_machine = failures.groupBy("rule", "time_bucket", "machine_id").agg(F.max("severity").alias("severity"))
     return per_machine.groupBy("rule", "time_bucket").agg(
         F.count("*").alias("source_machines"), F.sum("severity").alias("severity_sum"),
         F.max("severity").alias("max_severity"))
 
 
-def _dependants(exposures):
+def dependants_of(exposures):
     """Machine types that a rule acts on, as an array."""
     pairs = F.lit(None).cast("array<string>")
     for name, _, dependants, _ in reversed(exposures):
@@ -53,7 +53,7 @@ def correlated_failures(df, width=13, exposures=None):
     exposures = exposures or EXPOSURES
     bucket = F.substring("timestamp", 1, width).alias("time_bucket")
     sources = _sources(df, exposures, bucket)
-    reach = sources.select("*", F.explode(_dependants(exposures)).alias("machine_type"))
+    reach = sources.select("*", F.explode(dependants_of(exposures)).alias("machine_type"))
     dependants = sorted({d for _, _, types, _ in exposures for d in types})
     present = ["temperature", "motor_temperature", "power_consumption", "energy_usage", "alignment_accuracy",
                "cycle_efficiency", "rpm"]
@@ -84,11 +84,11 @@ def disturbances(df, distance=3600, exposures=None, cell=86400):
     exposures, cell = exposures or EXPOSURES, max(cell, distance)
     origins = [source for _, source, _, _ in exposures]
     second = F.unix_timestamp(event_time()).alias("opened")
-    failing = df.filter(F.col("machine_type").isin(origins)).select("machine_id", second, *_failing()).filter("rule IS NOT NULL AND opened IS NOT NULL")
-    failing = failing.groupBy("rule", "machine_id", "opened").agg(F.coalesce(F.max("severity"), F.lit(0.0)).alias("severity"))
+    failures = df.filter(F.col("machine_type").isin(origins)).select("machine_id", second, *failing()).filter("rule IS NOT NULL AND opened IS NOT NULL")
+    failures = failures.groupBy("rule", "machine_id", "opened").agg(F.coalesce(F.max("severity"), F.lit(0.0)).alias("severity"))
     own = F.floor(F.col("opened") / cell)
     cells = F.when(F.col("opened") - own * cell < distance, F.array(own, own - 1)).otherwise(F.array(own))
-    placed = failing.select("*", F.explode(cells).alias("cell"))
+    placed = failures.select("*", F.explode(cells).alias("cell"))
     after = F.lead("opened").over(Window.partitionBy("rule", "machine_id", "cell").orderBy("opened"))
     closed = F.least(F.col("opened") + distance, F.coalesce(after, F.col("opened") + distance))
     return placed.withColumn("closed", closed).filter(F.col("cell") == own).select("rule", "machine_id", "opened", "closed", "severity")
@@ -131,7 +131,7 @@ def correlated_within(df, distance=3600, width=13, exposures=None):
     """
     exposures = exposures or EXPOSURES
     reach = disturbed_seconds(disturbances(df, distance, exposures), distance)
-    reach = reach.select("*", F.explode(_dependants(exposures)).alias("machine_type"))
+    reach = reach.select("*", F.explode(dependants_of(exposures)).alias("machine_type"))
     dependants = sorted({d for _, _, types, _ in exposures for d in types})
     bucket, second = F.substring("timestamp", 1, width).alias("time_bucket"), F.unix_timestamp(event_time()).alias("second")
     targets = df.filter(F.col("machine_type").isin(dependants)).groupBy("machine_id", "machine_type", bucket, second).agg(F.count("*").alias("events"))

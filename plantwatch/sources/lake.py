@@ -167,3 +167,9 @@ def lake_inventory(spark, layers):
 
 def batch_path(path, batch_id):
     return os.path.join(path, f"batch={batch_id}")
+
+
+def is_written(spark, path):
+    """Whether a write to this path was finished."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
