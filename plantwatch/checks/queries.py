@@ -499,14 +499,11 @@ PRESENCE = "machine_id string, timestamp string, event_id string, previous_statu
 
 
 def stream_correlated(spark, sf):
-    """Exposure per machine and hour from a stream of telemetry in two runs: disturbed seconds, then the join of two streams."""
-    rows = _t(spark, sf)
-
-    def run(stream, base):
-        stream_correlate.stream_disturbances(stream, f"{base}/seconds", f"{base}/spans-checkpoint").awaitTermination()
-        exposed = stream_correlate.stream_correlated(stream, f"{base}/seconds")
-        return ingest.records_writer(exposed, f"{base}/checkpoint").format("parquet").option("path", f"{base}/out").start()
-    base = _in_two_runs(spark, rows, F.col("timestamp") < "2024-01-15", run)
+    """Exposure per machine and hour to failures of the last ten minutes: disturbed seconds, then the join of two streams."""
+    base = work_dir(spark, "correlated")
+    stream_correlate.stream_disturbances(_events_stream(spark, sf), f"{base}/seconds", f"{base}/spans-checkpoint", distance=600).awaitTermination()
+    exposed = stream_correlate.stream_correlated(_events_stream(spark, sf), f"{base}/seconds", distance=600)
+    ingest.records_writer(exposed, f"{base}/checkpoint").format("parquet").option("path", f"{base}/out").start().awaitTermination()
     found = spark.read.schema(EXPOSED).parquet(f"{base}/out")
     return found.select("machine_id", "machine_type", F.substring("bucket_start", 1, 13).alias("time_bucket"), "rule", "events", "source_machines",
                         F.round("severity_sum", 6).alias("severity_sum"), "max_severity")

@@ -13,8 +13,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def keep_state_in_rocksdb(spark):
-    """State with timers needs this state store; queries that were started before keep theirs."""
+    """State with timers needs this state store; queries that were started before keep theirs. A batch stores what it changed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def status_runs(rows, silence, delay, part):

@@ -70,7 +70,7 @@ def test_state_is_small_for_a_machine_with_most_events(spark):
 
 
 def test_correlated_stream_equals_the_batch_and_keeps_little(spark):
-    """Five runs of one stream; every closed hour is exact and the state doesn't grow with the runs."""
+    """Three runs of one stream; every closed hour is exact and the state doesn't grow with the runs."""
     dice = random.Random(5)
     rows = []
     for second in sorted(dice.randrange(0, 86_000) for _ in range(1_500)):
@@ -78,8 +78,8 @@ def test_correlated_stream_equals_the_batch_and_keeps_little(spark):
         rows.append((f"{len(rows):05d}", machine, kind, text(second), dice.random() < 0.3, dice.randrange(8) / 8, dice.randrange(8) / 16, None))
     schema = "event_id string, machine_id string, machine_type string, timestamp string, anomaly_detected boolean, anomaly_severity double, degradation_level double, anomaly_type string"
     table, base, kept = spark.createDataFrame(rows, schema), work_dir(spark, "correlated"), []
-    for k in range(5):
-        spark.createDataFrame(rows[k * 300:(k + 1) * 300], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for k in range(3):
+        spark.createDataFrame(rows[k * 500:(k + 1) * 500], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).parquet(f"{base}/in")
         correlate.stream_disturbances(stream, f"{base}/seconds", f"{base}/a", distance=1800, delay="1 second").awaitTermination()
         exposed = correlate.stream_correlated(stream, f"{base}/seconds", distance=1800, delay="1 second")
