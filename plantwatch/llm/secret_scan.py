@@ -10,8 +10,11 @@ values and literals that it was joined from, with the counts of its characters,
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import merge
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -34,7 +37,9 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|1234\d*|change_?me|example.*|yo
 THRESHOLD = 0.6
 
 _LITERAL = r"""(?:[rbuf]{0,2}"(?:[^"\\\n]|\\.)*"|[rbuf]{0,2}'(?:[^'\\\n]|\\.)*')"""
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*"
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+"
+# a name begins where no name goes on, and is read in one go: every letter is looked at a bounded number of times
+_BEGIN = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.-])"
 _BARE = r"[A-Za-z0-9/_.~$-][A-Za-z0-9+/_.=~$-]*"
 _TERM = rf"(?:{_LITERAL}|{_BARE})"
 
@@ -48,7 +53,9 @@ def _type(letter, inside):
 _TYPE, _PLAIN_TYPE = _type(r"\w", r"""[^\n"'={}():]"""), _type("[A-Za-z_]", r"""[^\n\d"'={}():]""")
 # before a bare value only a type without digits, set off by white space: ``token: abc=def`` holds abc=def
 _ANNOTATION = rf"""[?!]?[ \t]*+:[ \t]*+(?:{_TYPE}[ \t]*+(?==[ \t]*+[rbuf]{{0,2}}["'])|{_PLAIN_TYPE}[ \t]++(?==(?![=>])))"""
-_STATEMENT = re.compile(rf"""(?P<name>{_NAME})(?:\[["']?(?P<item>{_NAME})["']?\])?["']?(?:{_ANNOTATION})?[ \t]*(?P<sign>\+=|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
+_STATEMENT = re.compile(rf"""{_BEGIN}(?P<name>{_NAME})(?:\[["']?(?P<item>{_NAME})["']?\])?["']?(?:{_ANNOTATION})?[ \t]*(?P<sign>\+=|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
+# configuration in attributes: the name in one, the literal in the next
+_ATTRIBUTES = re.compile(rf"""\b(?:key|name)=(["'])(?P<name>{_NAME})\1[ \t]++value=(?P<value>{_LITERAL})""")
 _TERMS = re.compile(rf"(?P<quoted>{_LITERAL})|(?P<bare>{_BARE})")
 _INSIDE = re.compile(rf"\$\{{({_NAME})\}}|\$([A-Za-z_][A-Za-z0-9_]*)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -106,8 +113,12 @@ def assignments(text):
     """(name, whether it adds to the name, terms) in text order; a term is (kind, value, start, end), kind literal or bare."""
     if "=" not in text and ":" not in text:
         return
-    for m in _STATEMENT.finditer(text):
+    found = _STATEMENT.finditer(text)
+    if "value=" in text:
+        found = merge(found, _ATTRIBUTES.finditer(text), key=lambda m: m.start())
+    for m in found:
         terms, base = [], m.start("value")
+        parts = m.groupdict()
         for t in _TERMS.finditer(m["value"]):
             start, end = base + t.start(), base + t.end()
             if t["quoted"]:
@@ -115,7 +126,7 @@ def assignments(text):
                 terms.append(("literal", t[0][quote + 1:-1], start + quote + 1, end - 1))
             else:
                 terms.append(("bare", t[0], start, end))
-        yield m["item"] or m["name"], m["sign"] == "+=", terms
+        yield parts.get("item") or m["name"], parts.get("sign") == "+=", terms
 
 
 def literals(text, threshold=THRESHOLD):
@@ -155,7 +166,10 @@ def scan(text, threshold=THRESHOLD):
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
-    more = [("literal", s, e) for s, e in literals(text, threshold) if not any(b <= s and e <= f for _, b, f in base)]
+    base.sort(key=lambda x: x[1])
+    starts, reach = [b for _, b, _ in base], list(accumulate((f for _, _, f in base), max))
+    # a literal lies inside a base span if one that begins before it reaches its end
+    more = [("literal", s, e) for s, e in literals(text, threshold) if not (k := bisect_right(starts, s)) or reach[k - 1] < e]
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -168,6 +182,8 @@ def secrets(docs, threshold=THRESHOLD, id_column="doc_id", text_column="text"):
 
     ``spans`` has ``kind:start:end`` of every span, comma-joined, by start and then kind; ``base_sha256`` hashes the same
     text of the base kinds alone. A literal inside a base span isn't listed again. Null and empty texts have no spans.
+    Values with white space (passphrases of several words) aren't taken for secrets. Very long texts are scanned whole, in time
+    linear in their length; one text is held at a time.
     Repeated rows come back repeated, a null id stays null, other columns are left out, whatever their names; an empty table gives an
     empty result.
     """

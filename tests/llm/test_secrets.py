@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -60,6 +61,33 @@ def test_annotated_and_added_values(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ('<add key="dbPassword" value="K9fj2Lx0pq"/>', {"K9fj2Lx0pq"}),
+    ("<property name='api.secret' value='Zx81QaLm77'/> <add key=\"pageSize\" value=\"Zx81QaLm78\"/>", {"Zx81QaLm77"}),
+    ('a = "Zx81QaLm"\n<add key="auth.token" value="${a}Vv77"/>', {"Zx81QaLm", "${a}Vv77"}),
+])
+def test_names_and_values_in_attributes(text, want):
+    assert found(text) == want
+
+
+@pytest.mark.parametrize("text", ["x" * 5_000_000, "0123456789abcdef" * 300_000, "ACGT" * 1_200_000, "a.b-c_d." * 600_000, "a1" * 2_500_000, "a: b<c " * 100_000,
+                                  "k = 1 " * 100_000, "a[b" * 300_000, "a=\"b " * 100_000, "pwd " + " " * 5_000_000, "a:b|c" * 100_000, "token=abcdefg1;" * 50_000,
+                                  "key=\"" * 100_000, "key=\"a\" " * 100_000])
+def test_time_is_linear_in_the_text(text):
+    start = time.process_time()
+    s.scan("a = 1; " + text)
+    whole = time.process_time() - start
+    start = time.process_time()
+    s.scan("a = 1; " + text[:len(text) // 4])
+    assert whole < 60 and whole < 12 * max(0.25, time.process_time() - start)
+
+
+def test_literals_inside_base_spans_by_definition():
+    text = "password = 'Zx81QaLm77' token=abcdef pwd = \"Zx81QaLm78\" secret: 'short' auth_secret = 'K9fj2Lx0pq' " * 40
+    inside = [(a, b) for k, a, b in s.scan(text) if k != "literal"]
+    assert {(a, b) for k, a, b in s.scan(text) if k == "literal"} == {x for x in s.literals(text) if not any(a <= x[0] and x[1] <= b for a, b in inside)}
+
+
 def test_values_of_any_length_and_number_of_parts():
     many = [f"Zx{k:03d}Qa" for k in range(300)]
     assert found("part = " + " + ".join(f'"{m}"' for m in many) + "\nsecret = part") == set(many)
