@@ -16,7 +16,7 @@ from plantwatch.operators import correlate, curate, diagnose, features, latest,
 from plantwatch.plans import activity, kpis, machines
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, EVENTS, SENSORS
 from plantwatch.session import stored, work_dir
-from plantwatch.sources import fixture, lake
+from plantwatch.sources import compact, fixture, lake
 from plantwatch.streaming import correlate as stream_correlate
 from plantwatch.streaming import ingest, presence, windows
 
@@ -429,6 +429,17 @@ def stream_dedup(spark, sf):
     return rows.groupBy("machine_type").agg(F.count("*").alias("n"))
 
 
+def stream_seen(spark, sf):
+    """All records come, and then all of them again: what is kept, and what was counted as repeats."""
+    records = fixture.stream_records(_t(spark, sf))
+    twice = records.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
+    base = _in_two_runs(spark, twice, F.col("part") == 1, lambda stream, base: ingest.stream_validate(
+        stream.drop("part"), f"{base}/raw", f"{base}/quarantine", f"{base}/stats", f"{base}/checkpoint", ingest_time=INGEST_TIME, seen_path=f"{base}/seen"))
+    kept = lake.read_raw_json(spark, f"{base}/raw").groupBy("machine_type").agg(F.count("*").alias("n"))
+    repeats = spark.read.parquet(f"{base}/stats").groupBy().agg(F.sum("repeats").alias("n"))
+    return kept.unionByName(repeats.select(F.lit("repeats").alias("machine_type"), "n"))
+
+
 def stream_curate(spark, sf):
     """Events through both streams: validate to raw, curate to the partitioned table."""
     base = _validated_lake(spark, sf)
@@ -438,6 +449,21 @@ def stream_curate(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("temperature"), SUM).alias("temperature"))
 
 
+def stream_compacted(spark, sf):
+    """The curating stream's files merged, a batch written again after that, and merged once more."""
+    base = _validated_lake(spark, sf)
+    live, merged = f"{base}/curated", f"{base}/merged"
+    curate_now = lambda: ingest.stream_curate(spark, f"{base}/raw", live, f"{base}/curate-checkpoint").awaitTermination()
+    curate_now()
+    compact.compact(spark, live, merged)
+    ingest.stream_validate(fixture.stream_records(_events_stream(spark, sf)), f"{base}/raw", f"{base}/quarantine", f"{base}/stats",
+                           f"{base}/checkpoint-again", ingest_time=INGEST_TIME).awaitTermination()
+    curate_now()
+    compact.compact(spark, live, merged)
+    compact.clean(spark, live, merged)
+    return _sensor_sums(compact.compacted_table(spark, live, merged))
+
+
 def stream_replay(spark, sf):
     """A raw batch that is written again after it was curated, and curated again, leaves one copy."""
     base = _validated_lake(spark, sf)
@@ -684,8 +710,10 @@ QUERIES = {
     "stream_validate": stream_validate,
     "stream_stats": stream_stats,
     "stream_dedup": stream_dedup,
+    "stream_seen": stream_seen,
     "stream_curate": stream_curate,
     "stream_replay": stream_replay,
+    "stream_compacted": stream_compacted,
     "stream_curate_counts": stream_curate_counts,
     "stream_late": stream_late,
     "stream_status_changes": stream_status_changes,

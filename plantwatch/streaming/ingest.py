@@ -8,6 +8,7 @@ from plantwatch.operators.diagnose import diagnose
 from plantwatch.operators.validate import batch_counts, decode_stream, route, typed_events
 from plantwatch.schema import PARTITION_COLUMNS, RAW
 from plantwatch.sources.lake import batch_path, stream_raw_json, write_late, write_quarantine, write_raw
+from plantwatch.streaming.seen import without_seen
 
 
 def without_repeats(decoded, delay="1 hour"):
@@ -24,7 +25,7 @@ def without_repeats(decoded, delay="1 hour"):
 
 
 def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint, dedup=False, delay="1 hour",
-                    ingest_time=None, trigger=None, late_path=None, late_after=3600):
+                    ingest_time=None, trigger=None, late_path=None, late_after=3600, seen_path=None):
     """Validate ``(seq, data)`` records, diagnose the valid ones and write raw, quarantine and batch counts.
 
     Each batch owns a folder named by its id and overwrites it, so a batch that is run again after a failure
@@ -35,6 +36,9 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
     batches go there, as JSON with the bound that they missed, and not to raw. The batch counts have ``late`` and the
     newest event time, from which the next batch takes its bound, so a batch that runs again has the same one. Use it
     without ``dedup``, whose operator drops such records itself; their number is in the query's progress.
+
+    With ``seen_path`` valid records whose event id came before, however long ago, are dropped (see ``seen``) and counted as
+    ``repeats``.
     """
     decoded = decode_stream(records)
     if dedup:
@@ -51,11 +55,16 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
                 bound = _newest_before(batch.sparkSession, stats_path, batch_id) - F.make_dt_interval(secs=F.lit(late_after))
                 late = F.coalesce(at < bound, F.lit(False))
                 write_late(good.filter(late), batch_path(late_path, batch_id), bound, moment)
-            write_raw(diagnose(typed_events(good.filter(~late))), batch_path(raw_path, batch_id), moment, mode="overwrite")
+            good, repeats = good.filter(~late), F.lit(0).cast("long")
+            if seen_path:
+                event_id, came = F.try_variant_get("record", "$.event_id", "string"), good.count()
+                good = without_seen(good, batch_id, seen_path, event_id, F.date_format(at, "yyyy-MM-dd"))
+                repeats = F.lit(came - good.count())
+            write_raw(diagnose(typed_events(good)), batch_path(raw_path, batch_id), moment, mode="overwrite")
             write_quarantine(batch.filter("route <> 'valid'"), batch_path(quarantine_path, batch_id), moment, mode="overwrite")
             valid = F.col("route") == "valid"
-            batch.agg(*batch_counts(), F.count_if(valid & late).alias("late"), F.max(F.when(valid, at)).alias("newest")).write.mode(
-                "overwrite").parquet(batch_path(stats_path, batch_id))
+            batch.agg(*batch_counts(), F.count_if(valid & late).alias("late"), F.max(F.when(valid, at)).alias("newest")).withColumn(
+                "repeats", repeats).write.mode("overwrite").parquet(batch_path(stats_path, batch_id))
         finally:
             batch.unpersist()
 
