@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from plantwatch import rules
 from plantwatch.functions import sensors as fs
 from plantwatch.functions.stages import staged
-from plantwatch.functions.times import time_range
+from plantwatch.functions.times import event_time, time_range
 from plantwatch.operators import aggregates as ag
+from plantwatch.operators import alarms as alarm_rules
 from plantwatch.operators import correlate, curate, diagnose, features, latest, ordered, validate
 from plantwatch.plans import activity, kpis, machines
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, EVENTS, SENSORS
 from plantwatch.session import stored, work_dir
 from plantwatch.sources import compact, fixture, lake
+from plantwatch.streaming import alarms as stream_alarms
 from plantwatch.streaming import correlate as stream_correlate
 from plantwatch.streaming import ingest, presence, windows
 
@@ -266,6 +268,23 @@ def alarms(df):
     return ordered.alarm_periods(df, F.count_if(F.col("status") == "critical"), 0, seconds=3600, periods=2)
 
 
+def _metrics(df):
+    """Metrics of the three alarms from telemetry, time sixty times as fast: records that are unsound, lag, and critical states."""
+    at = F.timestamp_seconds(F.floor(F.unix_timestamp(event_time()) / 60))
+    bad = F.when((F.col("event_id").cast("long") % 40).between(1, 10), 1.0).otherwise(0.0)
+    values = [("validation_errors", bad), ("consumer_lag_seconds", F.col("anomaly_severity") * 50), ("job_failures", (F.col("status") == "critical").cast("double"))]
+    rows = df.select(at.alias("at"), F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in values])).alias("m"))
+    return rows.select("m.metric", "at", "m.value")
+
+
+def documented_alarms(df):
+    return alarm_rules.alarm_changes(_metrics(df))
+
+
+def stream_alarm_changes(spark, sf):
+    return _finished(spark, stream_alarms.stream_alarm_changes(_metrics(_events_stream(spark, sf)), delay="0 seconds"), "alarms")
+
+
 def correlated(df):
     rows = correlate.correlated_failures(df)
     changes = {c: 6 for c in rows.columns if c.endswith("_change") or c == "severity_sum"}
@@ -675,6 +694,8 @@ QUERIES = {
     "rolling_features": _on_telemetry(rolling),
     "next_anomaly_label": _on_telemetry(labels),
     "alarm_periods": _on_telemetry(alarms),
+    "documented_alarms": _on_telemetry(documented_alarms),
+    "stream_alarm_changes": stream_alarm_changes,
     "correlated_failures": _on_telemetry(correlated),
     "correlated_within": _on_telemetry(lambda t: _rounded(correlate.correlated_within(t), severity_sum=6)),
     # plans

@@ -224,6 +224,13 @@ EXPOSURES = [
     ("arm_overload", "robotic_arm", ["conveyor_motor"], {"rpm": -30.0}),
 ]
 
+# Metric; statistic of a period; threshold to exceed; seconds of a period; periods in a row.
+ALARMS = [
+    ("validation_errors", "sum", 5.0, 60, 2),
+    ("consumer_lag_seconds", "max", 30.0, 60, 2),
+    ("job_failures", "sum", 0.0, 300, 1),
+]
+
 # Weight of each part of the health score.
 HEALTH_WEIGHTS = {
     "temperature": 0.25, "vibration": 0.20, "power": 0.15, "pressure": 0.15, "efficiency": 0.15, "degradation": 0.10,
