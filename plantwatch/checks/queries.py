@@ -258,6 +258,13 @@ def cascades(df):
     return ordered.anomaly_cascades(ordered.anomaly_episodes(df))
 
 
+def cascade_chains(df):
+    """Chains under wider rules: any anomaly type of a machine can set off another one."""
+    kinds = sorted({k for source, target, _ in rules.CASCADES for k in (source, target)})
+    wider = [(a, b, 0.3) for a in kinds for b in kinds if a != b]
+    return ordered.cascade_chains(ordered.cascade_history(ordered.anomaly_episodes(df), wider))
+
+
 def rolling(df):
     rows = features.rolling_features(df)
     numbers = [c for c in rows.columns if c.startswith(tuple(features.ROLLED)) or c.startswith(("degradation_", "anomaly_freq"))]
@@ -691,6 +698,8 @@ QUERIES = {
     "status_transitions": _on_telemetry(ordered.status_transitions),
     "anomaly_episodes": _on_telemetry(episodes),
     "anomaly_cascades": _on_telemetry(cascades),
+    "cascade_history": _on_telemetry(lambda t: ordered.cascade_history(ordered.anomaly_episodes(t))),
+    "cascade_chains": _on_telemetry(cascade_chains),
     "rolling_features": _on_telemetry(rolling),
     "next_anomaly_label": _on_telemetry(labels),
     "alarm_periods": _on_telemetry(alarms),

@@ -1,5 +1,7 @@
 """Stored aggregates and views over the curated table (one scan and one shuffle each, combined before the shuffle)."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -219,22 +221,51 @@ def telemetry_profile(df):
     return sets.select(section.alias("section"), F.coalesce("machine_type", "status", "flag").alias("name"), "rows")
 
 
-def degradation_profile(df):
-    """Count, mean, spread, range and quartiles of the degradation level.
+def exact_percentiles(df, column, shares, max_values=1_000_000, fineness=10_000):
+    """Percentiles of a column with interpolation, as a list of numbers (nulls where there are no values), over any range of values.
+    NaN counts as no value.
 
-    Count, sums and ends are taken over the levels as they are. Quartiles are those of the levels rounded to six
-    decimals: rows are counted per rounded level first. The level lies in 0..1, so at most 1,000,001 of them reach the
-    last step however many rows there are; levels outside count as the nearer end.
+    Each percentile is bracketed: an approximate one a little below and a little above hold its place between them, and the
+    values below the bracket are counted. The bracket is drawn closer, a scan of the values each time, until few values are
+    in it or it is one value that very many rows share; then its values are counted one by one and the place found.
     """
-    level, n = F.col("level"), F.col("n")
-    levels = df.filter("degradation_level IS NOT NULL").select(F.col("degradation_level").alias("level"))
-    levels = levels.groupBy(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(level, 6))).alias("fine")).agg(
-        F.count("*").alias("n"), F.sum(level).alias("s"), F.sum(level * level).alias("q"), F.min(level).alias("lo"), F.max(level).alias("hi"))
-    stats = levels.agg(
-        F.sum(n).alias("count"), F.sum("s").alias("total"), F.sum("q").alias("squares"), F.min("lo").alias("min"),
-        F.percentile("fine", [0.25, 0.5, 0.75], n).alias("quartiles"), F.max("hi").alias("max"))
-    mean = F.col("total") / F.col("count")
-    variance = (F.col("squares") - F.col("total") * mean) / (F.col("count") - 1)
-    return stats.select(
-        "count", mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"), "min",
-        *[F.col("quartiles")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "max")
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    brackets = [(low, high, 0, n)] * len(shares)  # ends, values below, values inside
+    places = [share * (n - 1) for share in shares]
+    inside = lambda b: F.col("x").between(F.lit(b[0]), F.lit(b[1]))
+    while any(b[0] != b[1] and b[3] > max_values for b in brackets):
+        asked = []
+        for place, b in zip(places, brackets):
+            near = (place - b[2]) / max(1, b[3])
+            ends = [min(1.0, max(0.0, near + side * 2.0 / fineness)) for side in (-1, 1)]
+            asked.append(F.percentile_approx(F.when(inside(b), F.col("x")), ends, fineness))
+        ends = values.agg(*[a.alias(str(k)) for k, a in enumerate(asked)]).first()
+        tried = [(max(b[0], e[0]), min(b[1], e[1])) for b, e in zip(brackets, ends)]
+        counts = values.agg(*[F.count_if(f) for t in tried for f in (F.col("x") < F.lit(t[0]), inside(t))]).first()
+        closer = []
+        for k, (place, b, t) in enumerate(zip(places, brackets, tried)):
+            below, here = counts[2 * k], counts[2 * k + 1]
+            holds = below <= math.floor(place) and math.ceil(place) < below + here
+            closer.append((*t, below, here) if holds else b)
+        if closer == brackets:  # the rest are values that many rows share
+            break
+        brackets = closer
+    found = []
+    for place, b in zip(places, brackets):
+        counted = values.filter(inside(b)).groupBy("x").agg(F.count("*").alias("n"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("x")) + b[2])
+        first, second = (F.min(F.when(F.col("upto") > k, F.col("x"))) for k in (math.floor(place), math.ceil(place)))
+        lower, upper = upto.agg(first, second).first()
+        found.append(lower + (upper - lower) * (place - math.floor(place)))
+    return found
+
+
+def degradation_profile(df):
+    """Count, mean, spread, range and quartiles of the degradation level, exact for levels of any range."""
+    quartiles = exact_percentiles(df, "degradation_level", (0.25, 0.5, 0.75))
+    level = F.col("degradation_level")
+    return df.agg(F.count(level).alias("count"), F.avg(level).alias("mean"), F.stddev(level).alias("std"), F.min(level).alias("min"),
+                  *[F.lit(q).cast("double").alias(name) for q, name in zip(quartiles, ("p25", "p50", "p75"))], F.max(level).alias("max"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
 from plantwatch.rules import CASCADES
+from plantwatch.session import stored
 
 #: Length of the prefix of the order text at which a history can be cut: the second and four signs of the event id.
 PREFIX = 25
@@ -156,8 +157,8 @@ def anomaly_episodes(df, width=None, max_rows=1_000_000):
         seconds.alias("duration_seconds"), "events", "max_severity")
 
 
-def anomaly_cascades(episodes, rules=None, width=None, max_rows=1_000_000):
-    """Successive episodes of a machine where the first can set off the second, by the cascade table."""
+def cascade_links(episodes, rules=None, width=None, max_rows=1_000_000):
+    """The rows of ``anomaly_cascades`` with the start and the first event of both episodes."""
     named = episodes.select(
         "machine_id", "machine_type", F.col("start_time").alias("timestamp"), F.col("start_event_id").alias("event_id"),
         "anomaly_type", "end_time", "max_severity")
@@ -165,16 +166,52 @@ def anomaly_cascades(episodes, rules=None, width=None, max_rows=1_000_000):
     w = chunk_window()
     rows = rows.withColumns({
         "source_anomaly": F.lag("anomaly_type").over(w), "source_end": F.lag("end_time").over(w),
-        "source_severity": F.lag("max_severity").over(w)})
+        "source_severity": F.lag("max_severity").over(w), "source_start": F.lag("timestamp").over(w), "source_event_id": F.lag("event_id").over(w)})
     allowed = F.lit(False)
     for source, target, threshold in rules or CASCADES:
         allowed = allowed | ((F.col("source_anomaly") == source) & (F.col("anomaly_type") == target)
                              & (F.col("source_severity") >= threshold))
-    return without_copies(rows).filter(allowed).select(
+    return without_copies(rows).filter(allowed)
+
+
+def anomaly_cascades(episodes, rules=None, width=None, max_rows=1_000_000):
+    """Successive episodes of a machine where the first can set off the second, by the cascade table."""
+    return cascade_links(episodes, rules, width, max_rows).select(
         "machine_id", "machine_type", "source_anomaly", F.col("anomaly_type").alias("target_anomaly"), "source_end",
         F.col("timestamp").alias("target_start"), "source_severity", F.col("max_severity").alias("target_severity"))
 
 
+def cascade_history(episodes, rules=None, width=None, max_rows=1_000_000):
+    """Every episode that another one set off: where its chain began (``root_start``, ``root_anomaly``) and how many links back.
+
+    Pointers are doubled: in each round an episode takes over the pointer of the one that it points to, so a chain of n links is
+    done after about log2(n) rounds, however long the history. A round is a join of the links with themselves, by machine and
+    episode, in which no two episodes look up the same one but the roots, and it is stored, so nothing runs twice.
+    """
+    links = cascade_links(episodes, rules, width, max_rows)
+    node = lambda time, event: F.struct(F.col(time).alias("time"), F.col(event).alias("event"))
+    steps = stored(links.select("machine_id", node("timestamp", "event_id").alias("episode"), "anomaly_type", node("source_start", "source_event_id").alias("up"),
+                                F.col("source_anomaly").alias("root_anomaly"), F.lit(1).cast("long").alias("depth")), "cascade-links")
+    while True:
+        above = steps.select("machine_id", F.col("episode").alias("up"), F.col("up").alias("next"), F.col("root_anomaly").alias("next_anomaly"), F.col("depth").alias("more"))
+        jumped = steps.join(above, ["machine_id", "up"], "left")
+        moved = F.col("more").isNotNull()
+        steps = stored(jumped.select("machine_id", "episode", "anomaly_type", F.coalesce("next", "up").alias("up"), F.coalesce("next_anomaly", "root_anomaly").alias("root_anomaly"),
+                                     (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")), "cascade-links")
+        if steps.filter("moved").isEmpty():
+            break
+        steps = steps.drop("moved")
+    return steps.select("machine_id", F.col("up.time").alias("root_start"), F.col("up.event").alias("root_event_id"), "root_anomaly", "depth",
+                        F.col("episode.time").alias("start_time"), F.col("episode.event").alias("start_event_id"), "anomaly_type")
+
+
+def cascade_chains(history):
+    """Per chain its root, its last episode and how many episodes it has, from ``cascade_history``."""
+    last = F.max_by(F.struct("start_time", "anomaly_type"), "depth")
+    chains = history.groupBy("machine_id", "root_start", "root_event_id", "root_anomaly").agg((F.max("depth") + 1).alias("episodes"), last.alias("last"))
+    return chains.select("machine_id", "root_start", "root_anomaly", "episodes", F.col("last.start_time").alias("last_start"), F.col("last.anomaly_type").alias("last_anomaly"))
+
+
 def alarm_periods(df, breach_value, threshold, seconds=60, periods=2, group="machine_type"):
     """Periods at whose end an alarm is on: the value exceeded the threshold in the last ``periods`` periods.
 

@@ -1,8 +1,11 @@
 """Chunked row-order operators give the same rows as the uncut history."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from plantwatch.operators import aggregates as ag
 from plantwatch.operators import features, ordered
 
 
@@ -83,3 +86,32 @@ def test_alarm_needs_consecutive_periods(rows):
     found = ordered.alarm_periods(frame, F.count_if(F.col("status") == "critical"), 1, 60, 2).orderBy("period_start").collect()
     assert [(r["period_start"], r["value"]) for r in found] == [
         ("2024-01-01T00:01:00Z", 2), ("2024-01-01T00:06:00Z", 2), ("2024-01-01T00:07:00Z", 2)]
+
+
+@pytest.mark.parametrize("length", [1, 2, 10, 3000])
+def test_cascade_chains(spark, length):
+    """A chain of episodes on one machine, a break, and another one; a hot machine's chain is found in log rounds."""
+    kinds = ["overheating", "unstable_rpm"]
+    times = [f"2024-01-01T{k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}Z" for k in range(length + 3)]
+    rows = [("M1", "cnc_machine", kinds[k % 2], times[k], times[k], f"e{k}", 0.1 if k == length - 1 else 0.9) for k in range(length + 2)]
+    rows += [("M2", "cnc_machine", "overheating", times[0], times[0], "x", 0.9)]
+    episodes = spark.createDataFrame(rows, "machine_id string, machine_type string, anomaly_type string, start_time string, end_time string, start_event_id string, max_severity double")
+    history = ordered.cascade_history(episodes, [("overheating", "unstable_rpm", 0.5), ("unstable_rpm", "overheating", 0.5)], max_rows=500)
+    found = sorted(tuple(r) for r in ordered.cascade_chains(history).collect())
+    chain = lambda first, n: ("M1", times[first], kinds[first % 2], n, times[first + n - 1], kinds[(first + n - 1) % 2])
+    assert found == ([chain(0, length)] if length > 1 else []) + [chain(length, 2)]
+    depths = sorted((r["start_event_id"], r["depth"]) for r in history.collect())
+    assert depths == sorted([(f"e{k}", k) for k in range(1, length)] + [(f"e{length + 1}", 1)])
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.5], [1.0, 2.0], [0.0] * 900 + [5.0] * 50 + [-7.25] * 50, list(range(-3000, 7000)), [1e300, -1e300, 0.5] * 40, [float("nan"), 1.0, 4.0]])
+def test_exact_percentiles(spark, values):
+    frame = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+    real = sorted(v for v in values if v is not None and v == v)
+    want = []
+    for share in (0.25, 0.5, 0.99):
+        place = share * (len(real) - 1)
+        low, high = (real[math.floor(place)], real[math.ceil(place)]) if real else (None, None)
+        want.append(low + (high - low) * (place - math.floor(place)) if real else None)
+    for most in (10, 1_000_000):
+        assert ag.exact_percentiles(frame, "v", (0.25, 0.5, 0.99), max_values=most, fineness=100) == want
