@@ -13,7 +13,7 @@ from plantwatch.functions.stages import staged
 from plantwatch.functions.times import event_time, time_range
 from plantwatch.operators import aggregates as ag
 from plantwatch.operators import alarms as alarm_rules
-from plantwatch.operators import correlate, curate, diagnose, features, latest, ordered, validate
+from plantwatch.operators import correlate, curate, diagnose, features, latest, ordered, partials, validate
 from plantwatch.plans import activity, kpis, machines
 from plantwatch.schema import CURATED, DIAGNOSTIC_COLUMNS, EVENTS, SENSORS
 from plantwatch.session import stored, work_dir
@@ -475,6 +475,27 @@ def stream_curate(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("temperature"), SUM).alias("temperature"))
 
 
+def _kept_views(spark, sf):
+    """Partials of the views kept by the curating stream, some raw batches of which came a second time."""
+    base = _validated_lake(spark, sf)
+    curate_now = lambda: ingest.stream_curate(spark, f"{base}/raw", f"{base}/curated", f"{base}/curate-checkpoint", views_path=f"{base}/views").awaitTermination()
+    curate_now()
+    ingest.stream_validate(fixture.stream_records(_events_stream(spark, sf)), f"{base}/raw", f"{base}/quarantine", f"{base}/stats",
+                           f"{base}/checkpoint-again", ingest_time=INGEST_TIME).awaitTermination()
+    curate_now()
+    return f"{base}/views"
+
+
+def _kept_view(view, name, **digits):
+    return lambda spark, sf: _rounded(view(partials.partials(spark, _kept_views(spark, sf), name)), **digits)
+
+
+def range_summary(hours):
+    """Days merged from the sketches of their hours; the machines are few enough to be counted exactly."""
+    rows = partials.range_summary(hours, "2024-01-03T06", "2024-01-24T18")
+    return rows.drop("p25", "p50", "p75")
+
+
 def stream_compacted(spark, sf):
     """The curating stream's files merged, a batch written again after that, and merged once more."""
     base = _validated_lake(spark, sf)
@@ -744,6 +765,10 @@ QUERIES = {
     "stream_curate": stream_curate,
     "stream_replay": stream_replay,
     "stream_compacted": stream_compacted,
+    "kept_machine_health": _kept_view(partials.machine_health, "minutes", anomaly_rate_percent=AVERAGE, avg_temperature=AVERAGE),
+    "kept_hourly_summary": _kept_view(partials.hourly_summary, "minutes", avg_degradation_level=AVERAGE),
+    "kept_anomaly_summary": _kept_view(partials.anomaly_summary, "anomalies", avg_anomaly_severity=AVERAGE),
+    "kept_range_summary": _kept_view(range_summary, "hours", avg_degradation_level=AVERAGE),
     "stream_curate_counts": stream_curate_counts,
     "stream_late": stream_late,
     "stream_status_changes": stream_status_changes,

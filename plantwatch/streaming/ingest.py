@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plantwatch.functions.times import event_time
 from plantwatch.operators.curate import curate
 from plantwatch.operators.diagnose import diagnose
+from plantwatch.operators.partials import PARTIALS
 from plantwatch.operators.validate import batch_counts, decode_stream, route, typed_events
 from plantwatch.schema import PARTITION_COLUMNS, RAW
 from plantwatch.sources.lake import batch_path, stream_raw_json, write_late, write_quarantine, write_raw
@@ -94,7 +95,7 @@ def _raw_batch():
     return F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1)
 
 
-def stream_curate(spark, raw_path, curated_path, checkpoint, stats_path=None, trigger=None, files_per_trigger=None):
+def stream_curate(spark, raw_path, curated_path, checkpoint, stats_path=None, trigger=None, files_per_trigger=None, views_path=None):
     """Curate raw files not yet seen into the partitioned table; one query is one active run.
 
     The table has a folder for each raw batch. New files only tell which raw batches changed: these are read as they are
@@ -102,6 +103,8 @@ def stream_curate(spark, raw_path, curated_path, checkpoint, stats_path=None, tr
     stream does after a failure, leaves one copy of each, and so does a micro-batch that runs again. Files outside batch folders belong to the micro-batch that saw
     them. ``stats_path`` gets the rows read, kept and dropped per raw batch, overwritten in the same way.
 
+    ``views_path`` gets the partial aggregates of the stored views per raw batch (``operators.partials``), replaced with it.
+
     Use ``trigger={"processingTime": "5 minutes"}`` to keep it running. Rebalancing splits a heavy type's day by size.
     """
     files = stream_raw_json(spark, raw_path, files_per_trigger).withColumn(RAW_BATCH, _raw_batch())
@@ -113,13 +116,20 @@ def stream_curate(spark, raw_path, curated_path, checkpoint, stats_path=None, tr
         if folders:
             again = spark.read.schema(RAW).option("recursiveFileLookup", "true").json(folders)
             rows = rows.unionByName(again.withColumn(RAW_BATCH, _raw_batch()))
-        kept = curate(rows, keep=[RAW_BATCH])
-        _overwrite(kept.hint("rebalance", RAW_BATCH, *PARTITION_COLUMNS), curated_path, RAW_BATCH, *PARTITION_COLUMNS)
-        if stats_path:
-            counts = rows.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_in")).join(
-                kept.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_kept")), RAW_BATCH, "left")
-            counts = counts.select(RAW_BATCH, "rows_in", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept"))
-            _overwrite(counts.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept")), stats_path, RAW_BATCH)
+        rows = rows.persist()  # the raw text is parsed once for all that is written
+        try:
+            kept = curate(rows, keep=[RAW_BATCH])
+            _overwrite(kept.hint("rebalance", RAW_BATCH, *PARTITION_COLUMNS), curated_path, RAW_BATCH, *PARTITION_COLUMNS)
+            if stats_path:
+                counts = rows.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_in")).join(
+                    kept.groupBy(RAW_BATCH).agg(F.count("*").alias("rows_kept")), RAW_BATCH, "left")
+                counts = counts.select(RAW_BATCH, "rows_in", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept"))
+                _overwrite(counts.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept")), stats_path, RAW_BATCH)
+            if views_path:
+                for name, partial in PARTIALS.items():
+                    _overwrite(partial(kept, RAW_BATCH).hint("rebalance", RAW_BATCH), f"{views_path}/{name}", RAW_BATCH)
+        finally:
+            rows.unpersist()
 
     return records_writer(files, checkpoint, trigger).foreachBatch(write).start()
 
