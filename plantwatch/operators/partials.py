@@ -40,7 +40,12 @@ def sketch_partials(df, *keep):
         F.theta_sketch_agg("machine_id", MACHINES_LOG).alias("machines"), F.kll_sketch_agg_double("degradation_level", LEVELS).alias("levels"))
 
 
-PARTIALS = {"minutes": minute_partials, "anomalies": anomaly_partials, "hours": sketch_partials}
+def day_partials(df, *keep):
+    """Zone map: per machine and day the first and the last event and the number of rows."""
+    return df.groupBy(*keep, "machine_id", *DAY).agg(F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"), F.count("*").alias("events"))
+
+
+PARTIALS = {"minutes": minute_partials, "anomalies": anomaly_partials, "hours": sketch_partials, "days": day_partials}
 
 
 def partials(spark, path, name):
@@ -102,3 +107,20 @@ def range_summary(hours, start=None, end=None, by=10):
         _merged("anomalies").alias("total_anomalies"), (F.sum("sum_level") / F.sum("n_level")).alias("avg_degradation_level"), levels.alias("l"), _merged("n_level").alias("n"))
     quartiles = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("l", F.lit(q))).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     return rows.select(*[c for c in rows.columns if c not in ("l", "n")], *quartiles)
+
+
+def newest_events(days):
+    """Newest event text per machine from the zone map, for ``machine_history``."""
+    return days.groupBy("machine_id").agg(F.max("last_event").alias("newest"))
+
+
+def machine_days(days, machine_id):
+    """The days on which a machine had events, by the zone map: a condition on the date columns, which skips folders."""
+    found = days.filter(F.col("machine_id") == machine_id).select(*DAY).distinct().collect()  # the days of one machine
+    by_month = {}
+    for year, month, day in found:
+        by_month.setdefault((year, month), []).append(day)
+    wanted = F.lit(False)
+    for (year, month), of_month in sorted(by_month.items()):
+        wanted = wanted | ((F.col("year") == year) & (F.col("month") == month) & F.col("day").isin(sorted(of_month)))
+    return wanted

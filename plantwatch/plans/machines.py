@@ -72,15 +72,18 @@ def predictive_maintenance(health_rows):
     return health_rows.select("machine_id", *sensors.maintenance(F.col("max_degradation_level")))
 
 
+DAY = ("year", "month", "day")
 _TRENDS = ["temperature", "pressure", "power_consumption", "vibration", "degradation_level", "cycle_efficiency"]
 
 
-def machine_history(df, window="24h", machine_id=None):
+def machine_history(df, window="24h", machine_id=None, ends=None):
     """Bucketed means of each machine over the window that ends at its own newest event (unknown window: 24h).
 
     For one machine the window becomes literal bounds, which skip partitions. For the fleet the newest event of each
     machine is joined to its rows: machines that were active within the window of the newest event of all have theirs in
-    two windows' time, again literal bounds; only for machines that stopped earlier is the rest of the table looked at.
+    two windows' time, again literal bounds; for machines that stopped earlier only the days of their own windows are read,
+    where the table has the date columns. ``ends`` (machine and ``newest`` event text), from a machine table or a zone map
+    (``partials.newest_events``), saves the scan for the newest events.
     """
     window = window if window in rules.WINDOWS else "24h"
     seconds, width, _ = rules.WINDOWS[window]
@@ -92,7 +95,9 @@ def machine_history(df, window="24h", machine_id=None):
             rows, end - timedelta(seconds=seconds), end).select(*columns)
     else:
         length = timedelta(seconds=seconds)
-        ends = stored(df.groupBy("machine_id").agg(F.max("timestamp").alias("newest")), "newest-events")
+        if ends is None:
+            ends = df.groupBy("machine_id").agg(F.max("timestamp").alias("newest"))
+        ends = stored(ends.select("machine_id", "newest"), "newest-events")
         last = parse_text(ends.agg(F.max("newest")).first()[0])
         if last is None:
             rows = df.limit(0).select(*columns)
@@ -101,7 +106,8 @@ def machine_history(df, window="24h", machine_id=None):
             rows = _in_own_window(time_range(df, last - 2 * length, last).select(*columns), ends.filter(active), seconds)
             stopped = ends.filter(~active)
             if not stopped.isEmpty():
-                rows = rows.unionByName(_in_own_window(df.select(*columns), stopped, seconds))
+                days = _on_days(df, stopped, seconds)
+                rows = rows.unionByName(_in_own_window(days.select(*columns), stopped, seconds))
     means = rows.groupBy("machine_id", F.substring("timestamp", 1, width).alias("time_bucket")).agg(
         *[F.avg(c).alias(c) for c in _TRENDS], anomaly_count().alias("anomaly_count"))
     return means.select(
@@ -112,6 +118,21 @@ def machine_history(df, window="24h", machine_id=None):
         "pressure", "power_consumption", "vibration", "cycle_efficiency")
 
 
+def _on_days(df, ends, seconds):
+    """The rows of the days that the windows of these machines touch; the days are at most those of the table."""
+    if not set(DAY) <= set(df.columns):
+        return df
+    end = event_time(F.col("newest"))
+    days = F.sequence(F.to_date(end - F.make_dt_interval(secs=F.lit(seconds))), F.to_date(end))
+    by_month = {}
+    for (day,) in ends.filter(end.isNotNull()).select(F.explode(days)).distinct().collect():
+        by_month.setdefault((day.year, day.month), []).append(day.day)
+    wanted = F.lit(False)
+    for (year, month), days_of in sorted(by_month.items()):
+        wanted = wanted | ((F.col("year") == year) & (F.col("month") == month) & F.col("day").isin(sorted(days_of)))
+    return df.filter(wanted)
+
+
 def _in_own_window(rows, ends, seconds):
     """Rows in the window that ends at their own machine's newest event."""
     end = event_time(F.col("newest"))
@@ -121,16 +142,22 @@ def _in_own_window(rows, ends, seconds):
         (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("to"))).drop("from", "to")
 
 
-def history_or_recent(df, window="24h", n=20, machine_id=None):
-    """Bucketed history; machines whose window is empty get their last n readings instead."""
-    history = machine_history(df, window, machine_id)
+def history_or_recent(df, window="24h", n=20, machine_id=None, ends=None):
+    """Bucketed history; machines whose window is empty get their last n readings instead.
+
+    ``ends`` is as in ``machine_history``. Only if there are such machines is the table read for their readings.
+    """
+    history = stored(machine_history(df, window, machine_id, ends), "history")
     chosen = df if machine_id is None else df.filter(F.col("machine_id") == machine_id)
-    empty = chosen.select("machine_id").distinct().join(history.select("machine_id"), "machine_id", "left_anti")
-    rest = recent_history(chosen.join(empty, "machine_id", "left_semi"), n)
+    listed = (chosen if ends is None else ends).select("machine_id").distinct()
+    empty = stored(listed.join(history.select("machine_id"), "machine_id", "left_anti"), "without-history")
     readings = ["temperature", "degradation_level", "anomaly_detected", "status", "pressure", "power_consumption",
                 "vibration", "cycle_efficiency"]
-    return history.select("machine_id", F.col("label").alias("timestamp"), F.col("time_bucket").alias("sort_key"), *readings
-                          ).unionByName(rest.select("machine_id", "timestamp", F.col("timestamp").alias("sort_key"), *readings))
+    rows = history.select("machine_id", F.col("label").alias("timestamp"), F.col("time_bucket").alias("sort_key"), *readings)
+    if empty.isEmpty():
+        return rows
+    rest = recent_history(chosen.join(empty, "machine_id", "left_semi"), n)
+    return rows.unionByName(rest.select("machine_id", "timestamp", F.col("timestamp").alias("sort_key"), *readings))
 
 
 def machine_analytics(df, window="24h", machine_id=None):
@@ -157,7 +184,7 @@ def machine_analytics(df, window="24h", machine_id=None):
         F.struct(*sensors.maintenance(F.col("peak_degradation"))).alias("predictive_maintenance"),
         F.when(troubled, dx.active_anomaly_struct()).alias("active_anomaly"),
         dx.cause_ranking().alias("root_cause_analysis"))
-    history = _nested(history_or_recent(df, window), "history", "sort_key")
+    history = _nested(history_or_recent(df, window, ends=base.select("machine_id", F.col("timestamp").alias("newest"))), "history", "sort_key")
     timeline = _nested(risk_timeline(df, base), "risk_timeline", "rank")
     return document.join(history, "machine_id", "left").join(timeline, "machine_id", "left")
 

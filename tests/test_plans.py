@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantwatch.functions.numbers import exact_round, fixed_text
 from plantwatch.functions.times import time_range
 from plantwatch.operators import aggregates as ag
-from plantwatch.operators import correlate, curate, latest
+from plantwatch.operators import correlate, curate, latest, partials
 from plantwatch.plans import activity, kpis, machines
 from plantwatch.session import work_dir
 from plantwatch.sources import lake
@@ -186,6 +186,13 @@ def test_history_of_stopped_and_active_machines_is_pruned(spark, rows):
     table = lake.curated_table(spark, path)
     got = {(r["machine_id"], r["time_bucket"]) for r in machines.machine_history(table, "24h").collect()}
     assert got == {("A", "2024-01-18T09"), ("A", "2024-01-19T01"), ("A", "2024-01-19T05"), ("B", "2024-01-03T09"), ("B", "2024-01-04T01"), ("B", "2024-01-04T05")}
+    index = partials.newest_events(partials.day_partials(table))
+    indexed = machines.machine_history(table, "24h", ends=index)
+    assert {(r["machine_id"], r["time_bucket"]) for r in indexed.collect()} == got
+    scans = [line for line in indexed._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line and path in line]
+    assert len(scans) >= 2 and all("PartitionFilters: []" not in line for line in scans)
+    one = table.filter(F.col("machine_id") == "B").filter(partials.machine_days(partials.day_partials(table), "B"))
+    assert one.count() == 12 and "day#" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     active = machines.machine_history(table.filter("machine_id = 'A'"), "1h")
     plan = active._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("year#") >= 3 and active.count() == 0
