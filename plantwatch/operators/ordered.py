@@ -71,7 +71,7 @@ def with_neighbours(df, before=0, after=0, width=None, keys=("machine_id",), max
     rows = df.withColumn("_ord", order_text())
     if plan.starts is not None:
         rows = rows.join(plan.starts, keys, "left")
-        reached = F.size(F.filter("_starts", lambda start: start <= F.substring("_ord", 1, PREFIX)))
+        reached = _starts_up_to("_starts", F.substring("_ord", 1, PREFIX))
         chunk = F.when(F.col("_starts").isNotNull(), F.lpad(reached.cast("string"), 9, "0")).otherwise(F.lit(""))
         rows = rows.withColumn("_chunk", chunk).drop("_starts")
         cut = rows.filter(F.col("_chunk") != "")
@@ -87,6 +87,16 @@ def with_neighbours(df, before=0, after=0, width=None, keys=("machine_id",), max
     return result
 
 
+def _starts_up_to(starts, place):
+    """How many of the sorted starts are not after a place: first among every so many of them, then inside one stretch, so
+    the work for a row grows with the root of the number of chunks."""
+    n = F.size(starts)
+    stretch = F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))
+    heads = F.transform(F.sequence(F.lit(0), n - 1, stretch), lambda i: F.get(starts, i))
+    full = F.greatest(F.lit(0), F.size(F.filter(heads, lambda start: start <= place)) - 1) * stretch
+    return full + F.size(F.filter(F.slice(starts, full + 1, stretch), lambda start: start <= place))
+
+
 def _copies(rows, keys, k, towards, away):
     """The k rows that lie just outside each chunk, labelled with that chunk."""
     edge = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(away)))

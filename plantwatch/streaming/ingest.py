@@ -34,8 +34,8 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
     sender's retries do.
 
     With ``late_path`` valid records whose event time is more than ``late_after`` seconds before the newest one of earlier
-    batches go there, as JSON with the bound that they missed, and not to raw. The batch counts have ``late`` and the
-    newest event time, from which the next batch takes its bound, so a batch that runs again has the same one. Use it
+    batches go there, as JSON with the bound that they missed, and not to raw. The batch counts have ``late`` and the newest
+    event time so far, from which the next batch takes its bound, so a batch that runs again has the same one. Use it
     without ``dedup``, whose operator drops such records itself; their number is in the query's progress.
 
     With ``seen_path`` valid records whose event id came before, however long ago, are dropped (see ``seen``) and counted as
@@ -51,9 +51,10 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
         batch = batch.persist()
         try:
             at = event_time(F.try_variant_get("record", "$.timestamp", "string"))
-            good, late = batch.filter("route = 'valid'"), F.lit(False)
+            good, late, before = batch.filter("route = 'valid'"), F.lit(False), F.lit(None).cast("timestamp")
             if late_path:
-                bound = _newest_before(batch.sparkSession, stats_path, batch_id) - F.make_dt_interval(secs=F.lit(late_after))
+                before = _newest_before(batch.sparkSession, stats_path, batch_id)
+                bound = before - F.make_dt_interval(secs=F.lit(late_after))
                 late = F.coalesce(at < bound, F.lit(False))
                 write_late(good.filter(late), batch_path(late_path, batch_id), bound, moment)
             good, repeats = good.filter(~late), F.lit(0).cast("long")
@@ -64,7 +65,7 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
             write_raw(diagnose(typed_events(good)), batch_path(raw_path, batch_id), moment, mode="overwrite")
             write_quarantine(batch.filter("route <> 'valid'"), batch_path(quarantine_path, batch_id), moment, mode="overwrite")
             valid = F.col("route") == "valid"
-            batch.agg(*batch_counts(), F.count_if(valid & late).alias("late"), F.max(F.when(valid, at)).alias("newest")).withColumn(
+            batch.agg(*batch_counts(), F.count_if(valid & late).alias("late"), F.greatest(F.max(F.when(valid, at)), before).alias("newest")).withColumn(
                 "repeats", repeats).write.mode("overwrite").parquet(batch_path(stats_path, batch_id))
         finally:
             batch.unpersist()
@@ -73,11 +74,11 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
 
 
 def _newest_before(spark, stats_path, batch_id):
-    """The newest event time of the batches before, as a literal; null for the first."""
+    """The newest event time of the batches before, as a literal, from the counts of the last one; null for the first batch."""
     newest = None
     if batch_id:
-        earlier = spark.read.parquet(stats_path).filter(F.col("batch") < batch_id)
-        newest = earlier.agg(F.date_format(F.max("newest"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        last = spark.read.parquet(batch_path(stats_path, batch_id - 1))
+        newest = last.agg(F.date_format(F.max("newest"), "yyyy-MM-dd HH:mm:ss")).first()[0]
     return F.lit(newest).cast("timestamp")
 
 

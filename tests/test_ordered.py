@@ -115,3 +115,14 @@ def test_exact_percentiles(spark, values):
         want.append(low + (high - low) * (place - math.floor(place)) if real else None)
     for most in (10, 1_000_000):
         assert ag.exact_percentiles(frame, "v", (0.25, 0.5, 0.99), max_values=most, fineness=100) == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 101])
+def test_chunks_are_found_in_two_steps(spark, n):
+    starts = [f"{10 * k:05d}" for k in range(n)]
+    places = [f"{p:05d}" for p in (0, 1, 9, 10, 11, 55, 10 * n - 11, 10 * n - 10, 10 * n + 5) if p >= 0]
+    frame = spark.createDataFrame([(starts, p) for p in places], "s array<string>, p string")
+    found = frame.select("p", ordered._starts_up_to("s", F.col("p"))).collect()
+    assert [r[1] for r in found] == [sum(s <= r[0] for s in starts) for r in found]
+    low = spark.createDataFrame([(["b", "c", "d", "e"], "a")], "s array<string>, p string")
+    assert low.select(ordered._starts_up_to("s", F.col("p"))).first()[0] == 0
