@@ -99,10 +99,15 @@ def maintenance(degradation):
     return [
         exact_round(level * 100.0, 1).alias("failure_risk_pct"),
         exact_round(F.greatest(F.lit(1.0), (1.0 - level) * 150.0), 1).alias("remaining_useful_life_days"),
-        F.when(level >= 0.8, "Critical").when(level >= 0.4, "Degrading").otherwise("Stable").alias("health_trend"),
-        F.when(level >= 0.8, "Schedule emergency inspection immediately (critical risk).")
-         .when(level >= 0.4, "Plan preventive maintenance inspection within 7 days.")
-         .otherwise("Continue regular operations. Schedule routine maintenance in 30 days.")
-         .alias("maintenance_recommendation"),
+        _from_level(level, 1).alias("health_trend"),
+        _from_level(level, 2).alias("maintenance_recommendation"),
     ]
 
+
+def _from_level(level, field):
+    """A field of the first maintenance rule whose level is reached."""
+    *reached, (_, *rest) = rules.MAINTENANCE
+    value = F.lit(rest[field - 1])
+    for row in reversed(reached):
+        value = F.when(level >= row[0], row[field]).otherwise(value)
+    return value

@@ -1,5 +1,7 @@
 """Text helpers shared by reports."""
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -46,3 +48,10 @@ def sql_map(mapping):
 def lookup(mapping, key):
     """Value of a literal map of strings; null for a missing or null key."""
     return F.element_at(F.expr(sql_map(mapping)), key)
+
+
+def filled(template, **columns):
+    """Text with ``{name}`` replaced by the columns of these names; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [columns[part] if k % 2 else F.lit(part) for k, part in enumerate(parts) if part]
+    return F.concat(*pieces) if len(pieces) > 1 else pieces[0]

@@ -3,8 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plantwatch import rules
 from plantwatch.functions import sensors
 from plantwatch.functions.numbers import exact_round
+from plantwatch.functions.text import filled
 from plantwatch.rules import GAUGES
 
 RECENCY = ("timestamp", "event_id")
@@ -68,13 +70,12 @@ def risk_timeline(df, machines, n=10):
         df.filter("anomaly_detected").select("machine_id", *RECENCY, "anomaly_type", "anomaly_severity", "anomaly_reason"), n)
     events = events.select(
         "machine_id", "rank", "timestamp", _timeline_type(severity).alias("event_type"),
-        F.coalesce(reason, F.concat(F.lit("Detected "), kind, F.lit(" in operating parameters."))).alias("description"),
+        F.coalesce(reason, filled(rules.TIMELINE_EVENT, kind=kind)).alias("description"),
         severity.alias("severity"))
     quiet = machines.filter("health_status <> 'healthy' AND anomaly_events = 0")
     state = quiet.select(
         "machine_id", F.lit(1).alias("rank"), "timestamp", F.col("health_status").alias("event_type"),
-        F.concat(F.lit("Machine transitioned to "), "health_status",
-                 F.lit(" health state due to elevated degradation levels.")).alias("description"),
+        filled(rules.TIMELINE_STATE, state=F.col("health_status")).alias("description"),
         F.when(F.col("health_status") == "warning", 0.5).otherwise(0.8).alias("severity"))
     return events.unionByName(state)
 

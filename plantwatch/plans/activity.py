@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plantwatch import rules
 from plantwatch.functions.numbers import exact_round, fixed_text, percent_of
-from plantwatch.functions.text import title_words
+from plantwatch.functions.text import filled, title_words
 from plantwatch.functions.times import bound_text, bucket_label, event_time, parse_text, time_ends, time_range
 
 
@@ -128,21 +128,14 @@ def activity_insights(kpis, breakdown):
     """Texts on trend, anomalies and the most active type: one row with an array."""
     trend, rate = F.col("trend_pct"), F.col("anomaly_rate_pct")
     top = breakdown.agg(F.min(F.struct((-F.col("event_count")).alias("k"), "machine_type", "percentage")).alias("t"))
-    leader = top.filter("t IS NOT NULL").select(F.concat(
-        F.lit("Telemetry generation is concentrated in "), "t.machine_type", F.lit(" systems ("),
-        fixed_text(F.col("t.percentage"), 1), F.lit("% share)."))).scalar()
-    volume = (
-        F.when(trend > 5.0, F.concat(F.lit("Factory telemetry volume has increased by "), fixed_text(trend, 1),
-                                     F.lit("% compared to the previous period.")))
-        .when(trend < -5.0, F.concat(F.lit("Factory telemetry volume has decreased by "), fixed_text(F.abs(trend), 1),
-                                     F.lit("% compared to the previous period.")))
-        .otherwise("Telemetry generation is currently stable compared to the previous period."))
-    problems = F.when(F.col("total_events") > 0, F.when(rate > 15.0, F.concat(
-        F.lit("Anomalous telemetry is highly elevated at "), fixed_text(rate, 1),
-        F.lit("%. Immediate hardware inspection advised.")))
-        .otherwise("Anomaly frequency remains stable despite changes in production activity."))
-    return kpis.select(F.array_compact(F.array(
-        volume, problems, leader, F.lit("Activity levels indicate normal operational conditions."))).alias("insights"))
+    leader = top.filter("t IS NOT NULL").select(
+        filled(rules.ACTIVITY_LEADER, kind=F.col("t.machine_type"), share=fixed_text(F.col("t.percentage"), 1))).scalar()
+    volume = (F.when(trend > 5.0, filled(rules.ACTIVITY_UP, trend=fixed_text(trend, 1)))
+              .when(trend < -5.0, filled(rules.ACTIVITY_DOWN, trend=fixed_text(F.abs(trend), 1)))
+              .otherwise(rules.ACTIVITY_STABLE))
+    anomalous = F.when(rate > 15.0, filled(rules.ACTIVITY_ANOMALOUS, rate=fixed_text(rate, 1))).otherwise(rules.ACTIVITY_SOUND)
+    problems = F.when(F.col("total_events") > 0, anomalous)
+    return kpis.select(F.array_compact(F.array(volume, problems, leader, F.lit(rules.ACTIVITY_NORMAL))).alias("insights"))
 
 
 def pipeline_health(stats):
@@ -150,9 +143,8 @@ def pipeline_health(stats):
     rate = percent_of(F.col("errors"), F.col("invocations"))
     stalled = (F.col("ingested") == 0) & (F.col("invocations") == 0) & (F.col("raw_records") > 0)
     found = F.array_compact(F.array(
-        F.when(stalled, "No new records arriving in the stream"),
-        F.when(rate > 2.0, F.concat(F.lit("Validator error rate is "), fixed_text(rate, 1), F.lit("%")))))
+        F.when(stalled, rules.PIPELINE_STALLED), F.when(rate > 2.0, filled(rules.PIPELINE_ERRORS, rate=fixed_text(rate, 1)))))
     return stats.select(
         "*", rate.alias("error_rate_pct"),
         F.when(rate > 10.0, "critical").when((rate > 2.0) | stalled, "warning").otherwise("healthy").alias("pipeline_health"),
-        F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Pipeline operating normally"))).alias("health_reasons"))
+        F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(rules.PIPELINE_NORMAL))).alias("health_reasons"))

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from plantwatch import rules
 from plantwatch.functions.numbers import exact_round, fixed_text, percent_of
 from plantwatch.functions.sensors import evidence_band
 from plantwatch.functions.stages import staged
-from plantwatch.functions.text import title_words
+from plantwatch.functions.text import filled, title_words
 
 
 def business_kpis(machine_rows, energy_rows):
@@ -53,46 +54,27 @@ def recommendations(machine_rows, limit=None):
     """Rule-based advice for every machine and the fleet, most urgent first; ``limit`` cuts a report to its length."""
     mid, kind = F.col("machine_id"), title_words(F.col("machine_type"))
     rate, worn, heat = F.col("anomaly_rate_percent"), F.col("max_degradation_level"), F.col("avg_temperature")
-    rate_text = F.concat(fixed_text(rate, 1), F.lit("%"))
-    main = (
-        F.when(F.col("health_status") == "critical", _advice(
-            "critical", "anomaly_rate_percent", rate,
-            F.concat(F.lit("Immediately inspect "), mid,
-                     F.lit(" — machine is in CRITICAL state and requires urgent maintenance.")),
-            F.concat(F.lit("Machine "), mid, F.lit(" ("), kind, F.lit(") has crossed critical operational thresholds."))))
-        .when(rate > 20.0, _advice(
-            "critical", "anomaly_rate_percent", rate,
-            F.concat(F.lit("Schedule emergency inspection of "), mid, F.lit(". Anomaly rate of "), rate_text,
-                     F.lit(" exceeds safe operating threshold.")),
-            F.concat(F.lit("More than 1 in 5 telemetry events from "), mid, F.lit(" are anomalous."))))
-        .when(worn > 0.7, _advice(
-            "warning", "degradation_level", worn,
-            F.concat(F.lit("Plan preventive maintenance for "), mid, F.lit(". Degradation level at "),
-                     fixed_text(worn * 100.0, 0), F.lit("% indicates component wear.")),
-            F.concat(mid, F.lit(" has a high degradation score of "), fixed_text(worn, 2),
-                     F.lit("/1.0 — approaching end-of-cycle threshold."))))
-        .when(rate > 10.0, _advice(
-            "warning", "anomaly_rate_percent", rate,
-            F.concat(F.lit("Monitor "), mid, F.lit(" closely. Anomaly rate of "), rate_text, F.lit(" is elevated.")),
-            F.concat(mid, F.lit(" ("), kind, F.lit(") shows recurring anomaly patterns suggesting early-stage degradation.")))))
-    hot = F.when(heat > 80.0, _advice(
-        "warning", "avg_temperature", heat,
-        F.concat(F.lit("Check cooling system of "), mid, F.lit(". Average temperature of "), fixed_text(heat, 1),
-                 F.lit("°C is above safe operating limit.")),
-        F.lit("Sustained high temperature accelerates bearing wear and can cause motor burnout.")))
+    words = {"machine": mid, "kind": kind, "rate": F.concat(fixed_text(rate, 1), F.lit("%")), "percent": fixed_text(worn * 100.0, 0),
+             "level": fixed_text(worn, 2), "heat": fixed_text(heat, 1)}
+
+    def advice(case, priority, metric, value):
+        return _advice(priority, metric, value, *[filled(text, **words) for text in rules.ADVICE_TEXTS[case]])
+
+    main = (F.when(F.col("health_status") == "critical", advice("critical", "critical", "anomaly_rate_percent", rate))
+            .when(rate > 20.0, advice("high_rate", "critical", "anomaly_rate_percent", rate))
+            .when(worn > 0.7, advice("worn", "warning", "degradation_level", worn))
+            .when(rate > 10.0, advice("rate", "warning", "anomaly_rate_percent", rate)))
+    hot = F.when(heat > 80.0, advice("hot", "warning", "avg_temperature", heat))
     per_machine = machine_rows.select(
         mid, kind.alias("machine_type"), F.explode(F.array_compact(F.array(main, hot))).alias("a")
     ).select("a.priority", "machine_id", "machine_type", "a.recommendation", "a.reason", "a.metric_value", "a.metric_name")
     warned = machine_rows.filter("health_status = 'warning'").agg(
         F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(kind)), 1, 3).alias("types")).filter("n >= 3")
+    about = {"n": F.col("n").cast("string"), "kinds": F.array_join("types", ", ")}
+    recommendation, reason = (filled(text, **about) for text in rules.ADVICE_TEXTS["fleet"])
     fleet = warned.select(
         F.lit("info").alias("priority"), F.lit(None).cast("string").alias("machine_id"),
-        F.lit(None).cast("string").alias("machine_type"),
-        F.concat(F.lit("Fleet-wide: "), F.col("n"),
-                 F.lit(" machines are in warning state. Consider scheduling a preventive maintenance window."))
-        .alias("recommendation"),
-        F.concat(F.lit("High proportion of machines in warning status may indicate a systemic issue. Affected types: "),
-                 F.array_join("types", ", "), F.lit(".")).alias("reason"),
+        F.lit(None).cast("string").alias("machine_type"), recommendation.alias("recommendation"), reason.alias("reason"),
         F.col("n").cast("double").alias("metric_value"), F.lit("warning_machine_count").alias("metric_name"))
     rank = F.when(F.col("priority") == "critical", 0).when(F.col("priority") == "warning", 1).otherwise(2)
     ranked = per_machine.unionByName(fleet).withColumn("priority_rank", rank).orderBy(
@@ -117,12 +99,7 @@ def energy_insight(energy_rows):
     label = F.initcap(F.replace("t.machine_type", F.lit("_"), F.lit("")))
     used = -F.col("t.k")
     share = _whole(used / F.when(F.col("all") == 0, 1.0).otherwise(F.col("all")) * 100)
-    return top.filter("t IS NOT NULL").select(F.concat(
-        label, F.lit(" machines consumed "), _grouped_number(used),
-        F.lit(" kWh during the selected period, accounting for approximately "), share,
-        F.lit("% of total factory energy usage. Spindles and hydraulic pumps make up the remaining share. "
-              "Continuous monitoring of "), label,
-        F.lit(" wear could yield the highest cost-reduction opportunities.")).alias("insight"))
+    return top.filter("t IS NOT NULL").select(filled(rules.ENERGY_INSIGHT, kind=label, used=_grouped_number(used), share=share).alias("insight"))
 
 
 def root_cause_insight(cause_rows):
@@ -131,12 +108,9 @@ def root_cause_insight(cause_rows):
         F.struct((-F.col("count")).alias("k"), "cause", "avg_confidence")).alias("t"))
     count = -F.col("t.k")
     confidence = F.col("t.avg_confidence")
-    return top.filter("t IS NOT NULL").select(F.concat(
-        F.lit('"'), "t.cause", F.lit('" is the leading source of machine distress, accounting for '), count.cast("string"),
-        F.lit(" incidents ("), _whole(count / F.col("all") * 100), F.lit("% of total diagnosed cases) with "),
-        F.lower(evidence_band(confidence)), F.lit(" ("), _whole(confidence * 100),
-        F.lit("% confidence). Prioritizing repair orders for this failure mode will yield the highest drop in "
-              "production risk.")).alias("insight"))
+    return top.filter("t IS NOT NULL").select(filled(
+        rules.ROOT_CAUSE_INSIGHT, cause=F.col("t.cause"), n=count.cast("string"), share=_whole(count / F.col("all") * 100),
+        evidence=F.lower(evidence_band(confidence)), confidence=_whole(confidence * 100)).alias("insight"))
 
 
 def executive_summary(kpi_row, advice_rows):
@@ -151,10 +125,7 @@ def executive_summary(kpi_row, advice_rows):
         F.when(health >= 90, "Stable").when(health >= 75, "At Risk").otherwise("Critical").alias("status"),
         F.when(risk < 30, "Low").when(risk < 60, "Moderate").otherwise("High").alias("risk_level"),
         F.coalesce("most_affected_machine_id", F.lit("None")).alias("most_affected_machine"),
-        F.coalesce(pressing, F.lit("No active machine distress detected.")).alias("most_significant_issue"),
-        F.when(rank == 0, F.concat(F.lit("Schedule mechanical/electrical service for asset "), machine,
-                                   F.lit(" immediately. Focus: "), reason, F.lit(".")))
-         .when(rank.isNotNull(), F.concat(F.lit("Schedule inspection for machine "), machine,
-                                          F.lit(" within 48 hours. Focus: "), reason, F.lit(".")))
-         .otherwise("Continue regular operational monitoring. Maintain standard sensor inspection interval.")
-         .alias("recommended_action"))
+        F.coalesce(pressing, F.lit(rules.NO_ISSUE)).alias("most_significant_issue"),
+        F.when(rank == 0, filled(rules.ACTION_NOW, machine=machine, reason=reason))
+         .when(rank.isNotNull(), filled(rules.ACTION_SOON, machine=machine, reason=reason))
+         .otherwise(rules.ACTION_NONE).alias("recommended_action"))

@@ -258,3 +258,55 @@ def causes_text(causes):
 def actions_text(actions):
     """Actions as stored: numbered and joined by commas."""
     return ", ".join(f"{i}. {action}" for i, action in enumerate(actions, 1))
+
+
+# Texts of the recommendations; case: advice, reason.
+ADVICE_TEXTS = {
+    "critical": ("Immediately inspect {machine} — machine is in CRITICAL state and requires urgent maintenance.",
+                 "Machine {machine} ({kind}) has crossed critical operational thresholds."),
+    "high_rate": ("Schedule emergency inspection of {machine}. Anomaly rate of {rate} exceeds safe operating threshold.",
+                  "More than 1 in 5 telemetry events from {machine} are anomalous."),
+    "worn": ("Plan preventive maintenance for {machine}. Degradation level at {percent}% indicates component wear.",
+             "{machine} has a high degradation score of {level}/1.0 — approaching end-of-cycle threshold."),
+    "rate": ("Monitor {machine} closely. Anomaly rate of {rate} is elevated.",
+             "{machine} ({kind}) shows recurring anomaly patterns suggesting early-stage degradation."),
+    "hot": ("Check cooling system of {machine}. Average temperature of {heat}°C is above safe operating limit.",
+            "Sustained high temperature accelerates bearing wear and can cause motor burnout."),
+    "fleet": ("Fleet-wide: {n} machines are in warning state. Consider scheduling a preventive maintenance window.",
+              "High proportion of machines in warning status may indicate a systemic issue. Affected types: {kinds}."),
+}
+
+# Texts of the energy, root-cause and executive insights.
+ENERGY_INSIGHT = ("{kind} machines consumed {used} kWh during the selected period, accounting for approximately {share}% of total factory energy usage. "
+                  "Spindles and hydraulic pumps make up the remaining share. Continuous monitoring of {kind} wear could yield the highest cost-reduction opportunities.")
+ROOT_CAUSE_INSIGHT = ('"{cause}" is the leading source of machine distress, accounting for {n} incidents ({share}% of total diagnosed cases) with {evidence} '
+                      "({confidence}% confidence). Prioritizing repair orders for this failure mode will yield the highest drop in production risk.")
+NO_ISSUE = "No active machine distress detected."
+ACTION_NOW = "Schedule mechanical/electrical service for asset {machine} immediately. Focus: {reason}."
+ACTION_SOON = "Schedule inspection for machine {machine} within 48 hours. Focus: {reason}."
+ACTION_NONE = "Continue regular operational monitoring. Maintain standard sensor inspection interval."
+
+# Texts of the activity insights.
+ACTIVITY_LEADER = "Telemetry generation is concentrated in {kind} systems ({share}% share)."
+ACTIVITY_UP = "Factory telemetry volume has increased by {trend}% compared to the previous period."
+ACTIVITY_DOWN = "Factory telemetry volume has decreased by {trend}% compared to the previous period."
+ACTIVITY_STABLE = "Telemetry generation is currently stable compared to the previous period."
+ACTIVITY_ANOMALOUS = "Anomalous telemetry is highly elevated at {rate}%. Immediate hardware inspection advised."
+ACTIVITY_SOUND = "Anomaly frequency remains stable despite changes in production activity."
+ACTIVITY_NORMAL = "Activity levels indicate normal operational conditions."
+
+# Texts of the pipeline's health.
+PIPELINE_STALLED = "No new records arriving in the stream"
+PIPELINE_ERRORS = "Validator error rate is {rate}%"
+PIPELINE_NORMAL = "Pipeline operating normally"
+
+# Texts of the risk timeline.
+TIMELINE_EVENT = "Detected {kind} in operating parameters."
+TIMELINE_STATE = "Machine transitioned to {state} health state due to elevated degradation levels."
+
+# Maintenance advice by degradation level, from this level on; trend; advice.
+MAINTENANCE = [
+    (0.8, "Critical", "Schedule emergency inspection immediately (critical risk)."),
+    (0.4, "Degrading", "Plan preventive maintenance inspection within 7 days."),
+    (None, "Stable", "Continue regular operations. Schedule routine maintenance in 30 days."),
+]
