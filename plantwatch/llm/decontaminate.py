@@ -132,7 +132,8 @@ def contaminations(docs, items, threshold=THRESHOLD, width=WIDTH, block=ITEM_BLO
 
     Null and empty texts hold nothing; a document of fewer words than an item's shingles have cannot hold it. Repeated
     document rows give repeated rows, repeated item rows count once. Null ids stay null. Other columns are left out,
-    whatever their names; an empty table on either side gives an empty result.
+    whatever their names; an empty table on either side gives an empty result. Very long texts are
+    searched whole, one text at a time.
     """
     pair = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
 

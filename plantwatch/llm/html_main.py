@@ -338,6 +338,7 @@ def extracted(pages, id_column="page_id", url_column="url", html_column="html"):
 
     Null and empty pages, and pages without content, have an empty text. Repeated rows come back repeated; null ids and
     urls stay null; other columns are left out, whatever their names; an empty table gives an empty result.
+    Very long pages are read whole, one at a time.
     """
 
     @F.pandas_udf("string")

@@ -95,6 +95,7 @@ def document_fingerprints(docs, id_column="doc_id", text_column="text", leaf_wor
     fingerprints of the text and the edited text, ``near_next`` that of the text and the next text. ``edited_sections``
     numbers the sections that the edit changed. Repeated rows come back repeated; see ``with_next`` for ties and nulls.
     Other columns are left out, whatever their names; an empty table gives an empty result.
+    Very long texts are fingerprinted whole; a text and its fingerprints are values of one row.
     """
     rows = with_next(docs, id_column, text_column).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.expr("cast(n_chars div 3 as int)")

@@ -400,6 +400,7 @@ def near_duplicates(docs, **settings):
     letter or digit, are copies of each other; a text of fewer than ``width`` words has one shingle of them all. Repeated
     rows come back repeated, in one class. Null ids stay null and count after all others. Other columns are left out, so
     their names can't clash; an empty table gives an empty result. ``settings`` are those of ``classes``.
+    Very long texts are compared by all their shingles; blocks of texts are bounded by their number, not by their length.
     """
     return classes(docs, **settings).select("doc_id", "class_id")
 

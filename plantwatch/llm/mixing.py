@@ -91,7 +91,7 @@ def mixed(docs, total=None, share=1.0, max_epochs=MAX_EPOCHS, weights=WEIGHTS, o
     Null and empty texts have no tokens; they are taken where their place in the order lies before a prefix's end, and in
     whole epochs. A null language, source or domain is the value "(none)". Documents are ordered by a seeded hash of id and epoch,
     then by id and tokens; repeated rows count as often as they occur. Other columns are left out, whatever their names;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Of very long texts only the number of words counts; a text is never cut.
     """
     levels = LEVELS
     domain = domain_of(F.col(source_column)) if domain is None else domain

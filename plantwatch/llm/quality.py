@@ -146,7 +146,8 @@ def quality_scores(docs, labels, threshold=THRESHOLD, bits=BITS, id_column="doc_
 
     Only the text enters a score. Null and empty texts get the constant's probability; repeated rows come back repeated
     with equal scores; a null id counts as held out; other columns are left out, whatever their names; an empty table
-    gives an empty result; without labels every score is one half.
+    gives an empty result; without labels every score is one half. Very long texts are scored
+    whole, by all their words.
     """
     weights = fit(docs, labels, bits=bits, id_column=id_column, text_column=text_column, **settings)
     scores = _scorer(docs.sparkSession, weights, bits)

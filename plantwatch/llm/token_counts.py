@@ -76,7 +76,8 @@ def token_counts(docs, path, limit=LIMIT, id_column="doc_id", text_column="text"
     library has it.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows come back repeated, a null id stays null, other
-    columns of the input are left out whatever their names, an empty table gives an empty result.
+    columns of the input are left out whatever their names, an empty table gives an empty result. Very long
+    texts are counted whole, one text at a time.
     """
     proven = None
     if path.endswith(".json") and has_safe_cuts(path):

@@ -179,5 +179,8 @@ def read_tokens(manifest):
 
 
 def token_files(docs, path, **settings):
-    """Write the files and read them back; see the two steps for repeated rows, nulls, empty texts and empty tables."""
+    """Write the files and read them back; see the two steps for repeated rows, nulls, empty texts and empty tables.
+
+    Very long texts are encoded whole, one text at a time.
+    """
     return read_tokens(write_tokens(docs, path, **settings))

@@ -217,6 +217,7 @@ def round_trip(pages, **settings):
     """Write the archives and read them back: a row per page; other columns of the input are left out, whatever their names.
 
     Repeated rows are written and come back as often as they occur; an empty table gives no file and an empty result.
+    Very long pages are one record each, written and read whole.
     """
     return archive_index(write_warc(pages, **settings))
 
