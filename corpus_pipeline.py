@@ -1,6 +1,6 @@
 """From raw documents to token files: five stages, each an operator of ``plantwatch.llm``.
 
-Each stage works on all that the one before kept, as read back from Parquet. Nulls, ties, repeated rows, empty tables and
+Each stage works on all that the one before kept, as read back from Parquet. Nulls, ties, repeated rows, long texts, empty tables and
 extra columns are as each operator's docstring says; a stage keeps the columns of its documents, the last gives a row per
 document of the files.
 """
