@@ -53,7 +53,7 @@ def op5_mixing(spark, sf_dir):
 
 
 def op10_merkle(spark, sf_dir):
-    return merkle.document_fingerprints(_table(spark, sf_dir, "documents")).drop("edited_sections")
+    return merkle.document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark, sf_dir):
