@@ -43,6 +43,15 @@ def dependants_of(exposures):
     return pairs
 
 
+def rules_on(exposures):
+    """Rules that act on a machine type, as an array."""
+    acting = F.lit(None).cast("array<string>")
+    for dependant in sorted({d for _, _, types, _ in exposures for d in types}):
+        names = [F.lit(name) for name, _, types, _ in exposures if dependant in types]
+        acting = F.when(F.col("machine_type") == dependant, F.array(*names)).otherwise(acting)
+    return acting
+
+
 def correlated_failures(df, width=13, exposures=None):
     """Exposure of each dependent machine per time bucket and rule, with the expected change of its sensors.
 
@@ -127,13 +136,14 @@ def correlated_within(df, distance=3600, width=13, exposures=None):
     nor on those before or beyond. At each moment a machine counts once, with its latest failure (``disturbances``).
     ``events`` counts the exposed events; the other figures are the greatest that an event of the bucket meets. Events are
     counted per machine and second and joined to one row per rule and second, never to the failures. Rows without a
-    readable time take no part.
+    readable time take no part. Spark takes the seconds laid out to be as small as the table they come from and would send
+    millions of them through the driver; the hint keeps both sides of the join shuffled.
     """
     exposures = exposures or EXPOSURES
     reach = disturbed_seconds(disturbances(df, distance, exposures), distance)
-    reach = reach.select("*", F.explode(dependants_of(exposures)).alias("machine_type"))
     dependants = sorted({d for _, _, types, _ in exposures for d in types})
     bucket, second = F.substring("timestamp", 1, width).alias("time_bucket"), F.unix_timestamp(event_time()).alias("second")
     targets = df.filter(F.col("machine_type").isin(dependants)).groupBy("machine_id", "machine_type", bucket, second).agg(F.count("*").alias("events"))
-    return targets.join(reach, ["machine_type", "second"]).groupBy("machine_id", "machine_type", "time_bucket", "rule").agg(
+    targets = targets.select("*", F.explode(rules_on(exposures)).alias("rule"))
+    return targets.join(reach.hint("merge"), ["rule", "second"]).groupBy("machine_id", "machine_type", "time_bucket", "rule").agg(
         F.sum("events").alias("events"), *[F.max(c).alias(c) for c in ("source_machines", "severity_sum", "max_severity")])

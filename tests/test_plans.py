@@ -165,6 +165,14 @@ def test_a_machine_counts_once_with_its_latest_failure(rows):
     assert spans == [("C1", 300, 1.0), ("C1", 3600, 0.5), ("C2", 3600, 0.125)]
 
 
+def test_disturbed_seconds_are_not_sent_through_the_driver(spark, telemetry):
+    exposed = correlate.correlated_within(telemetry)
+    plan = exposed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    exposed.collect()
+    assert "Broadcast" not in exposed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_disturbed_seconds_equal_a_sweep(spark):
     dice = random.Random(11)
     spans = [("r", f"M{k}", t, t + dice.randrange(1, 301), dice.randrange(1, 64) / 64) for k in range(200) for t in [dice.randrange(-500, 5000)]]
