@@ -535,7 +535,7 @@ def _in_two_runs(spark, rows, first, run):
     """Run a stream over the rows of ``first`` and then, with the same checkpoint, over the others."""
     base = work_dir(spark, "two-runs")
     for part in (first, ~first):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/source")
+        rows.filter(part).write.mode("append").parquet(f"{base}/source")
         run(spark.readStream.schema(rows.schema).parquet(f"{base}/source"), base).awaitTermination()
     return base
 

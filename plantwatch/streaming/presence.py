@@ -45,7 +45,8 @@ def machine_presence(rows, silence=300, delay="10 minutes", part="1 minute", for
     The session is set to the state store that has timers.
     """
     keep_state_in_rocksdb(rows.sparkSession)
-    runs = status_runs(rows, silence, delay, part)
+    # plain columns: Python reads them cell by cell, where a list of structs or a time costs several times as much
+    runs = status_runs(rows, silence, delay, part).select("machine_id", F.inline("runs"))
     slack = rows.sparkSession.sql(f"SELECT unix_timestamp(timestamp'1970-01-01 00:00:00' + INTERVAL {part}) - unix_timestamp(timestamp'1970-01-01 00:00:00')").first()[0]
     changes = runs.groupBy("machine_id").transformWithState(_presence(int(silence), int(slack), forget), CHANGES, "Append", "eventTime")
     return changes.select("machine_id", F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "event_id", "previous_status",
@@ -55,7 +56,8 @@ def machine_presence(rows, silence=300, delay="10 minutes", part="1 minute", for
 def _presence(silence, slack, forget):
     """The state of one machine. A class of this call, so that Spark sends it whole to workers without this package.
 
-    Timers wait ``slack`` seconds more, the length of a slice, because events come when their slice is closed.
+    Timers wait ``slack`` seconds more, the length of a slice, because events come when their slice is closed. Each call of the
+    state or a timer is a message to the JVM, so a machine gets a timer only if it can change something later.
     """
     offline, held_type, row = OFFLINE, HELD, Row(*[part.split()[0] for part in CHANGES.split(", ")])
 
@@ -64,10 +66,9 @@ def _presence(silence, slack, forget):
             self.handle, self.held = handle, handle.getValueState("held", held_type)
 
         def handleInputRows(self, key, rows, timerValues):
-            held = self.held.get() if self.held.exists() else None
-            status, since, seen, timer = held or (None, None, None, None)
-            for run in sorted((run for part in rows for run in part["runs"]), key=lambda run: (run["at"], run["event_id"] or "")):
-                at, event_id, now, until = (run[name] for name in ("at", "event_id", "status", "until"))
+            status, since, seen, timer = self.held.get() or (None, None, None, None)
+            runs = ((at, event_id or "", event_id is not None, now is not None, now or "", event_id, now, until) for _, at, event_id, now, until in rows)
+            for at, _, _, _, _, event_id, now, until in sorted(runs, key=lambda run: run[:5]):
                 if seen is not None and at - seen > silence and status != offline:
                     yield row(key[0], seen + silence, None, status, offline, seen + silence - since)
                     status, since = offline, seen + silence
@@ -79,7 +80,15 @@ def _presence(silence, slack, forget):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             timer = (seen + silence + slack) * 1000
-            self.handle.registerTimer(timer)
+            if forget is None and timer < timerValues.getCurrentWatermarkInMs():  # it would expire in this batch
+                timer = None
+                if status != offline:
+                    yield row(key[0], seen + silence, None, status, offline, seen + silence - since)
+                    status, since = offline, seen + silence
+            elif forget is None and status == offline:
+                timer = None
+            if timer is not None:
+                self.handle.registerTimer(timer)
             self.held.update((status, since, seen, timer))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

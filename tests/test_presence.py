@@ -1,7 +1,9 @@
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from plantwatch.checks import queries
 from plantwatch.operators.correlate import correlated_within
 from plantwatch.session import work_dir
 from plantwatch.streaming import correlate, ingest, presence
@@ -58,6 +60,26 @@ def test_a_forgotten_machine_is_new(spark):
     assert [r[3:5] for r in changes(spark, *events, forget=3600)[-1] if r[0] == "A"] == [("healthy", "offline")]
 
 
+def test_a_timer_is_kept_only_where_it_can_change_something(spark):
+    """A is offline, B falls silent within the run, C may still fall silent: one timer, and none runs out."""
+    rows = [("A", text(0), "0", "offline"), ("B", text(10), "1", "healthy"), *[("C", text(s), str(s), "healthy") for s in range(200, 2000, 200)]]
+    base = work_dir(spark, "timers")
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{base}/in")
+    made = presence.machine_presence(spark.readStream.schema(EVENTS).parquet(f"{base}/in"), delay="0 seconds")
+    query = ingest.records_writer(made, f"{base}/checkpoint").format("parquet").option("path", f"{base}/out").start()
+    query.awaitTermination()
+    custom = [s["customMetrics"] for p in query.recentProgress for s in p["stateOperators"] if "numRegisteredTimers" in s["customMetrics"]]
+    assert [sum(c[n] for c in custom) for n in ("numRegisteredTimers", "numExpiredTimers")] == [1, 0]
+    assert sorted(tuple(r)[:2] for r in spark.read.schema(made.schema).parquet(f"{base}/out").collect()) == [("B", text(310))]
+
+
+def test_the_rows_of_two_runs_are_written_by_many_tasks(spark):
+    runs = []
+    base = queries._in_two_runs(spark, spark.range(0, 1000, 1, 4), F.col("id") % 2 == 0, lambda stream, base: SimpleNamespace(
+        awaitTermination=lambda: runs.append(len(spark.read.parquet(f"{base}/source").inputFiles()))))
+    assert runs == [4, 8] and spark.read.parquet(f"{base}/source").count() == 1000
+
+
 def test_state_is_small_for_a_machine_with_most_events(spark):
     rows = spark.range(20_000).select(F.lit("A").alias("machine_id"), F.date_format(F.timestamp_seconds(F.col("id") / 10), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
                                       F.col("id").cast("string").alias("event_id"), F.lit("healthy").alias("status"))
