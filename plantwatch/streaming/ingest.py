@@ -1,5 +1,6 @@
 """Validating and curating streams."""
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from plantwatch.functions.times import event_time
@@ -9,6 +10,7 @@ from plantwatch.operators.partials import PARTIALS
 from plantwatch.operators.validate import batch_counts, decode_stream, route, typed_events
 from plantwatch.schema import PARTITION_COLUMNS, RAW
 from plantwatch.sources.lake import batch_path, stream_raw_json, write_late, write_quarantine, write_raw
+from plantwatch.streaming.presence import keep_state_in_rocksdb
 from plantwatch.streaming.seen import without_seen
 
 
@@ -16,7 +18,9 @@ def without_repeats(decoded, delay="1 hour"):
     """Drop records whose event id was seen within the watermark delay; older stragglers are dropped too.
 
     Records without a readable time cannot be placed on the time line and pass untouched to the quarantine.
+    A batch holds an id for each of its records, so the ids are kept in a state store on disk, not in the heap.
     """
+    keep_state_in_rocksdb(decoded.sparkSession, large=True)
     stamped = decoded.withColumns({
         "_at": event_time(F.try_variant_get("record", "$.timestamp", "string")),
         "_id": F.coalesce(F.try_variant_get("record", "$.event_id", "string"), F.col("seq"))})
@@ -48,7 +52,7 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
     routed = route(decoded)
 
     def write(batch, batch_id):
-        batch = batch.persist()
+        batch = _held(batch)
         try:
             at = event_time(F.try_variant_get("record", "$.timestamp", "string"))
             good, late, before = batch.filter("route = 'valid'"), F.lit(False), F.lit(None).cast("timestamp")
@@ -73,6 +77,21 @@ def stream_validate(records, raw_path, quarantine_path, stats_path, checkpoint,
     return (records_writer(routed, checkpoint, trigger).foreachBatch(write).start())
 
 
+#: Rows of a cached block. A task holds up to a hundred blocks while Spark writes them to disk or reads them from there
+#: (``spark.serializer.objectStreamReset``), and takes 2 KB a row for a variant column before it knows the sizes.
+CACHED_ROWS = 200
+
+
+def _held(routed):
+    """The columns of routed records that the sinks read, kept on local disks: a task holds a few thousand rows, whatever a batch has.
+
+    In memory the rows would compete with the sorts of the same tasks, which can't take back what a block in the making has.
+    """
+    routed.sparkSession.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", CACHED_ROWS)  # of this stream's own session
+    data = F.when(F.col("route") == "decode_error", F.col("data"))  # the others have it as ``record``
+    return routed.drop("seq", "value").withColumn("data", data).persist(StorageLevel.DISK_ONLY)
+
+
 def _newest_before(spark, stats_path, batch_id):
     """The newest event time of the batches before, as a literal, from the counts of the last one; null for the first batch."""
     newest = None

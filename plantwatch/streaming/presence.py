@@ -10,12 +10,20 @@ OFFLINE = "offline"
 HELD = "status string, since long, seen long, timer long"
 CHANGES = "machine_id string, at long, event_id string, previous_status string, status string, seconds_in_previous long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_MB = 200
 
 
-def keep_state_in_rocksdb(spark):
-    """State with timers needs this state store; queries that were started before keep theirs. A batch stores what it changed."""
+def keep_state_in_rocksdb(spark, large=False):
+    """State with timers needs this state store; queries that were started before keep theirs. A batch stores what it changed.
+
+    State that is ``large``, as with a row per record, is put into files whole when a batch ends. So only the stores that tasks
+    work on hold rows in memory, outside the heap, and all stores of an executor together ``STATE_MB``.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "false" if large else "true")
+    if large:
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", STATE_MB)
 
 
 def status_runs(rows, silence, delay, part):

@@ -1,7 +1,9 @@
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from plantwatch.operators.validate import validate_route
 from plantwatch.session import work_dir
 from plantwatch.sources import fixture, lake
 from plantwatch.streaming import ingest
@@ -83,3 +85,38 @@ def test_late_records_are_kept_apart_and_counted(spark, telemetry):
     assert sorted((r["event_id"], r["_late_before"]) for r in late) == [("200", "2024-01-01T05:00:00Z"), ("80", "2024-01-01T04:00:00Z")]
     stats = spark.read.parquet(f"{base}/stats").agg(F.sum("valid"), F.sum("late")).first()
     assert tuple(stats) == (5, 2) and lake.read_raw_json(spark, f"{base}/raw").count() == 3
+
+
+def test_repeats_in_a_batch_and_in_later_ones_are_dropped_by_ids_in_files(spark, telemetry):
+    session = spark.newSession()  # other streams of the tests' session set its state store
+    base, source = work_dir(spark, "stream"), work_dir(spark, "source")
+    number, time = F.col("event_id").cast("int"), F.lit(None).cast("string")
+    for key, value in {40: "05:00", 80: "05:10", 120: "05:20", 2: "05:00"}.items():  # the last one is given no readable time
+        time = F.when(number == key, f"2024-01-01T{value}:00Z").otherwise(time)
+    moved = telemetry.filter(number.isin(2, 40, 80, 120)).withColumn("timestamp", time)
+    for part in ([40, 80, 2], [40, 120]):
+        once = fixture.stream_records(moved.filter(number.isin(*part)))
+        once.unionByName(once).coalesce(1).write.mode("append").parquet(source)
+        query = ingest.stream_validate(session.readStream.schema(STREAM_RECORD).parquet(source), f"{base}/raw", f"{base}/quarantine",
+                                       f"{base}/stats", f"{base}/checkpoint", dedup=True, ingest_time="2024-02-01 00:00:00")
+        query.awaitTermination()
+        state = query.recentProgress[0]["stateOperators"][0]
+        assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+        assert session.conf.get("spark.sql.inMemoryColumnarStorage.batchSize") == "10000"
+    assert sorted(r["event_id"] for r in lake.read_raw_json(spark, f"{base}/raw").collect()) == ["120", "40", "80"]
+    assert [r["reason"] for r in lake.read_quarantine(spark, f"{base}/quarantine").collect()] == ["invalid_timestamp"] * 2
+
+
+def test_rows_of_a_batch_are_held_on_disk_in_small_blocks(spark, telemetry):
+    source = work_dir(spark, "source")
+    fixture.stream_records(telemetry).coalesce(1).write.parquet(source)
+    routed = validate_route(spark.newSession().read.schema(STREAM_RECORD).parquet(source))
+    held = ingest._held(routed)
+    try:
+        assert held.storageLevel == StorageLevel.DISK_ONLY
+        blocks = held._jdf.queryExecution().withCachedData().cacheBuilder().cachedColumnBuffers()
+        assert held.count() == 1000 and blocks.count() == 1000 / ingest.CACHED_ROWS
+        sent = {r["route"]: r["n"] for r in held.filter("data IS NOT NULL").groupBy("route").agg(F.count("*").alias("n")).collect()}
+        assert sent == {"decode_error": held.filter("route = 'decode_error'").count()}
+    finally:
+        held.unpersist()
